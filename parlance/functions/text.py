@@ -17,21 +17,24 @@ from parlance.functions import fixed_values as fv
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 WORD = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]+"
 LINE_BREAK = r"[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]+"
+# Runs of whitespace other than a single blank.
+_UNEVEN_SPACE = rf" {SPACE}+|[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}&&[^ ]]{SPACE}*"
 
 # Noncharacters stand in for masked characters; they never occur in valid text.
 _BREAK, _DOT, _GAP = "\ufdd0", "\ufdd1", "\ufdd2"
-_MIN_KEPT = fv.MIN_SENTENCE_WORDS
 
 
-def pattern(regex: str, ignore_case: bool = True) -> str:
-    """Give a regex Unicode classes, Unicode case folding and the wide whitespace."""
-    return ("(?iU)" if ignore_case else "(?U)") + regex.replace(r"\s", SPACE)
+def pattern(regex: str) -> str:
+    """Give a regex Unicode classes and the wide whitespace."""
+    return "(?U)" + regex.replace(r"\s", SPACE)
 
 
+# Case-insensitive patterns run on lower-cased text: plain characters match faster than
+# folded ones. A word that ends in a verb ending has a word character before it.
 ADMIN_MARKER = pattern("|".join(fv.ADMIN_MARKERS))
-BIOGRAPHY = pattern("|".join(fv.BIOGRAPHY_PATTERNS), ignore_case=False)
+BIOGRAPHY = pattern("|".join(fv.BIOGRAPHY_PATTERNS))
 VERB_LOOK = pattern(
-    r"\b\w+(?:" + "|".join(fv.VERB_ENDINGS) + r")\b|\b(?:" + "|".join(fv.AUXILIARIES) + r")\b"
+    r"\w(?:" + "|".join(fv.VERB_ENDINGS) + r")\b|\b(?:" + "|".join(fv.AUXILIARIES) + r")\b"
 )
 
 
@@ -40,6 +43,11 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def has_tokens(text: Column, n: int) -> Column:
+    """Whether there are at least ``n`` tokens; looks no further than the n-th."""
+    return text.rlike(f"(?:{WORD}{SPACE}+){{{n - 1}}}{WORD}")
+
+
 def tokens(text: Column) -> Column:
     """Whitespace-separated tokens without empty ones."""
     return F.filter(F.split(text, SPACE + "+"), lambda t: t != "")
@@ -57,22 +65,27 @@ def lines(text: Column) -> Column:
 
 def is_administrative(line: Column, min_words: int = fv.MIN_LINE_WORDS) -> Column:
     """Blank, explicitly marked, biographical, or short without a verb-looking word."""
+    lowered = F.lower(line)
     return (
         F.when(~line.rlike(WORD), True)
-        .when(line.rlike(ADMIN_MARKER), True)
+        .when(lowered.rlike(ADMIN_MARKER), True)
         .when(line.rlike(BIOGRAPHY), True)
-        .otherwise((n_tokens(line) < min_words) & ~line.rlike(VERB_LOOK))
+        .otherwise(~has_tokens(line, min_words) & ~lowered.rlike(VERB_LOOK))
     )
 
 
-def filter_ratio(text: Column) -> Column:
-    """Share of administrative lines among the non-blank lines, to four decimals."""
-    kept = lines(text)
+def admin_share(kept: Column) -> Column:
+    """Share of administrative lines in an array of non-blank lines, to four decimals."""
     n_admin = F.size(F.filter(kept, lambda line: is_administrative(line))).cast("double")
     ratio = F.try_divide(n_admin, F.size(kept).cast("double"))
     return F.round(F.coalesce(ratio, F.lit(0.0)), 4)
 
 
+def filter_ratio(text: Column) -> Column:
+    """Share of administrative lines among the non-blank lines, to four decimals."""
+    return admin_share(lines(text))
+
+
 def clean_text(text: Column) -> Column:
     """Drop tags and bracketed notes (both may span lines), collapse whitespace.
 
@@ -81,13 +94,13 @@ def clean_text(text: Column) -> Column:
     """
     untagged = F.regexp_replace(text, "<[^>]+>", "")
     unnoted = F.regexp_replace(untagged, r"\[[^\]]*\]", "")
-    return F.trim(F.regexp_replace(unnoted, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(unnoted, _UNEVEN_SPACE, " "))
 
 
 def split_sentences(
     cleaned: Column,
     abbreviations: Sequence[str] = fv.ABBREVIATIONS,
-    min_words: int = _MIN_KEPT,
+    min_words: int = fv.MIN_SENTENCE_WORDS,
 ) -> Column:
     """Sentences of a cleaned text, as an array; short ones are dropped.
 
@@ -96,15 +109,16 @@ def split_sentences(
     ordinal before a lower-case letter.
     """
     short = "|".join(sorted(abbreviations, key=len, reverse=True))
-    abbreviation = rf"(^|[^\p{{L}}\p{{N}}])({short}|\p{{Lu}})\."
-    masked = cleaned
-    # Neighbouring initials share the character between them: a second pass gets the rest.
-    for _ in range(2):
-        masked = F.regexp_replace(masked, abbreviation, f"$1$2{_DOT}")
-    masked = F.regexp_replace(
-        masked, r"((?:\.{2,}|…|\p{Nd}\.)[»\")\]]*) (\p{Ll})", f"$1{_GAP}$2"
-    )
-    marked = F.regexp_replace(masked, r"([.!?…]+[»\")\]]*) ", f"$1{_BREAK}")
+    # The period comes first, so the look back is only taken at periods.
+    abbreviation = rf"\.(?<=(?:^|[^\p{{L}}\p{{N}}])(?:{short}|\p{{Lu}})\.)"
+    masked = F.regexp_replace(cleaned, abbreviation, _DOT)
+    closers = r"[»\")\]]*"
+    no_end = rf"([.…](?<=\.\.|…|\p{{Nd}}\.){closers}) (?=\p{{Ll}})"
+    masked = F.regexp_replace(masked, no_end, f"$1{_GAP}")
+    marked = F.regexp_replace(masked, rf"([.!?…]+{closers}) ", f"$1{_BREAK}")
     unmasked = F.translate(marked, _DOT + _GAP, ". ")
     pieces = F.transform(F.split(unmasked, _BREAK), F.trim)
-    return F.filter(pieces, lambda s: n_tokens(s) >= min_words)
+    # Cleaned text has single blanks only, so blanks count the tokens.
+    enough = max(min_words - 1, 0)
+    blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    return F.filter(pieces, lambda s: (s != "") & (blanks(s) >= enough))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.operators.prefix import value_counts, with_bins
 from parlance.operators.stats import classification_report, roc_auc
@@ -86,17 +84,11 @@ def chi2_upper_tail(x: float, dof: int) -> float:
     return math.erfc(math.sqrt(h)) + math.fsum(half)
 
 
-@F.pandas_udf(T.DoubleType())
-def _p_value(chi2: pd.Series, groups: pd.Series) -> pd.Series:
-    """Only ever sees the single result row of the test."""
-    return pd.Series(
-        [chi2_upper_tail(x, int(g) - 2) if g >= 3 else None for x, g in zip(chi2, groups)],
-        dtype="float64",
-    )
-
-
 def hosmer_lemeshow(df: DataFrame, n_groups: int = 10, alpha: float = 0.05) -> DataFrame:
-    """The statistic, its p-value (null under three groups) and the verdict: one row."""
+    """The statistic, its p-value (null under three groups) and the verdict: one row.
+
+    Only that row reaches the driver, where the upper tail has a closed form.
+    """
     table = hosmer_lemeshow_table(df, n_groups)
 
     def distance(observed: str, expected: str) -> Column:
@@ -106,13 +98,14 @@ def hosmer_lemeshow(df: DataFrame, n_groups: int = 10, alpha: float = 0.05) -> D
     test = table.agg(
         F.sum(distance("obs_pos", "exp_pos") + distance("obs_neg", "exp_neg")).alias("chi2"),
         F.count("*").alias("n_groups"),
-    )
-    scored = test.withColumn("p_value", _p_value("chi2", "n_groups"))
-    return scored.withColumn(
-        "verdict",
-        F.when(F.col("p_value") < alpha, "poor calibration").when(
-            F.col("p_value") >= alpha, "acceptable calibration"
-        ),
+    ).first()
+    p_value = verdict = None
+    if test.n_groups >= 3:
+        p_value = chi2_upper_tail(test.chi2, test.n_groups - 2)
+        verdict = "poor calibration" if p_value < alpha else "acceptable calibration"
+    return df.sparkSession.createDataFrame(
+        [(test.chi2, test.n_groups, p_value, verdict)],
+        "chi2 double, n_groups long, p_value double, verdict string",
     )
 
 

@@ -21,25 +21,32 @@ def _with(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select("*", *[c.alias(name) for name, c in columns.items()])
 
 
-def _with_tokens(df: DataFrame) -> DataFrame:
+def with_tokens(df: DataFrame) -> DataFrame:
+    """Add the lower-cased tokens as ``_tokens``; the steps below share them."""
+    if "_tokens" in df.columns:
+        return df
     return df.withColumn("_tokens", tokens(F.lower("sentence")))
 
 
+def _on_tokens(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    out = _with(with_tokens(df), columns)
+    return out if "_tokens" in df.columns else out.drop("_tokens")
+
+
 def add_concreteness(df: DataFrame, **flags: bool) -> DataFrame:
-    return _with(df, fx.concreteness(F.col("sentence"), **flags))
+    return _on_tokens(df, fx.concreteness(F.col("sentence"), F.size("_tokens"), **flags))
 
 
 def add_lexicon_hits(df: DataFrame, lexicon: Lexicon, count: str, ratio: str) -> DataFrame:
     """Token hits against one lexicon. A lexicon too large to inline is joined instead."""
     entries = lexicon_entries(lexicon)
     if entries is not None:
-        hits = fx.lexicon_features(F.col("_tokens"), entries, count, ratio)
-        return _with(_with_tokens(df), hits).drop("_tokens")
+        return _on_tokens(df, fx.lexicon_features(F.col("_tokens"), entries, count, ratio))
     return _joined_lexicon_hits(df, lexicon, count, ratio)
 
 
 def _joined_lexicon_hits(df: DataFrame, lexicon: DataFrame, count: str, ratio: str) -> DataFrame:
-    tokenised = _with_tokens(df)
+    tokenised = with_tokens(df)
     words = (
         tokenised.select(KEY, F.explode("_tokens").alias("entry"))
         .groupBy(KEY, "entry")
@@ -73,6 +80,15 @@ def add_sentiment(df: DataFrame, scores: Column) -> DataFrame:
     return _with(df, fx.sentiment_from_scores(scores))
 
 
+def rule_features(
+    sentences: DataFrame, vague: Lexicon, modal: Lexicon = fv.MODAL_VERBS
+) -> DataFrame:
+    """Concreteness, vague words and modal verbs; the tokens are split once."""
+    out = add_concreteness(with_tokens(sentences))
+    out = add_modal_verbs(add_vague_words(out, vague), modal)
+    return out if "_tokens" in sentences.columns else out.drop("_tokens")
+
+
 def feature_table(
     sentences: DataFrame,
     vague: Lexicon,
@@ -82,15 +98,10 @@ def feature_table(
     modal: Lexicon = fv.MODAL_VERBS,
 ) -> DataFrame:
     """All sentence columns and the sixteen feature columns, computed on the same row."""
-    out = add_concreteness(sentences)
-    out = add_vague_words(out, vague)
-    out = add_modal_verbs(out, modal)
+    out = rule_features(with_tokens(sentences), vague, modal)
     out = entity_counts(out, gazetteer)
-    out = _with_tokens(out)
-    out = add_sentiment(
-        out, fx.lexicon_sentiment_scores(F.col("_tokens"), positive, negative)
-    )
-    return out.drop("_tokens")
+    scores = fx.lexicon_sentiment_scores(F.col("_tokens"), positive, negative)
+    return add_sentiment(out, scores).drop("_tokens")
 
 
 def attach_scores(

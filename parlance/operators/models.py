@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.stats import (
@@ -107,11 +107,9 @@ def wald_select(
 ) -> DataFrame:
     """Features with p ≤ alpha; all of them if none is."""
     tested = wald_p_values(train, features)
-    best = tested.agg(F.min("p_value")).scalar()
-    none = F.coalesce(best > alpha, F.lit(True))
-    return tested.withColumn(
-        "selected", F.coalesce(F.col("p_value") <= alpha, F.lit(False)) | none
-    )
+    best = F.min("p_value").over(Window.partitionBy())  # one row per feature
+    passed = F.coalesce(F.col("p_value") <= alpha, F.lit(False))
+    return tested.withColumn("selected", passed | F.coalesce(best > alpha, F.lit(True)))
 
 
 @dataclass(frozen=True)
@@ -145,7 +143,7 @@ def train_lr(
         columns = [f + "_z" for f in features]
         model = LogisticRegression(
             labelCol="y", weightCol="weight", elasticNetParam=0.0, regParam=1.0 / n,
-            standardization=False, maxIter=max_iter, tol=1e-8,
+            standardization=False, maxIter=max_iter, tol=1e-6,
         ).fit(_assembled(scaled.select("y", "weight", *columns), columns))
     finally:
         rows.unpersist()
@@ -196,9 +194,10 @@ def train_gbt(
     The draws come by index from the product of the space. Folds are dealt per class in
     seeded order. The vectors are kept between the fits: on executors, spilled to disk.
     """
-    balance = class_weights(train).first()
+    rows = train.select(key, "y", *features, "embedding").persist()
+    balance = class_weights(rows).first()
     weight = F.when(F.col("y") == 1, balance.positive_scale).otherwise(1.0)
-    folded = stratified_folds(train.withColumn("weight", weight), n_folds, seed, key)
+    folded = stratified_folds(rows.withColumn("weight", weight), n_folds, seed, key)
     data = assemble_vector(folded, features).select("y", "weight", "fold", "features").persist()
     evaluator = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC")
 
@@ -217,6 +216,7 @@ def train_gbt(
         return TreeSearch(fit(data, best), best, auc, trials)
     finally:
         data.unpersist()
+        rows.unpersist()
 
 
 def predicted_label(proba: Column, threshold: float | Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.features import seeded_order
 
@@ -61,30 +62,20 @@ def range_prefix(
 
     Adds ``before`` (exclusive running sum) and ``total``. Buckets are ranges between
     splitters from a bounded sample: the rows with the smallest hashes, so the sample is
-    the same whenever it is drawn. The splitters shape the work, never the result.
+    the same whenever it is drawn. The splitters shape the work, never the result. A
+    table smaller than the sample needs no splitters.
     """
     keys = [*group, *order]
     wanted = max_buckets * _SAMPLES_PER_BUCKET
-    sample = (
-        df.select(*keys)
-        .orderBy(F.xxhash64(*keys), *keys)
-        .limit(wanted)
-        .orderBy(*keys)
-        .collect()
-    )
-    splitters = sample[_SAMPLES_PER_BUCKET::_SAMPLES_PER_BUCKET]
-    types = {f.name: f.dataType for f in df.select(*keys).schema}
-    if splitters:
-        bounds = F.array(
-            *[
-                F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in keys])
-                for row in splitters
-            ]
-        )
-        here = F.struct(*[F.col(k) for k in keys])
-        bucket = F.size(F.filter(bounds, lambda b: b <= here))
-    else:
-        bucket = F.lit(0)
+    hashed = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(wanted)
+    sample = hashed.select(F.to_json(F.struct(*keys)).alias("k"), *keys).orderBy(*keys).collect()
+    if len(sample) < wanted:
+        return _bucketed_prefix(df, group, order, value, F.lit(0))
+    splitters = [row.k for row in sample[_SAMPLES_PER_BUCKET::_SAMPLES_PER_BUCKET]]
+    schema = T.ArrayType(df.select(*keys).schema)
+    bounds = F.from_json(F.lit("[" + ",".join(splitters) + "]"), schema)
+    here = F.struct(*[F.col(k) for k in keys])
+    bucket = F.size(F.filter(bounds, lambda b: b <= here))
     return _bucketed_prefix(df, group, order, value, bucket)
 
 
@@ -110,6 +101,15 @@ def seeded_rank(df: DataFrame, group: Sequence[str], key: str, seed: int) -> Dat
     return seeded_prefix(df.withColumn("_one", F.lit(1)), group, key, "_one", seed).drop("_one")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan of few splits over all cores; a scan with enough splits is left alone.
+
+    Splitting text is work per byte, and a small file is a single split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def value_counts(df: DataFrame, feature: str, value: str, *sums: Column) -> DataFrame:
     """Rows per distinct (feature, value); map-side combined, so hot values are cheap."""
     return (

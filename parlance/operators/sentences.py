@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
-from parlance.functions.text import clean_text, filter_ratio, is_administrative, lines, split_sentences
+from parlance.functions.text import admin_share, clean_text, is_administrative, lines, split_sentences
 from parlance.operators.prefix import range_prefix
 from parlance.schema import KEY
 from parlance.session import cut_lineage
@@ -31,10 +31,11 @@ def administrative_lines(documents: DataFrame) -> DataFrame:
 def clean_documents(documents: DataFrame) -> DataFrame:
     """Replace ``text`` by the cleaned text and add ``filter_ratio``."""
     others = [c for c in documents.columns if c != "text"]
-    return documents.select(
+    # The lines get a column of their own, or both counts would split the text again.
+    return documents.withColumn("_lines", lines(F.col("text"))).select(
         *others,
         clean_text(F.col("text")).alias("text"),
-        filter_ratio(F.col("text")).alias("filter_ratio"),
+        admin_share(F.col("_lines")).alias("filter_ratio"),
     )
 
 
@@ -89,12 +90,17 @@ def cap_sentences(
     return sentences.join(kept.select(*keys), keys, "left_semi")
 
 
+def _mean_ratio(ratio: str) -> Column:
+    """Mean of four-decimal ratios, summed as whole numbers: the same in any row order."""
+    return F.sum(F.round(F.col(ratio) * 10_000).cast("long")) / F.lit(10_000.0) / F.count(ratio)
+
+
 def stratum_noise(documents: DataFrame) -> DataFrame:
     """Documents and filter ratio statistics per stratum; empty documents count too."""
-    ratio = documents.select(*_WHERE, filter_ratio(F.col("text")).alias("r"))
+    ratio = clean_documents(documents).select(*_WHERE, F.col("filter_ratio").alias("r"))
     return ratio.groupBy(*_WHERE).agg(
         F.count("*").alias("n_files"),
-        F.avg("r").alias("mean_ratio"),
+        _mean_ratio("r").alias("mean_ratio"),
         F.min("r").alias("min_ratio"),
         F.max("r").alias("max_ratio"),
     )
@@ -108,7 +114,7 @@ def corpus_noise(sentences: DataFrame, noisy: float = 0.5) -> DataFrame:
     return per_document.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_sentences"),
         F.count("*").alias("n_documents"),
-        F.avg("r").alias("mean_ratio"),
+        _mean_ratio("r").alias("mean_ratio"),
         F.count_if(F.col("r") > noisy).alias("n_noisy"),
     )
 

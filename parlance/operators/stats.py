@@ -119,7 +119,7 @@ def information_value(
         (F.col("d1") - F.col("d0")) * F.ln(F.col("d1") / F.col("d0")),
     )
     found = shares.groupBy("feature").agg(F.sum(part).alias("iv"))
-    names = bins.select("feature").distinct()
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(found, "feature", "left").select(
         "feature", F.coalesce("iv", F.lit(0.0)).alias("iv")
     )
@@ -127,9 +127,12 @@ def information_value(
 
 def select_by_iv(scores: DataFrame, threshold: float = IV_THRESHOLD) -> DataFrame:
     """Features with enough Information Value, best first; all of them if none has."""
-    best = scores.agg(F.max("iv")).scalar()
-    return scores.where((F.col("iv") >= threshold) | (best < threshold)).orderBy(
-        F.desc("iv"), "feature"
+    best = F.max("iv").over(Window.partitionBy())  # one row per feature
+    return (
+        scores.withColumn("_best", best)
+        .where((F.col("iv") >= threshold) | (F.col("_best") < threshold))
+        .drop("_best")
+        .orderBy(F.desc("iv"), "feature")
     )
 
 

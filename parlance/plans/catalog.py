@@ -189,16 +189,12 @@ def cap_sentences(spark, d):
 
 @query
 def stratum_noise(spark, d):
-    return sn.stratum_noise(q.documents(spark, d)).select(
-        "date", "classe", "n_files", *_rounded("mean_ratio", "min_ratio", "max_ratio")
-    )
+    return sn.stratum_noise(q.documents(spark, d))
 
 
 @query
 def corpus_noise(spark, d):
-    return sn.corpus_noise(q.sentences(spark, d)).select(
-        "n_sentences", "n_documents", *_rounded("mean_ratio"), "n_noisy"
-    )
+    return sn.corpus_noise(q.sentences(spark, d))
 
 
 # --- features -----------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions.fixed_values import MODAL_VERBS
 from parlance.operators import features as ft
 from parlance.operators.models import LogisticScorer, predicted_label
+from parlance.operators.prefix import spread
 from parlance.operators.sentences import sentence_table
 from parlance.schema import KEY, NEG_LABEL, POS_LABEL
 
@@ -44,7 +45,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col("lang").alias("date"),
         F.col("source").alias("classe"),
@@ -57,7 +58,7 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rule_features(df: DataFrame) -> DataFrame:
-    return ft.add_modal_verbs(ft.add_vague_words(ft.add_concreteness(df), VAGUE), MODAL)
+    return ft.rule_features(df, VAGUE, MODAL)
 
 
 def full_features(df: DataFrame) -> DataFrame:

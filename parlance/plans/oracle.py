@@ -317,10 +317,10 @@ ORACLE: dict[str, str] = {
       SELECT "PRIMARY_KEY", doc_id, date, classe FROM sents
       WHERE doc_id IN (SELECT doc_id FROM running WHERE cum <= {CAP})""",
     "stratum_noise": f"""WITH {_DOCS}, {_LINES} SELECT date, classe, count(*) AS n_files,
-      round(avg(filter_ratio), 6) AS mean_ratio, round(min(filter_ratio), 6) AS min_ratio,
-      round(max(filter_ratio), 6) AS max_ratio FROM docs JOIN ratios USING (doc_id) GROUP BY date, classe""",
+      CAST(sum(CAST(round(filter_ratio * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / count(*) AS mean_ratio,
+      min(filter_ratio) AS min_ratio, max(filter_ratio) AS max_ratio FROM docs JOIN ratios USING (doc_id) GROUP BY date, classe""",
     "corpus_noise": f"""{TEXT}, per AS (SELECT doc_id, count(*) AS n, max(filter_ratio) AS r FROM sents GROUP BY 1)
-      SELECT CAST(sum(n) AS BIGINT) AS n_sentences, count(*) AS n_documents, round(avg(r), 6) AS mean_ratio,
+      SELECT CAST(sum(n) AS BIGINT) AS n_sentences, count(*) AS n_documents, CAST(sum(CAST(round(r * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / count(*) AS mean_ratio,
       count(*) FILTER (r > 0.5) AS n_noisy FROM per""",
     "concreteness": f'{FEATURES} SELECT "PRIMARY_KEY", n_digits, n_dates, n_money, n_percent, {_r("numeric_ratio")} FROM feats',
     "vague_words": f'{FEATURES} SELECT "PRIMARY_KEY", n_vague_words, {_r("vague_ratio")} FROM feats',

@@ -20,6 +20,7 @@ from parlance.operators.models import (
     predict_all,
     train_gbt,
 )
+from parlance.operators.prefix import spread
 from parlance.operators.sentences import cap_sentences, sentence_table
 from parlance.operators.stats import calibrate_threshold, labelled_target, stratified_split
 from parlance.operators.vectors import HashingEncoder, assemble_vector, embedding_table
@@ -51,7 +52,7 @@ def sentences_stage(
     spark: SparkSession, corpus: str, out: Paths, max_sentences: int = 0, force: bool = False
 ) -> DataFrame:
     def build() -> DataFrame:
-        documents = read_text_corpus(spark, corpus)
+        documents = spread(read_text_corpus(spark, corpus), "doc_id")
         return cap_sentences(sentence_table(documents), max_sentences)
 
     return materialize(spark, build, out.sentences, force)
