@@ -44,8 +44,11 @@ def n_tokens(text: Column) -> Column:
 
 
 def has_tokens(text: Column, n: int) -> Column:
-    """Whether there are at least ``n`` tokens; looks no further than the n-th."""
-    return text.rlike(f"(?:{WORD}{SPACE}+){{{n - 1}}}{WORD}")
+    """Whether there are at least ``n`` tokens; looks no further than the n-th.
+
+    Anchored and possessive: a very long token must not be tried from every position.
+    """
+    return text.rlike(f"^{SPACE}*+(?:{WORD}+{SPACE}++){{{n - 1}}}{WORD}")
 
 
 def tokens(text: Column) -> Column:
