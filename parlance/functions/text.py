@@ -119,7 +119,8 @@ def split_sentences(
     no_end = rf"([.…](?<=\.\.|…|\p{{Nd}}\.){closers}) (?=\p{{Ll}})"
     masked = F.regexp_replace(masked, no_end, f"$1{_GAP}")
     marked = F.regexp_replace(masked, rf"([.!?…]+{closers}) ", f"$1{_BREAK}")
-    unmasked = F.translate(marked, _DOT + _GAP, ". ")
+    unmasked = F.replace(marked, F.lit(_DOT), F.lit("."))
+    unmasked = F.replace(unmasked, F.lit(_GAP), F.lit(" "))
     pieces = F.transform(F.split(unmasked, _BREAK), F.trim)
     # Cleaned text has single blanks only, so blanks count the tokens.
     enough = max(min_words - 1, 0)
