@@ -19,6 +19,16 @@ LEAST_GROUPS = 64
 _written: list[tuple[SparkSession, str]] = []
 
 
+def place(names: list[str], name: str) -> int:
+    """Where a column stands; an exact match wins over one in another case."""
+    if name in names:
+        return names.index(name)
+    folded = [n.lower() for n in names]
+    if name.lower() not in folded:
+        raise ValueError(f"column {name} is missing: {names}")
+    return folded.index(name.lower())
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names: ``pick(df, id="doc_id")``.
 
@@ -27,16 +37,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
-
-    def place(name: str) -> int:
-        if name in names:
-            return names.index(name)
-        folded = [n.lower() for n in names]
-        if name.lower() not in folded:
-            raise ValueError(f"column {name} is missing: {names}")
-        return folded.index(name.lower())
-
-    return plain.select(*[F.col(f"_c{place(old)}").alias(new) for new, old in columns.items()])
+    return plain.select(*[F.col(f"_c{place(names, old)}").alias(new) for new, old in columns.items()])
 
 
 def with_id(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
