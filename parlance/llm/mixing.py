@@ -126,7 +126,7 @@ counted AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, s.n
   FROM marked d JOIN (SELECT source AS src, list(c) AS cs FROM steps GROUP BY source) t
     ON d.source IS NOT DISTINCT FROM t.src,
-  LATERAL (SELECT len(list_filter(t.cs, c -> c <= d.u)) AS n) s
+  LATERAL (SELECT len(list_filter(t.cs, lambda c: c <= d.u)) AS n) s
 )
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM counted WHERE n > 0
 """

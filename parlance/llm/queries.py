@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import mixing, quality, suffix_dedup, windows
+from parlance.llm import mixing, quality, suffix_dedup, warc, windows
+from parlance.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_archives(spark, path))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digest(windows.dedup_windows(_table(spark, sf_dir, "documents")))
 
@@ -30,10 +37,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_warc_revisits": warc.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
