@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import embedding_dedup, minhash, mixing, quality, suffix_dedup, warc, windows
+from parlance.llm import (
+    embedding_dedup,
+    minhash,
+    mixing,
+    quality,
+    sentencepiece_codec,
+    suffix_dedup,
+    token_counts,
+    warc,
+    windows,
+)
 from parlance.session import scratch_path
 
 
@@ -16,6 +26,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents")))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +62,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_sentencepiece_dropout": op3_sentencepiece_dropout,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
