@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import (
+    chat,
     embedding_dedup,
     minhash,
     mixing,
@@ -38,6 +39,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tool_calls(*chat.calls_of_turns(_table(spark, sf_dir, "conversations")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece_dropout": op3_sentencepiece_dropout,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_tool_call_linking": op5_tool_call_linking,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc_revisits": op8_warc_revisits,
