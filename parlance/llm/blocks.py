@@ -165,10 +165,10 @@ def anchors(gram: np.ndarray, window: int, size: int, starts: np.ndarray) -> tup
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of ``n`` units lie in a window of ``length`` that begins at ``starts``."""
+    """Which of ``n`` units lie in a window of ``length`` at one of the distinct ``starts``."""
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + length, n), -1)
+    change[starts] += 1
+    change[starts + length] -= 1
     return np.cumsum(change[:n]) > 0
 
 

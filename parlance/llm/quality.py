@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import blocks
 from parlance.llm.shards import ids_of
-from parlance.llm.store import pick, public_id, with_id
+from parlance.llm.store import pick, place, public_id, with_id
 
 BUCKETS = 1 << 16
 #: Weight of the corpus in the trusted multinomial, in counts.
@@ -150,26 +150,65 @@ def ratio_model(docs: DataFrame, trusted: np.ndarray, prior: float) -> np.ndarra
     return ratio
 
 
+def _columns(texts: pa.Array, model: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The result columns after the id, for a batch of at least one text."""
+    out = []
+    for _, _, data, offsets in blocks.slices(*blocks.column(texts)):
+        n_words, chars, symbols, dup, again, hashes, first = base_counts(data, offsets)
+        failed = (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
+        bucket, row = ngram_buckets(hashes, first)
+        rows = len(offsets) - 1
+        total = np.bincount(row, weights=model[bucket], minlength=rows)
+        llr = total / np.maximum(np.bincount(row, minlength=rows), 1)
+        out.append((n_words, chars, symbols, dup, again, failed, llr, ~failed & (llr >= threshold)))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
 def _score(model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in RESULT.split(", ")[1:]]
+        for batch in batches:
+            if batch.num_rows:
+                columns = _columns(batch.column("text"), model.value, threshold)
+                yield pa.record_batch({"id": batch.column("id"), **{n: pa.array(c) for n, c in zip(names, columns)}})
+
+    return run
+
+
+def _keep(model, threshold: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, hi_lo, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
-                n_words, chars, symbols, dup, again, hashes, first = base_counts(data, offsets)
-                failed = (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
-                bucket, row = ngram_buckets(hashes, first)
-                rows = len(offsets) - 1
-                total = np.bincount(row, weights=model.value[bucket], minlength=rows)
-                llr = total / np.maximum(np.bincount(row, minlength=rows), 1)
-                out.append((n_words, chars, symbols, dup, again, failed, llr, ~failed & (llr >= threshold)))
-            if out:
-                names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
-                cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.record_batch({"id": batch.column("id"), **{n: pa.array(c) for n, c in zip(names, cols)}})
+            if batch.num_rows:
+                yield batch.filter(pa.array(_columns(batch.column(text_col), model.value, threshold)[-1]))
 
     return run
 
 
+def fitted(docs: DataFrame, labels: DataFrame | None, trusted_rows: int, prior: float, label_cols: tuple):
+    """The broadcast model of documents ``(id, text)``."""
+    trusted = np.empty(0, np.int64) if labels is None else trusted_ids(labels, trusted_rows, *label_cols)
+    model = ratio_model(docs, trusted, prior) if len(trusted) else np.zeros(BUCKETS)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def keep_documents(
+    df: DataFrame,
+    labels: DataFrame | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    trusted_rows: int = TRUSTED_ROWS,
+    prior: float = PRIOR,
+    label_cols: tuple[str, str, str] = ("doc_id", "quality", "toxic"),
+) -> DataFrame:
+    """The rows of ``df``, whole and unchanged, that :func:`score_documents` keeps.
+
+    Column names must be distinct. Rows are judged one by one, so nothing is shuffled.
+    """
+    held = fitted(with_id(df, id_col, text=text_col), labels, trusted_rows, prior, label_cols)
+    return df.mapInArrow(_keep(held, threshold, df.columns[place(df.columns, text_col)]), df.schema)
+
+
 def score_documents(
     df: DataFrame,
     labels: DataFrame | None,
@@ -188,8 +227,6 @@ def score_documents(
     null. Other columns are ignored.
     """
     docs = with_id(df, id_col, text=text_col)
-    trusted = np.empty(0, np.int64) if labels is None else trusted_ids(labels, trusted_rows, *label_cols)
-    model = ratio_model(docs, trusted, prior) if len(trusted) else np.zeros(BUCKETS)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = fitted(docs, labels, trusted_rows, prior, label_cols)
     done = docs.select("id", "text").mapInArrow(_score(held, threshold), RESULT)
     return done.select(public_id(id_col), *[c.split()[0] for c in RESULT.split(", ")[1:]])

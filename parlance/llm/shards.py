@@ -31,11 +31,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def sharded(docs: DataFrame, total: int, each: int = SHARD_BYTES) -> DataFrame:
-    """``(shard, id, text)``; rows without an id are dealt by their text."""
+def sharded(docs: DataFrame, total: int, each: int = SHARD_BYTES, extra: Iterable[str] = ()) -> DataFrame:
+    """``(shard, id, text)`` and what else is asked for; rows without an id are dealt by their text."""
     count = groups_for(total, each)
     apart = F.when(F.col("id") == NO_ID, F.col("text"))
-    return docs.select(F.pmod(F.xxhash64("id", apart), F.lit(count)).cast("int").alias("shard"), "id", "text")
+    return docs.select(F.pmod(F.xxhash64("id", apart), F.lit(count)).cast("int").alias("shard"), "id", "text", *extra)
 
 
 def ids_of(table: pa.Table) -> np.ndarray:

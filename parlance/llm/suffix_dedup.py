@@ -18,13 +18,15 @@ Hot passages reach a bucket once per shard of documents, not once per document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
-from parlance.llm.shards import SHARD_BYTES, by_bucket, ids_of, joined, repeated_anchors, sharded, text_bytes
+from parlance.llm.shards import SHARD_BYTES, ids_of, joined, repeated_anchors, sharded, text_bytes
 from parlance.llm.store import NO_ID, discard, groups_for, public_id, stored, with_id
 
 GRAM = 16
@@ -253,7 +255,7 @@ def _decide(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, carried: list[str]):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         ids = ids_of(docs)
         keys, masks = joined(back["keys"]), joined(back["masks"])
@@ -290,12 +292,15 @@ def _remove(length: int):
         return pa.table({
             "id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n), "n_removed": pa.array(n - np.diff(left)),
             "removed": pa.ListArray.from_arrays(pa.array(span_at.astype(np.int32)), spans), "kept": kept,
+            **{c: docs[c] for c in carried},
         })
 
     return run
 
 
-def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def dedup_suffixes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Remove each byte under a ``length``-byte string that also starts in a smaller document.
 
     Strings are judged on the input and never cross documents. Returns one row per input row:
@@ -304,11 +309,12 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts count as empty; texts shorter than ``length`` stay whole. Rows with the same id
     are one document for the comparison: none of them removes from another. A null id counts
-    as larger than any other. Other columns are ignored. ``length`` is 24 to 64.
+    as larger than any other. Columns named in ``carry`` come along; others are ignored. ``length`` is 24 to 64.
     """
     if not 24 <= length <= 64:
         raise ValueError("length must be 24 to 64")
-    docs = with_id(df, id_col, text=text_col)
+    own = [f"_k{i}" for i in range(len(carry))]
+    docs = with_id(df, id_col, text=text_col, **dict(zip(own, carry)))
     total = text_bytes(docs)
     shards = sharded(docs, total)
     flags = stored(repeated_anchors(shards, _units(length), total, DENSITY)[0], "suffix-anchors")
@@ -316,8 +322,18 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = shards.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(_send(length, buckets), SENT)
     decided = stored(sent.groupBy("bucket").applyInArrow(_decide(length), BACK), "suffix-repeats")
     discard(flags)
-    done = shards.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(_remove(length), RESULT)
-    return done.select(public_id(id_col), "n_bytes", "n_removed", "removed", "kept")
+    whole = sharded(docs, total, extra=own)
+    schema = ", ".join([RESULT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own)])
+    done = whole.groupBy("shard").cogroup(decided.groupBy("shard")).applyInArrow(_remove(length, own), schema)
+    brought = [F.col(c).alias(name) for c, name in zip(own, carry)]
+    return done.select(public_id(id_col), "n_bytes", "n_removed", "removed", "kept", *brought)
+
+
+def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column ``kept`` as text; characters that a cut went through are dropped."""
+    for batch in batches:
+        cells = [c.as_py().decode("utf-8", "ignore") for c in batch.column("kept")]
+        yield batch.set_column(batch.schema.get_field_index("kept"), "kept", pa.array(cells, pa.string()))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
-from parlance.llm.shards import array_of, by_bucket, ids_of, joined, repeated_anchors, sharded, text_bytes
-from parlance.llm.store import discard, pick, public_id, stored, with_id  # noqa: F401
+from parlance.llm.shards import by_bucket, ids_of, joined, repeated_anchors, sharded, text_bytes
+from parlance.llm.store import discard, public_id, stored, with_id
 
 #: Words in an anchor gram.
 GRAM = 8
