@@ -65,7 +65,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(open_slots):
             break
         suffix = order[open_slots]
-        pair = (head[open_slots].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(suffix + h, n)] + 1).astype(np.uint64)
+        over = suffix + h - n  # a suffix that ends within h bytes comes before longer ones
+        second = np.where(over < 0, rank[np.minimum(suffix + h, n)], -1 - over) + h + 1
+        pair = (head[open_slots].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         turn = np.argsort(pair)
         order[open_slots], pair = suffix[turn], pair[turn]
         begins = np.concatenate(([True], pair[1:] != pair[:-1]))
@@ -85,7 +87,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate((text, np.zeros(depth + 1, np.uint8)))
+    padded = np.concatenate((text.astype(np.uint16), np.full(depth + 1, 256, np.uint16)))  # 256: no byte
     shared = np.zeros(n, np.int16)
     at, end, h = starts.astype(np.int64), ends.astype(np.int64), np.zeros(len(starts), np.int64)
     live = at < end

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parlance.llm import blocks
-from parlance.llm.pieces import LITERAL, PIECE_MODEL, SPACE, Vocabulary, chunks, distinct, groups, load_vocabulary
+from parlance.llm.pieces import LITERAL, PIECE_MODEL, Vocabulary, chunks, distinct, groups, load_vocabulary
 from parlance.llm.store import public_id, with_id
 
 RESULT = "id long, n_pretokens long, n_tokens long"
@@ -107,20 +107,3 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done.select(public_id(id_col), "n_pretokens", "n_tokens")
 
 
-def count_by_hand(vocab: Vocabulary, pretoken: list[int]) -> int:
-    """The same count for one pre-token, without a trie (for tests)."""
-    ids = sorted(vocab.known.values(), key=lambda i: vocab.priority[i])
-    scores = {vocab.pieces[i]: -float(np.log(k + 1.0)) for k, i in enumerate(ids)}
-    word = [chr(SPACE) if c == SPACE else "\0literal" if c == LITERAL else chr(c) for c in pretoken]
-    best: list[tuple] = [(0.0, 0)]
-    for end in range(1, len(word) + 1):
-        options = []
-        for begin in range(end - 1, -1, -1):
-            score = scores.get("".join(word[begin:end]))
-            if score is not None:
-                options.append((best[begin][0] + score, -(best[begin][1] + 1)))
-        spelled = 3 if pretoken[end - 1] == LITERAL else len(chr(pretoken[end - 1]).encode())
-        options.append((best[end - 1][0] + BYTE_SCORE * spelled, -(best[end - 1][1] + spelled)))
-        score, tokens = max(options)
-        best.append((score, -tokens))
-    return best[-1][1]
