@@ -8,11 +8,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.schema import KEY
+from parlance.operators.lexicon import text_key
 
 # Largest gazetteer that is inlined into the plan; a larger one is joined.
 MAX_INLINE_PHRASES = 5_000
-MAX_PHRASE_WORDS = 6
 
 _WORD = r"[\p{L}\p{N}_]+"
 
@@ -57,33 +56,35 @@ def _counts(types: Column) -> dict[str, Column]:
     }
 
 
-def inline_gazetteer(
-    gazetteer: DataFrame | Iterable[tuple[str, str]], limit: int = MAX_INLINE_PHRASES
-) -> list[tuple[str, str]] | None:
-    """The normalised phrases when there are at most ``limit`` of them, else None."""
-    if isinstance(gazetteer, DataFrame):
-        rows = _normalised(gazetteer).limit(limit + 1).collect()
-        return [tuple(r) for r in rows] if len(rows) <= limit else None
-    rows = list(gazetteer)
-    if len(rows) > limit:
-        raise ValueError(f"pass more than {limit} phrases as a DataFrame")
-    return rows
+def gazetteer_table(
+    like: DataFrame, gazetteer: DataFrame | Iterable[tuple[str, str]]
+) -> DataFrame:
+    """Distinct phrases of lower-cased words with one type each, the least; lists and tables alike."""
+    if not isinstance(gazetteer, DataFrame):
+        gazetteer = like.sparkSession.createDataFrame(list(gazetteer), "phrase string, type string")
+    return _normalised(gazetteer)
 
 
 def entity_counts(
-    sentences: DataFrame, gazetteer: DataFrame | Iterable[tuple[str, str]]
+    sentences: DataFrame,
+    gazetteer: DataFrame | Iterable[tuple[str, str]],
+    max_inline: int = MAX_INLINE_PHRASES,
 ) -> DataFrame:
-    """Add ORG, LOC/GPE, LAW and total counts; 0 where nothing is found."""
-    phrases = inline_gazetteer(gazetteer)
-    if phrases is None:
-        return joined_entity_counts(sentences, gazetteer)
-    return inlined_entity_counts(sentences, phrases)
+    """Add ORG, LOC/GPE, LAW and total counts; 0 where nothing is found.
+
+    Up to ``max_inline`` phrases are inlined into the plan, more are joined.
+    """
+    phrases = gazetteer_table(sentences, gazetteer)
+    rows = phrases.limit(max_inline + 1).collect()
+    if len(rows) > max_inline:
+        return joined_entity_counts(sentences, phrases)
+    return inlined_entity_counts(sentences, [tuple(r) for r in rows])
 
 
 def inlined_entity_counts(
     sentences: DataFrame, phrases: Iterable[tuple[str, str]]
 ) -> DataFrame:
-    """No shuffle: positions whose word starts a phrase are tried at each phrase length."""
+    """No shuffle: positions whose word starts a normalised phrase are tried at each length."""
     by_size: dict[int, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
     firsts: set[str] = set()
     for phrase, kind in phrases:
@@ -126,41 +127,42 @@ def inlined_entity_counts(
     return typed.withColumns(counts).drop("_words", "_hits", "_types")
 
 
-def joined_entity_counts(
-    sentences: DataFrame, gazetteer: DataFrame, max_words: int | None = None
-) -> DataFrame:
-    """For gazetteers of any size: n-grams whose first word opens a phrase are joined.
+def joined_entity_counts(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
+    """For normalised gazetteers of any size.
 
-    Only the rows that hit are shuffled to their sentence key.
+    The first words of the phrases come first: only places where one stands go on, each
+    with the phrase lengths that its word opens. Counts depend on the sentence alone, so
+    rows meet them by a key of the sentence.
     """
-    phrases = _normalised(gazetteer)
-    if max_words is None:
-        longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
-        max_words = longest or 1
-    worded = sentences.select(KEY, _words(F.col("sentence")).alias("w"))
-    grams = worded.select(
-        KEY, "w", F.posexplode("w").alias("start", "_first")
-    ).select(
-        KEY,
+    words = F.split("phrase", " ")
+    firsts = phrases.groupBy(F.get(words, F.lit(0)).alias("_first")).agg(
+        F.collect_set(F.size(words)).alias("_sizes")
+    )
+    keyed = sentences.withColumn("_text_key", text_key("sentence"))
+    once = keyed.select("_text_key", _words(F.col("sentence")).alias("w"))
+    once = once.dropDuplicates(["_text_key"])
+    ahead = once.select(
+        "_text_key", F.col("w"), F.posexplode("w").alias("start", "_first")
+    ).join(firsts, "_first")
+    grams = ahead.select("_text_key", "start", F.explode("_sizes").alias("len"), "w").where(
+        F.col("start") + F.col("len") <= F.size("w")
+    )
+    placed = grams.select(
+        "_text_key",
         "start",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - F.col("start"))),
-                lambda n: F.struct(
-                    n.alias("len"),
-                    F.array_join(F.slice("w", F.col("start") + 1, n), " ").alias("phrase"),
-                ),
-            )
-        ).alias("g"),
+        (F.col("start") + F.col("len")).alias("stop"),
+        F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("phrase"),
     )
     hits = (
-        grams.select(KEY, "start", (F.col("start") + F.col("g.len")).alias("stop"), "g.phrase")
-        .join(phrases, "phrase")
-        .groupBy(KEY)
+        placed.join(phrases, "phrase")
+        .groupBy("_text_key")
         .agg(F.collect_list(F.struct("start", "stop", "type")).alias("_hits"))
-        .select(KEY, F.transform(_keep_longest(F.col("_hits")), lambda h: h["type"]).alias("_types"))
+        .select(
+            "_text_key",
+            F.transform(_keep_longest(F.col("_hits")), lambda h: h["type"]).alias("_types"),
+        )
     )
-    joined = sentences.join(hits, KEY, "left").withColumn(
+    joined = keyed.join(hits, "_text_key", "left").withColumn(
         "_types", F.coalesce("_types", F.array().cast("array<string>"))
     )
-    return joined.withColumns(_counts(F.col("_types"))).drop("_types")
+    return joined.withColumns(_counts(F.col("_types"))).drop("_types", "_text_key")

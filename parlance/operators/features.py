@@ -11,7 +11,12 @@ from parlance.functions import features as fx
 from parlance.functions import fixed_values as fv
 from parlance.functions.text import tokens
 from parlance.operators.entities import entity_counts
-from parlance.operators.lexicon import lexicon_entries
+from parlance.operators.lexicon import (
+    MAX_INLINE_ENTRIES,
+    lexicon_entries,
+    lexicon_table,
+    text_key,
+)
 from parlance.schema import KEY, MODAL_FEATURES, SENTIMENT_FEATURES, VAGUE_FEATURES
 
 Lexicon = Iterable[str] | DataFrame
@@ -25,7 +30,8 @@ def with_tokens(df: DataFrame) -> DataFrame:
     """Add the lower-cased tokens as ``_tokens``; the steps below share them."""
     if "_tokens" in df.columns:
         return df
-    return df.withColumn("_tokens", tokens(F.lower("sentence")))
+    sentence = F.coalesce("sentence", F.lit(""))  # a null sentence has no tokens
+    return df.withColumn("_tokens", tokens(F.lower(sentence)))
 
 
 def _on_tokens(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -37,30 +43,33 @@ def add_concreteness(df: DataFrame, **flags: bool) -> DataFrame:
     return _on_tokens(df, fx.concreteness(F.col("sentence"), F.size("_tokens"), **flags))
 
 
-def add_lexicon_hits(df: DataFrame, lexicon: Lexicon, count: str, ratio: str) -> DataFrame:
-    """Token hits against one lexicon. A lexicon too large to inline is joined instead."""
-    entries = lexicon_entries(lexicon)
+def add_lexicon_hits(
+    df: DataFrame, lexicon: Lexicon, count: str, ratio: str, max_inline: int = MAX_INLINE_ENTRIES
+) -> DataFrame:
+    """Token hits against one lexicon; one of more than ``max_inline`` entries is joined."""
+    entries = lexicon_entries(lexicon, max_inline)
     if entries is not None:
         return _on_tokens(df, fx.lexicon_features(F.col("_tokens"), entries, count, ratio))
     return _joined_lexicon_hits(df, lexicon, count, ratio)
 
 
-def _joined_lexicon_hits(df: DataFrame, lexicon: DataFrame, count: str, ratio: str) -> DataFrame:
-    tokenised = with_tokens(df)
-    words = (
-        tokenised.select(KEY, F.explode("_tokens").alias("entry"))
-        .groupBy(KEY, "entry")
-        .agg(F.count("*").alias("n"))
-    )
+def _joined_lexicon_hits(df: DataFrame, lexicon: Lexicon, count: str, ratio: str) -> DataFrame:
+    """The same by a join: only tokens of the lexicon are counted and shuffled.
+
+    Counts depend on the sentence alone, so rows meet them by a key of the sentence.
+    """
+    tokenised = with_tokens(df).withColumn("_text_key", text_key("sentence"))
+    once = tokenised.select("_text_key", "_tokens").dropDuplicates(["_text_key"])
     hits = (
-        words.join(lexicon.select("entry").distinct(), "entry", "left_semi")
-        .groupBy(KEY)
-        .agg(F.sum("n").alias(count))
+        once.select("_text_key", F.explode("_tokens").alias("entry"))
+        .join(lexicon_table(df, lexicon), "entry", "left_semi")
+        .groupBy("_text_key")
+        .agg(F.count("*").alias(count))
     )
     n = F.coalesce(F.col(count), F.lit(0)).cast("long")
     size = F.greatest(F.size("_tokens"), F.lit(1)).cast("double")
     return (
-        tokenised.join(hits, KEY, "left")
+        tokenised.join(hits, "_text_key", "left")
         .withColumn(count, n)
         .withColumn(ratio, F.col(count) / size)
         .select(*df.columns, count, ratio)

@@ -58,8 +58,8 @@ def invalid_labels(labels: DataFrame, valid: Iterable[str] = VALID_LABELS) -> Da
 
 
 def check_labels(labels: DataFrame, valid: Iterable[str] = VALID_LABELS) -> None:
-    """Raise ``ValueError`` that lists unknown label values (at most a hundred)."""
-    unknown = [r.label for r in invalid_labels(labels, valid).orderBy("label").limit(100).collect()]
+    """Raise ``ValueError`` that lists all unknown label values of the sheet."""
+    unknown = [r.label for r in invalid_labels(labels, valid).orderBy("label").collect()]
     if unknown:
         raise ValueError(f"unknown labels: {unknown}; expected: {sorted(valid)}")
 

@@ -11,21 +11,33 @@ from parlance.functions.text import strip, tokens
 
 # Largest lexicon that is inlined as literals; a larger one is joined.
 MAX_INLINE_ENTRIES = 10_000
+# Characters of an entry that a join looks for first.
+_GRAM = 3
 
 
 def lexicon_entries(
     lexicon: DataFrame | Iterable[str], limit: int = MAX_INLINE_ENTRIES
 ) -> list[str] | None:
-    """The entries as a sorted list when there are at most ``limit``, else None."""
+    """The entries, blanks left out, as a sorted list when there are at most ``limit``, else None."""
     if isinstance(lexicon, DataFrame):
-        rows = lexicon.select("entry").distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            return None
-        return sorted(r.entry for r in rows)
-    entries = sorted(set(lexicon))
-    if len(entries) > limit:
-        raise ValueError(f"pass more than {limit} entries as a DataFrame")
-    return entries
+        rows = lexicon.select("entry").where("entry <> ''").distinct().limit(limit + 1).collect()
+        entries = [r.entry for r in rows]
+    else:
+        entries = list({e for e in lexicon if e})
+    return sorted(entries) if len(entries) <= limit else None
+
+
+def lexicon_table(like: DataFrame, lexicon: DataFrame | Iterable[str]) -> DataFrame:
+    """The distinct entries as a table, blanks left out."""
+    if not isinstance(lexicon, DataFrame):
+        rows = [(e,) for e in sorted({e for e in lexicon if e})]
+        lexicon = like.sparkSession.createDataFrame(rows, "entry string")
+    return lexicon.select("entry").where("entry <> ''").distinct()
+
+
+def text_key(text: str) -> Column:
+    """What a join uses in place of the text; results that depend on a text alone share it."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
 def parse_lexicon(raw_lines: DataFrame, column: str = "value") -> DataFrame:
@@ -75,28 +87,34 @@ def adjust_lexicon(
 def lemmatize(documents: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Add ``lemma_text``: every lower-cased token replaced by its lemma, in order.
 
-    ``lemmas`` is ``(form, lemma)``; the smallest lemma of a form wins. Spark broadcasts
-    the table when its size allows; the tokens of a document then meet again in one row
-    before the shuffle. Beyond that size AQE splits the frequent words of the join.
+    ``lemmas`` is ``(form, lemma)``; the smallest lemma of a form wins. The lemma text
+    depends on the text alone, so tokens meet again by a key of the text: equal ids do
+    not mix, and equal texts are done once. Spark broadcasts the table when its size
+    allows; the tokens of a text then meet in one row before the shuffle.
     """
     table = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    keyed = documents.withColumn("_text_key", text_key("text"))
+    once = keyed.select("_text_key", "text").dropDuplicates(["_text_key"])
     placed = (
-        documents.select("doc_id", F.posexplode(tokens(F.lower("text"))).alias("pos", "form"))
+        once.select("_text_key", F.posexplode(tokens(F.lower("text"))).alias("pos", "form"))
         .join(table, "form", "left")
-        .select("doc_id", "pos", F.coalesce("lemma", "form").alias("lemma"))
+        .select("_text_key", "pos", F.coalesce("lemma", "form").alias("lemma"))
     )
-    texts = placed.groupBy("doc_id").agg(
+    texts = placed.groupBy("_text_key").agg(
         F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_placed")
     ).select(
-        "doc_id", F.array_join(F.transform("_placed", lambda p: p["lemma"]), " ").alias("lemma_text")
+        "_text_key",
+        F.array_join(F.transform("_placed", lambda p: p["lemma"]), " ").alias("lemma_text"),
     )
-    return documents.join(texts, "doc_id", "left").withColumn(
-        "lemma_text", F.coalesce("lemma_text", F.lit(""))
+    return keyed.join(texts, "_text_key", "left").select(
+        *documents.columns, F.coalesce("lemma_text", F.lit("")).alias("lemma_text")
     )
 
 
-def _present(text: Column, entries: Iterable[str]) -> Column:
+def _present(text: Column, entries: list[str]) -> Column:
     """Entries that occur in the text as a substring."""
+    if not entries:
+        return F.array().cast("array<string>")
     literal = F.array(*[F.lit(e) for e in entries])
     return F.filter(literal, lambda e: F.contains(text, e))
 
@@ -107,10 +125,16 @@ def _score(n_hits: Column, text: Column) -> Column:
 
 
 def lexicon_score(
-    documents: DataFrame, lexicon: DataFrame | Iterable[str], text: str = "lemma_text"
+    documents: DataFrame,
+    lexicon: DataFrame | Iterable[str],
+    text: str = "lemma_text",
+    max_inline: int = MAX_INLINE_ENTRIES,
 ) -> DataFrame:
-    """``score`` = 100 × entries found as substrings / tokens, to two decimals."""
-    entries = lexicon_entries(lexicon)
+    """``score`` = 100 × entries found as substrings / tokens, to two decimals.
+
+    A lexicon of more than ``max_inline`` entries is joined; the result is the same.
+    """
+    entries = lexicon_entries(lexicon, max_inline)
     if entries is None:
         return joined_lexicon_score(documents, lexicon, text)
     if not entries:
@@ -120,53 +144,71 @@ def lexicon_score(
     ).withColumn("score", _score(F.col("n_hits"), F.col(text)))
 
 
-def joined_lexicon_score(documents: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
-    """For lexicons of any size: match on a shared character trigram, then verify.
+def joined_hits(documents: DataFrame, lexicon: DataFrame | Iterable[str], text: str) -> DataFrame:
+    """``(_text_key, entry)`` for every entry that occurs in a text as a substring.
 
-    An entry occurs in a text only if its first three characters do. Entries shorter
-    than that are matched on what they have.
+    An entry occurs only where its first characters do, ``_GRAM`` of them or what it has.
+    Grams travel without the text and only if they open an entry; the candidates of a
+    text are then checked against it in one row.
     """
-    entries = lexicon.select("entry").where(F.col("entry") != "").distinct().withColumn(
-        "gram", F.substring("entry", 1, 3)
-    )
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    opening = F.substring("entry", 1, _GRAM)
+    entries = lexicon_table(documents, lexicon).select("entry", opening.alias("gram"))
+    once = documents.select(text_key(text).alias("_text_key"), F.col(text).alias("_text"))
+    once = once.dropDuplicates(["_text_key"])
+    letters = F.split(F.coalesce("_text", F.lit("")), "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(letters), F.lit(1)))
     grams = F.flatten(
         F.transform(
-            F.array(*[F.lit(n) for n in (1, 2, 3)]),
-            lambda n: F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, n))),
+            F.array(*[F.lit(n) for n in range(1, _GRAM + 1)]),
+            lambda n: F.transform(starts, lambda i: F.array_join(F.slice("_letters", i, n), "")),
         )
     )
-    hits = (
-        documents.select("doc_id", text, F.explode(F.array_distinct(grams)).alias("gram"))
-        .join(entries, "gram")
-        .where(F.contains(F.col(text), F.col("entry")))
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n_hits"))
+    opened = once.withColumn("_letters", letters).select(
+        "_text_key", F.explode(F.array_distinct(grams)).alias("gram")
+    )
+    candidates = opened.join(entries, "gram").groupBy("_text_key").agg(
+        F.collect_set("entry").alias("_entries")
     )
+    held = F.filter("_entries", lambda e: F.contains(F.col("_text"), e))
+    return once.join(candidates, "_text_key").select("_text_key", F.explode(held).alias("entry"))
+
+
+def joined_lexicon_score(
+    documents: DataFrame, lexicon: DataFrame | Iterable[str], text: str
+) -> DataFrame:
+    """The same score for lexicons of any size."""
+    hits = joined_hits(documents, lexicon, text)
+    counted = hits.groupBy("_text_key").agg(F.count("*").alias("n_hits"))
+    keyed = documents.withColumn("_text_key", text_key(text))
+    n_hits = F.coalesce("n_hits", F.lit(0)).cast("long")
     return (
-        documents.join(hits, "doc_id", "left")
-        .withColumn("n_hits", F.coalesce("n_hits", F.lit(0)).cast("long"))
+        keyed.join(counted, "_text_key", "left")
+        .withColumn("n_hits", n_hits)
         .withColumn("score", _score(F.col("n_hits"), F.col(text)))
+        .select(*documents.columns, "n_hits", "score")
     )
 
 
 def keyword_in_context(
-    documents: DataFrame, lexicon: DataFrame | Iterable[str], window: int = 60
+    documents: DataFrame,
+    lexicon: DataFrame | Iterable[str],
+    window: int = 60,
+    max_inline: int = MAX_INLINE_ENTRIES,
 ) -> DataFrame:
     """First occurrence of each entry of a document, with ``window`` characters around.
 
     An entry counts when the lemma text has it; the context comes from the lower-cased
-    original text when that has it too, else from the lemma text.
+    original text when that has it too, else from the lemma text. A lexicon of more than
+    ``max_inline`` entries is joined; the result is the same.
     """
-    entries = lexicon_entries(lexicon)
+    entries = lexicon_entries(lexicon, max_inline)
     if entries is None:
-        raise ValueError(f"the context report takes at most {MAX_INLINE_ENTRIES} entries")
-    found = documents.select(
-        "doc_id",
-        F.lower("text").alias("_text"),
-        "lemma_text",
-        F.explode(_present(F.col("lemma_text"), entries)).alias("entry"),
-    )
+        hits = joined_hits(documents, lexicon, "lemma_text")
+        rows = documents.withColumn("_text_key", text_key("lemma_text")).join(hits, "_text_key")
+        entry = F.col("entry")
+    else:
+        rows, entry = documents, F.explode(_present(F.col("lemma_text"), entries))
+    found = rows.select("doc_id", F.lower("text").alias("_text"), "lemma_text", entry.alias("entry"))
     in_original = F.contains(F.col("_text"), F.col("entry"))
     body = F.when(in_original, F.col("_text")).otherwise(F.col("lemma_text"))
     placed = found.select(

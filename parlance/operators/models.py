@@ -29,14 +29,15 @@ from parlance.operators.stats import (
 from parlance.operators.vectors import assemble_vector
 from parlance.schema import KEY, LINGUISTIC_FEATURES, NEG_LABEL, POS_LABEL
 
-# Searched settings and their Spark names.
+# Searched settings and their Spark names. The least gain of a split is on the
+# scale of Spark's variance gain, where larger values would leave trees of a single leaf.
 SEARCH_SPACE = {
     "maxIter": (100, 200, 300, 500),
     "maxDepth": (3, 4, 5, 6, 7),
     "stepSize": (0.01, 0.05, 0.1, 0.2, 0.3),
     "subsamplingRate": (0.7, 0.8, 0.9, 1.0),
     "featureSubsetStrategy": ("0.5", "0.7", "0.8", "1.0"),
-    "minInfoGain": (0.0, 0.1, 0.5, 1.0),
+    "minInfoGain": (0.0, 0.001, 0.01, 0.05),
 }
 N_DRAWS, N_FOLDS = 30, 3
 

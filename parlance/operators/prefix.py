@@ -63,14 +63,18 @@ def range_prefix(
     Adds ``before`` (exclusive running sum) and ``total``. Buckets are ranges between
     splitters from a bounded sample: the rows with the smallest hashes, so the sample is
     the same whenever it is drawn. The splitters shape the work, never the result. A
-    table smaller than the sample needs no splitters.
+    table smaller than the sample (4,096 rows) is one plain window.
     """
     keys = [*group, *order]
     wanted = max_buckets * _SAMPLES_PER_BUCKET
     hashed = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(wanted)
     sample = hashed.select(F.to_json(F.struct(*keys)).alias("k"), *keys).orderBy(*keys).collect()
     if len(sample) < wanted:
-        return _bucketed_prefix(df, group, order, value, F.lit(0))
+        whole = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
+        earlier = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("total", F.sum(value).over(whole)).withColumn(
+            "before", F.coalesce(F.sum(value).over(earlier), F.lit(0))
+        )
     splitters = [row.k for row in sample[_SAMPLES_PER_BUCKET::_SAMPLES_PER_BUCKET]]
     schema = T.ArrayType(df.select(*keys).schema)
     bounds = F.from_json(F.lit("[" + ",".join(splitters) + "]"), schema)

@@ -22,7 +22,14 @@ from parlance.operators import views as vw
 from parlance.operators.entities import entity_counts
 from parlance.plans import inputs as q
 from parlance.plans.pipeline import train_job
-from parlance.schema import ENTITY_FEATURES, KEY, LINGUISTIC_FEATURES, META, SENTIMENT_FEATURES
+from parlance.schema import (
+    ENTITY_FEATURES,
+    KEY,
+    LINGUISTIC_FEATURES,
+    META,
+    SENTIMENT_FEATURES,
+    VAGUE_FEATURES,
+)
 from parlance.schema import NEG_LABEL, POS_LABEL
 from parlance.session import scratch_path
 from parlance.sources import corpus as cp
@@ -229,6 +236,18 @@ def entity_counts_(spark, d):
 QUERIES["entity_counts"] = QUERIES.pop("entity_counts_")
 
 
+@query
+def vague_words_table(spark, d):
+    hits = ft.add_lexicon_hits(q.sentences(spark, d), q.VAGUE, *VAGUE_FEATURES, max_inline=0)
+    return hits.select(KEY, "n_vague_words", *_rounded("vague_ratio"))
+
+
+@query
+def entity_counts_table(spark, d):
+    counts = entity_counts(q.sentences(spark, d), q.GAZETTEER, max_inline=0)
+    return counts.select(KEY, *ENTITY_FEATURES)
+
+
 @query
 def sentiment_scores(spark, d):
     words = tokens(F.lower("sentence"))
@@ -741,6 +760,17 @@ def kwic(spark, d):
     return lx.keyword_in_context(_lemmatized(spark, d), q.ENTRIES)
 
 
+@query
+def lexicon_score_table(spark, d):
+    scores = lx.lexicon_score(_lemmatized(spark, d), q.ENTRIES, max_inline=0)
+    return scores.select("doc_id", "n_hits", "score")
+
+
+@query
+def kwic_table(spark, d):
+    return lx.keyword_in_context(_lemmatized(spark, d), q.ENTRIES, max_inline=0)
+
+
 @query
 def adjust_lexicon(spark, d):
     names, kinds, brands = _part_lexicons(spark, d)

@@ -269,9 +269,9 @@ _ARGMAX = f"""SELECT "PRIMARY_KEY", ['langue_de_bois', 'non_langue_de_bois', 'au
   list_position({_SCORE_ARRAY}, list_max({_SCORE_ARRAY}))] AS label FROM feats"""
 
 _ALPHA = "format('{:.2f}', 0.25 + proba * 0.65)"
-_SPAN = f"""'<span title="p = ' || format('{{:.3f}}', proba) || '" style="background-color:rgba(255,'
+_SPAN = f"""'<mark data-p="' || format('{{:.3f}}', proba) || '" style="background: rgba(255,'
   || greatest(50, 220 - CAST(floor(proba * 200) AS BIGINT)) || ',' || greatest(0, 100 - CAST(floor(proba * 100) AS BIGINT))
-  || ',' || {_ALPHA} || ');border-radius:4px;padding:1px 4px;margin:1px;">'"""
+  || ',' || {_ALPHA} || ')">'"""
 _ESCAPED = "replace(replace(replace(sentence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 _STORED = "WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS \"PRIMARY_KEY\", embedding FROM embeddings)"
@@ -442,9 +442,9 @@ ORACLE: dict[str, str] = {
       row_number() OVER (PARTITION BY doc_id ORDER BY proba DESC, sent_idx) AS rank FROM scored) WHERE rank <= 3""",
     "corpus_totals": f"""{SCORED} SELECT count(*) AS n_sentences, count(*) FILTER (pred = {_POS}) AS n_positive,
       round(count(*) FILTER (pred = {_POS}) / CAST(count(*) AS DOUBLE), 6) AS share, count(DISTINCT doc_id) AS n_documents FROM scored""",
-    "render_documents": f"""{SCORED} SELECT doc_id, '<p style=''line-height:1.9;font-size:15px;''>' || string_agg(
-      CASE WHEN proba >= 0.7 AND pred = {_POS} THEN {_SPAN} || {_ESCAPED} || '</span>' ELSE {_ESCAPED} END, ' ' ORDER BY sent_idx)
-      || '</p>' AS markup FROM scored GROUP BY doc_id""",
+    "render_documents": f"""{SCORED} SELECT doc_id, '<article>' || string_agg(
+      CASE WHEN proba >= 0.7 AND pred = {_POS} THEN {_SPAN} || {_ESCAPED} || '</mark>' ELSE {_ESCAPED} END, ' ' ORDER BY sent_idx)
+      || '</article>' AS markup FROM scored GROUP BY doc_id""",
     "doc_header": f"""{TEXT} SELECT doc_id, arg_min(date, sent_idx) AS date, arg_min(classe, sent_idx) AS classe,
       count(*) AS n_sentences FROM sents GROUP BY doc_id""",
     "abstract_words": f"WITH {_ABSTRACT} SELECT * FROM abstract",
@@ -470,3 +470,7 @@ ORACLE: dict[str, str] = {
       round(avg(numeric_ratio), 6) AS mean_numeric_ratio, count(*) FILTER (n_digits > 0) AS n_concrete
       FROM feats GROUP BY date, classe""",
 }
+
+# The joined forms of these operators give the results of the inlined ones.
+for _name in ("vague_words", "entity_counts", "lexicon_score", "kwic"):
+    ORACLE[f"{_name}_table"] = ORACLE[_name]
