@@ -12,13 +12,14 @@ gives the same bytes.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.store import NO_ID, discard, pick, stored, with_id
+from parlance.llm.store import NO_ID, discard, stored, transient_shuffles, with_id
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,13 +101,14 @@ def write_archives(
     html_col: str = "html",
     least_bytes: int = LEAST_BYTES,
     date: str = "2024-01-01T00:00:00Z",
+    compression: str = "gzip",
 ) -> None:
     """Write one record per row below ``path``, later copies of a payload as revisits.
 
     A null payload is empty, a null url blank. A null id counts as larger than any other and
     its record carries none. Rows that repeat the smallest id of a payload are one page:
     each is written as a response with the same record id. An empty table writes no record.
-    Other columns are ignored.
+    Other columns are ignored. ``compression`` is gzip or none, for each file as a whole.
     """
     pages = with_id(df, id_col, url=url_col, html=html_col)
     heads = stored(headers(pages), "warc-headers")
@@ -119,7 +121,8 @@ def write_archives(
     left = pages.withColumn("_digest", digest).withColumn("_file", apart).repartition(files, "_file")
     right = decided.withColumn("_file", apart).repartition(files, "_file")
     rows = left.join(right, ["_file", "id", "_digest"], "left").withColumnRenamed("_digest", "payload_digest")
-    records(rows, date).write.option("lineSep", END).text(path)
+    with transient_shuffles(df.sparkSession):
+        records(rows, date).write.option("lineSep", END).option("compression", compression).text(path)
     discard(heads)
 
 
@@ -145,7 +148,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in batch.column("content"):
             rows: list[tuple] = []
             size = 0
-            for r in parse(cell.as_py()):
+            data = cell.as_py()
+            for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 page = r.get("warc-page-id")
                 rows.append((
                     r["warc-record-id"], r["warc-type"], None if page is None else int(page), r.get("warc-target-uri"),
