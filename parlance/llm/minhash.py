@@ -10,9 +10,10 @@ Documents with equal sets are one class from the start. Within a band key
 
 1. every class is compared with the least one,
 2. keys that still hold several components compare members across components only: first
-   each with its likeliest partners, then all pairs whose signatures do not rule them out,
+   each with its likeliest partners, then all pairs that remain possible,
 
-in blocks of bounded size. No pair inside a component is ever listed.
+in blocks of bounded size. A pair is possible if its sizes, its signatures and an upper bound
+of what its sets have in common, from shingle counts in ``SLOTS`` slots, allow it. No pair inside a component is ever listed.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ SHINGLE = 5
 PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Share of equal signature bytes below which a pair is ruled out: 6 standard deviations
-#: under the expected share of a pair at the limit.
-RULED_OUT = 0.5
+#: Share of equal signature bytes below which a pair is ruled out: 4.5 standard deviations
+#: under the expected share of a pair at the limit, 4 in a million.
+RULED_OUT = 0.58
+#: Shingles are counted in so many slots: two sets have at most the sum of the slots' lesser
+#: counts in common. A slot holds 255 at most; a set with a full one is never ruled out by it.
+SLOTS = 1024
 #: Members of a band key that are compared at once.
 BLOCK = 512
 
@@ -109,7 +113,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
             grams, first = shingles(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(grams.view(np.int64)))
-            yield pa.record_batch([batch.column("id").slice(lo, hi - lo), lists], names=["id", "grams"])
+            size = np.diff(first)
+            counts = np.bincount(
+                np.repeat(np.arange(hi - lo), size) * SLOTS + (grams >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=(hi - lo) * SLOTS
+            ).reshape(-1, SLOTS)
+            cells = pa.array([c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)], pa.binary())
+            yield pa.record_batch([batch.column("id").slice(lo, hi - lo), pa.array(size), cells, lists], names=["id", "size", "slots", "grams"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,32 +134,38 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(alike))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, size, slots, grams)``: the full sets of the given documents, and shingles per slot."""
+    wanted = docs.join(ids, "id", "left_semi").select("id", "text")
+    return stored(wanted.mapInArrow(_sets, "id long, size long, slots binary, grams array<long>"), "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets have ``100 * common >= percent * union``."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "minhash-ids")
-    sets = stored(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, grams array<long>"), "minhash-sets")
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("_ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("_gb"))
     common = F.size(F.array_intersect("_ga", "_gb"))
     near = 100 * common >= percent * (F.size("_ga") + F.size("_gb") - common)
-    links = stored(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "minhash-links")
-    discard(ids, sets)
-    return links
+    return stored(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "minhash-links")
 
 
-def _across(top: int | None):
-    """Group function on a block of a band key: likely pairs of different components."""
+def _across(top: int | None, percent: int):
+    """Group function on a block of a band key: pairs of different components that may link."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
+        ids, labels, size = (table[c].to_numpy() for c in ("id", "label", "size"))
         query = table["query"].to_numpy(zero_copy_only=False).astype(bool)
         marks = np.frombuffer(np.ascontiguousarray(blocks.column(table["signature"])[0]).tobytes(), np.uint8).reshape(len(ids), -1)
+        slots = np.frombuffer(np.ascontiguousarray(blocks.column(table["slots"])[0]).tobytes(), np.uint8).reshape(len(ids), -1)
+        full = (slots == 255).any(axis=1)
         others = np.flatnonzero(~query)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in np.flatnonzero(query):
-            pool = others[labels[others] != labels[i]]
-            share = (marks[pool] == marks[i]).mean(axis=1)
-            good = np.flatnonzero(share >= RULED_OUT)
+            pool = others[(labels[others] != labels[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+            pool = pool[(marks[pool] == marks[i]).mean(axis=1) >= RULED_OUT]
+            most = np.minimum(slots[pool], slots[i]).sum(axis=1, dtype=np.int64)
+            share = np.where(full[pool] | full[i], 1.0, most / np.maximum(size[pool] + size[i] - most, 1))
+            good = np.flatnonzero(share >= percent / 100 - 1e-9)
             if top is not None and len(good) > top:
                 good = good[np.argsort(-share[good], kind="stable")[:top]]
             a.append(np.full(len(good), ids[i]))
@@ -160,34 +175,44 @@ def _across(top: int | None):
     return run
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, signatures: DataFrame, top: int | None) -> DataFrame:
-    """Likely pairs ``(a, b)`` across components for keys that hold several.
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, id, label, main)`` of the keys that hold several components.
 
-    The members outside a key's most frequent component are its queries; they are compared
-    with all its members, block by block.
+    ``main`` is the most frequent component of the key.
     """
     named = members.join(labels.withColumnRenamed("component", "_c"), "id", "left").select(
         "key", "id", F.coalesce("_c", "id").alias("label")
     )
     named = stored(named, "minhash-members")
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    keys = sizes.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")
-    )
-    keys = stored(keys.where("all > most"), "minhash-keys")
-    split = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    open_rows = named.join(keys, "key").withColumn("_w", split(F.col("all"))).withColumn("_h", split(F.col("all") - F.col("most")))
-    rows = open_rows.join(signatures, "id")
+    keys = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n"))
+    keys = stored(keys.where("n > 1").drop("n"), "minhash-keys")
+    rows = stored(named.join(keys, "key"), "minhash-open")
+    discard(named, keys)
+    return rows
+
+
+def cross_pairs(rows: DataFrame, known: DataFrame, signatures: DataFrame, top: int | None, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` across components that sizes, signatures and slots do not rule out.
+
+    The members outside a key's main component are its queries; they are compared with all
+    its members, block by block.
+    """
+    rows = stored(rows.join(known, "id").join(signatures, "id"), "minhash-compare")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("label") != F.col("main")).alias("asks"))
+    counts = stored(counts.where("asks > 0"), "minhash-counts")
+    split = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    rows_ = rows.join(counts, "key").withColumn("_w", split(F.col("all"))).withColumn("_h", split(F.col("asks")))
     deal = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    pool = rows.withColumn("wide", deal(F.col("_w"))).withColumn("high", span(F.col("_h"))).withColumn("query", F.lit(False))
-    queries = rows.where("label <> main").withColumn("high", deal(F.col("_h"))).withColumn("wide", span(F.col("_w"))).withColumn("query", F.lit(True))
-    columns = ["key", "wide", "high", "id", "label", "query", "signature"]
+    pool = rows_.withColumn("wide", deal(F.col("_w"))).withColumn("high", span(F.col("_h"))).withColumn("query", F.lit(False))
+    queries = rows_.where("label <> main").withColumn("high", deal(F.col("_h"))).withColumn("wide", span(F.col("_w"))).withColumn("query", F.lit(True))
+    columns = ["key", "wide", "high", "id", "label", "size", "query", "slots", "signature"]
     blocks_ = pool.select(*columns).unionByName(queries.select(*columns))
-    found = blocks_.groupBy("key", "wide", "high").applyInArrow(_across(top), "a long, b long")
+    found = blocks_.groupBy("key", "wide", "high").applyInArrow(_across(top, percent), "a long, b long")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "minhash-pairs")
-    discard(named, keys)
+    discard(rows, counts)
     return pairs
 
 
@@ -221,16 +246,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     likely = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     likely = stored(likely.mapInArrow(_alike, "a long, b long"), "minhash-pairs")
-    links = confirmed(likely, docs, percent)
-    labels = stored(components(links), "minhash-components")
+    sets = set_table(docs, members.select("id").distinct())  # the texts move once
+    links = confirmed(likely, sets, percent)
+    labels = components(links)
+    rows = open_members(members, labels)
+    known = sets.select("id", "size", "slots")
     for top in (2, None):
-        more = cross_pairs(members, labels, signatures, top)
+        more = cross_pairs(rows, known, signatures, top, percent)
         if more.isEmpty():
             break
-        fresh = confirmed(more, docs, percent)
-        known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
-        labels = stored(components(known.unionByName(fresh)), "minhash-components")
-        discard(more, fresh)
+        fresh = confirmed(more, sets, percent)
+        before = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+        labels = components(before.unionByName(fresh))
+        rows = open_members(members, labels)
+    discard(sets)
     ends = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "low", "high", F.coalesce("component", "rep").alias("component")
     )
