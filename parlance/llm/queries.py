@@ -16,6 +16,7 @@ from parlance.llm import (
     warc,
     windows,
 )
+from parlance.llm.oracle import ORACLE  # noqa: F401
 from parlance.session import scratch_path
 
 
@@ -78,7 +79,3 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE: dict[str, str] = {
-    "op8_warc_revisits": warc.ORACLE,
-    "op10_mix_sources": mixing.ORACLE,
-}
