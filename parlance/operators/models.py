@@ -244,16 +244,22 @@ def predict_all(
 ) -> DataFrame:
     """Score every sentence with both models.
 
-    Without a vector the trees cannot score a sentence: it stays, with nulls.
+    Without a vector the trees cannot score a sentence: it stays, with nulls. One scan.
     """
-    with_lr = corpus.withColumn("proba_lr", lr.proba())
-    blank = with_lr.where(F.col("embedding").isNull()).withColumn(
-        "proba_xgb", F.lit(None).cast("double")
+    size = trees.numFeatures - len(features)
+    zeros = F.array_repeat(F.lit(0.0), size).cast(corpus.schema["embedding"].dataType)
+    filled = corpus.withColumns(
+        {
+            "proba_lr": lr.proba(),
+            "_vector": F.col("embedding"),
+            "embedding": F.coalesce("embedding", zeros),
+        }
     )
-    vectored = assemble_vector(with_lr.where(F.col("embedding").isNotNull()), features)
-    both = positive_probability(trees, vectored, "proba_xgb").drop("features").unionByName(blank)
+    scored = positive_probability(trees, assemble_vector(filled, features), "_trees")
+    known = F.when(F.col("_vector").isNotNull(), F.col("_trees"))
+    both = scored.withColumns({"embedding": F.col("_vector"), "proba_xgb": known})
     by_trees = predicted_label(F.col("proba_xgb"), trees_threshold)
-    return both.withColumns(
+    return both.drop("features", "_vector", "_trees").withColumns(
         {
             "pred_lr": predicted_label(F.col("proba_lr"), lr_threshold),
             "pred_xgb": F.when(F.col("proba_xgb").isNotNull(), by_trees),

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from parlance.functions import fixed_values as fv
 from parlance.functions.text import admin_share, clean_text, is_administrative, lines, split_sentences
 from parlance.operators.prefix import range_prefix
-from parlance.schema import KEY
+from parlance.schema import KEY, validate_schema
 from parlance.session import cut_lineage
 
-_WHERE = ("date", "classe")
+STRATUM = ("date", "classe")
 
 
 def administrative_lines(documents: DataFrame) -> DataFrame:
@@ -68,20 +68,21 @@ def sentence_table(
 
 def document_sizes(sentences: DataFrame, *extra: str) -> DataFrame:
     """Sentence count per document; combines map-side before its one shuffle."""
-    return sentences.groupBy("doc_id", *_WHERE, *extra).agg(F.count("*").alias("n_sentences"))
+    return sentences.groupBy("doc_id", *STRATUM, *extra).agg(F.count("*").alias("n_sentences"))
 
 
 def cap_sentences(
-    sentences: DataFrame, max_sentences: int, order: Sequence[str] = (*_WHERE, "file_name")
+    sentences: DataFrame, max_sentences: int, order: Sequence[str] = STRATUM
 ) -> DataFrame:
     """Keep whole documents, in order, until the first that would pass the cap.
 
     The running total never falls, so "stop at the first overflow" keeps exactly the
     documents whose running total, themselves included, is at most the cap. 0 = no cap.
+    Equal order values go by ``doc_id``.
     """
     if max_sentences <= 0:
         return sentences
-    order = [c for c in order if c != "file_name" or c in sentences.columns]
+    validate_schema(sentences, order, "sentences")
     keys = list(dict.fromkeys([*order, "doc_id"]))
     sizes = cut_lineage(sentences.groupBy(*keys).agg(F.count("*").alias("n_sentences")))
     kept = range_prefix(sizes, [], keys, "n_sentences").where(
@@ -97,8 +98,8 @@ def _mean_ratio(ratio: str) -> Column:
 
 def stratum_noise(documents: DataFrame) -> DataFrame:
     """Documents and filter ratio statistics per stratum; empty documents count too."""
-    ratio = clean_documents(documents).select(*_WHERE, F.col("filter_ratio").alias("r"))
-    return ratio.groupBy(*_WHERE).agg(
+    ratio = clean_documents(documents).select(*STRATUM, F.col("filter_ratio").alias("r"))
+    return ratio.groupBy(*STRATUM).agg(
         F.count("*").alias("n_files"),
         _mean_ratio("r").alias("mean_ratio"),
         F.min("r").alias("min_ratio"),

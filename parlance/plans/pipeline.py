@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from parlance.operators.features import Lexicon, feature_table
 from parlance.operators.models import (
     SEARCH_SPACE,
     LogisticReport,
+    LogisticScorer,
     TreeSearch,
     logistic_path,
     positive_probability,
@@ -21,16 +24,18 @@ from parlance.operators.models import (
     train_gbt,
 )
 from parlance.operators.prefix import spread
-from parlance.operators.sentences import cap_sentences, sentence_table
+from parlance.operators.sentences import STRATUM, cap_sentences, key_collisions, sentence_table
 from parlance.operators.stats import calibrate_threshold, labelled_target, stratified_split
 from parlance.operators.vectors import HashingEncoder, assemble_vector, embedding_table
 from parlance.schema import KEY, LINGUISTIC_FEATURES, validate_schema
 from parlance.sources.corpus import read_text_corpus
 from parlance.sources.tables import (
+    load_settings,
     materialize,
     read_labels,
     save_metrics,
     save_model,
+    save_settings,
     write_stage,
 )
 from parlance.session import cut_lineage
@@ -51,9 +56,18 @@ class Paths:
 def sentences_stage(
     spark: SparkSession, corpus: str, out: Paths, max_sentences: int = 0, force: bool = False
 ) -> DataFrame:
+    """Sentences of the corpus; a cap goes by class, date and full file name.
+
+    Warns of files of one name in several strata: their sentence keys are the same.
+    """
+
     def build() -> DataFrame:
         documents = spread(read_text_corpus(spark, corpus), "doc_id")
-        return cap_sentences(sentence_table(documents), max_sentences)
+        repeated = key_collisions(documents).count()
+        if repeated:
+            warnings.warn(f"{repeated} document ids occur more than once", stacklevel=2)
+        sentences = sentence_table(documents, keep=("file_name",))
+        return cap_sentences(sentences, max_sentences, (*STRATUM, "file_name")).drop("file_name")
 
     return materialize(spark, build, out.sentences, force)
 
@@ -110,6 +124,7 @@ class Training:
     trees_threshold: float
     metrics: DataFrame
     splits: DataFrame
+    features: tuple[str, ...]
 
 
 def train_job(
@@ -144,7 +159,67 @@ def train_job(
         .withColumn("model", F.lit("logistic"))
         .union(metrics_table(by_trees, threshold).withColumn("model", F.lit("trees")))
     )
-    return Training(logistic, trees, threshold, metrics, splits)
+    return Training(logistic, trees, threshold, metrics, splits, tuple(features))
+
+
+@dataclass(frozen=True)
+class Models:
+    """What it takes to score sentences: both models with their thresholds."""
+
+    scorer: LogisticScorer
+    threshold: float
+    trees: GBTClassificationModel
+    trees_threshold: float
+    features: tuple[str, ...]
+    settings: Mapping[str, object]
+    cv_auc: float
+
+    def predict(self, corpus: DataFrame) -> DataFrame:
+        return predict_all(
+            corpus, self.scorer, self.threshold, self.trees, self.trees_threshold, self.features
+        )
+
+
+def save_models(fitted: Training, out: Paths) -> None:
+    """Both models, the moments behind the scores, thresholds and search results."""
+    spark = fitted.splits.sparkSession
+    save_model(fitted.logistic.model, out.models + "/logistic")
+    save_model(fitted.trees.model, out.models + "/trees")
+    record = {
+        "scorer": asdict(fitted.logistic.scorer),
+        "threshold": fitted.logistic.threshold,
+        "trees_threshold": fitted.trees_threshold,
+        "features": list(fitted.features),
+        "settings": dict(fitted.trees.settings),
+        "cv_auc": fitted.trees.cv_auc,
+        "trials": [[dict(s), auc] for s, auc in fitted.trees.trials],
+    }
+    save_settings(spark, record, out.models + "/settings")
+
+
+def load_models(spark: SparkSession, out: Paths) -> Models:
+    record = load_settings(spark, out.models + "/settings")
+    scorer = record["scorer"] | {"features": tuple(record["scorer"]["features"])}
+    return Models(
+        LogisticScorer(**scorer), record["threshold"],
+        GBTClassificationModel.load(out.models + "/trees"), record["trees_threshold"],
+        tuple(record["features"]), record["settings"], record["cv_auc"],
+    )
+
+
+def rescore(splits: DataFrame, models: Models) -> DataFrame:
+    """Metrics of both saved models on rows with ``split`` and ``y``."""
+    scored = models.predict(splits)
+    return (
+        metrics_table(scored.withColumn("proba", F.col("proba_lr")), models.threshold)
+        .withColumn("model", F.lit("logistic"))
+        .union(
+            metrics_table(
+                scored.where(F.col("proba_xgb").isNotNull()).withColumn("proba", F.col("proba_xgb")),
+                models.trees_threshold,
+            ).withColumn("model", F.lit("trees"))
+        )
+    )
 
 
 def train_stage(
@@ -158,10 +233,10 @@ def train_stage(
         fitted.logistic.threshold,
         fitted.trees.model,
         fitted.trees_threshold,
+        fitted.features,
     )
     write_stage(predicted, out.final_predicted)
-    save_model(fitted.logistic.model, out.models + "/logistic")
-    save_model(fitted.trees.model, out.models + "/trees")
+    save_models(fitted, out)
     save_metrics(fitted.metrics, out.models + "/evaluation")
     save_metrics(fitted.logistic.table, out.models + "/features")
     return labelled.sparkSession.read.parquet(out.final_predicted)

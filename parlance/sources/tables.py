@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import json
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -126,3 +127,13 @@ def save_model(model: PipelineModel, path: str) -> None:
 def save_metrics(metrics: DataFrame, path: str) -> None:
     """Small result tables as JSON lines in one file."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def save_settings(spark: SparkSession, settings: Mapping[str, object], path: str) -> None:
+    """A small nested record as JSON, numbers in full precision."""
+    line = spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(require(spark, path)).first().value)
