@@ -139,7 +139,8 @@ def with_equal_width_bins(df: DataFrame, column: str, n_bins: int) -> DataFrame:
 
 def calibration_curve(df: DataFrame, n_bins: int = 10) -> DataFrame:
     """Mean prediction, share of positives and rows per equal-width bin that has rows."""
-    return with_equal_width_bins(df, "proba", n_bins).groupBy("bin").agg(
+    rows = cut_lineage(df.select("proba", "y"))  # the range and the bins read these
+    return with_equal_width_bins(rows, "proba", n_bins).groupBy("bin").agg(
         F.avg("proba").alias("mean_pred"), F.avg("y").alias("frac_pos"),
         F.count("*").alias("n"),
     )
@@ -147,7 +148,8 @@ def calibration_curve(df: DataFrame, n_bins: int = 10) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, n_bins: int, *by: str) -> DataFrame:
     """Rows per equal-width bin, with the lower edge of the bin."""
-    binned = with_equal_width_bins(df, column, n_bins)
+    rows = cut_lineage(df.select(column, *by))  # the range and the bins read these
+    binned = with_equal_width_bins(rows, column, n_bins)
     low, high = F.col("_span.low"), F.col("_span.high")
     left = low + (high - low) / n_bins * F.col("bin")
     return binned.groupBy(*by, "bin").agg(F.min(left).alias("left_edge"), F.count("*").alias("n"))
@@ -166,6 +168,7 @@ def proba_by_class(df: DataFrame, n_bins: int = 40) -> DataFrame:
 def metrics_table(df: DataFrame, threshold: Column | float) -> DataFrame:
     """One row per split: AUC, threshold, and the scores of the positive class."""
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    df = cut_lineage(df.select("split", "y", "proba"))  # scores and AUC read these
     judged = df.withColumn("pred", (F.col("proba") >= limit).cast("int"))
     report = classification_report(judged, "split")
     positive = report.where(F.col("entry") == "1").select("split", "f1", "precision", "recall")

@@ -319,5 +319,5 @@ def roc_auc(df: DataFrame, *by: str) -> DataFrame:
 def prediction_distribution(df: DataFrame, pred: str = "pred") -> DataFrame:
     """Rows and share per predicted label."""
     counts = df.groupBy(F.col(pred).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per label
     return counts.select("label", "n", (F.col("n") / total.cast("double")).alias("share"))
