@@ -1,7 +1,9 @@
 """Quality rules, and a hashed n-gram likelihood ratio against a trusted sample.
 
-Word and word-pair hashes fall into ``BUCKETS`` counters. One pass over all documents counts
-them for the whole corpus and for the trusted sample; a second pass scores every document by
+The n-grams are runs of ``GRAM`` bytes of the text as it stands; their hashes fall into
+``BUCKETS`` counters. Being few and short they are dense even in a small trusted sample, so
+a clean document scores alike whether it is in the sample or not. One pass over all documents
+counts them for the whole corpus and for the sample; a second pass scores every document by
 the mean log ratio of the two multinomials and keeps it from ``threshold`` on. The trusted
 multinomial is smoothed towards the corpus, so a bucket without evidence scores near zero.
 
@@ -23,11 +25,13 @@ from parlance.llm.store import pick, place, public_id, with_id
 
 BUCKETS = 1 << 16
 #: Weight of the corpus in the trusted multinomial, in counts.
-PRIOR = 4 * BUCKETS
+PRIOR = BUCKETS // 2
+#: Bytes in an n-gram.
+GRAM = 3
 #: Trusted documents at most, those with the smallest hashes of their ids; bounds a broadcast.
 TRUSTED_ROWS = 100_000
 #: Mean log ratio per n-gram from which a document is kept.
-THRESHOLD = -0.125
+THRESHOLD = -0.5
 #: Counters travel in so many parts, to be summed by different tasks.
 PARTS = 64
 
@@ -55,7 +59,7 @@ def _salted(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple:
-    """Words of each row and its four base counts; also the word hashes."""
+    """Words of each row and its four base counts."""
     rows = len(offsets) - 1
     starts, ends, first = blocks.words(data, offsets)
     n_words = np.diff(first)
@@ -86,16 +90,13 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple:
     runs = _salted(blocks.run_hashes(hashes, REPEAT_WINDOW)[at], row) if len(at) else np.empty(0, np.uint64)
     _, which, count = np.unique(runs, return_inverse=True, return_counts=True)
     again = blocks.covered(len(starts), at[count[which] > 1], REPEAT_WINDOW) if len(at) else np.zeros(len(starts), bool)
-    return n_words, word_chars, n_symbols, n_dup, _per_row(again, first), hashes, first
+    return n_words, word_chars, n_symbols, n_dup, _per_row(again, first)
 
 
-def ngram_buckets(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every word and of every two neighbouring words of a row."""
-    rows = np.arange(len(first) - 1)
-    at = blocks.window_starts(first, 2)
-    pairs = blocks.run_hashes(hashes, 2)[at] if len(at) else np.empty(0, np.uint64)
-    grams = np.concatenate((hashes, pairs))
-    row = np.concatenate((np.repeat(rows, np.diff(first)), blocks.rows_of(first, 2)))
+def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and row of every n-gram that lies in one row."""
+    at, row = blocks.window_starts(offsets, GRAM), blocks.rows_of(offsets, GRAM)
+    grams = blocks.run_hashes(data.astype(np.uint64) + np.uint64(1), GRAM)[at] if len(at) else np.empty(0, np.uint64)
     return (grams >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), row
 
 
@@ -115,8 +116,7 @@ def _count(trusted):
         for batch in batches:
             ids = batch.column("id").to_numpy().astype(np.int64)
             for lo, hi, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
-                starts, ends, first = blocks.words(data, offsets)
-                bucket, row = ngram_buckets(blocks.word_hashes(data, starts, ends), first)
+                bucket, row = ngram_buckets(data, offsets)
                 counts[0] += np.bincount(bucket, minlength=BUCKETS)
                 good = blocks.found(ids[lo:hi], trusted.value) >= 0
                 counts[1] += np.bincount(bucket[good[row]], minlength=BUCKETS)
@@ -154,9 +154,9 @@ def _columns(texts: pa.Array, model: np.ndarray, threshold: float) -> list[np.nd
     """The result columns after the id, for a batch of at least one text."""
     out = []
     for _, _, data, offsets in blocks.slices(*blocks.column(texts)):
-        n_words, chars, symbols, dup, again, hashes, first = base_counts(data, offsets)
+        n_words, chars, symbols, dup, again = base_counts(data, offsets)
         failed = (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
-        bucket, row = ngram_buckets(hashes, first)
+        bucket, row = ngram_buckets(data, offsets)
         rows = len(offsets) - 1
         total = np.bincount(row, weights=model[bucket], minlength=rows)
         llr = total / np.maximum(np.bincount(row, minlength=rows), 1)
