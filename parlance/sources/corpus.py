@@ -13,20 +13,22 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Raw files ``root/<date>/<classe>/<doc>.txt`` as ``(path, content)``.
 
     Raises ``FileNotFoundError`` when the root itself is missing; a root without text
-    files gives an empty table.
+    files gives an empty table. The driver lists the two folder levels only; Spark lists
+    the files.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         raise FileNotFoundError(f"corpus folder not found: {root}")
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*/*/*.txt"))
-    if found is None or len(found) == 0:
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*/*")) or []
+    folders = [f.getPath().toString() for f in found if f.isDirectory()]
+    if not folders:
         return spark.createDataFrame([], "path string, content binary")
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.txt")
-        .load(root.rstrip("/") + "/*/*/*.txt")
+        .load(folders)
         .select("path", "content")
     )
 

@@ -3,23 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from parlance.schema import KEY, SENTENCES
 
 
-def annotated_keys(spark: SparkSession, output: str, before: int) -> DataFrame | None:
-    """Keys written by earlier batches, or None when there are none yet."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return None
-    schema = f"{KEY} string, label string, batch_id long"
-    return spark.read.schema(schema).parquet(output).where(F.col("batch_id") < before).select(KEY)
-
-
 def start_annotation(
     spark: SparkSession,
     source: str,
@@ -31,20 +20,17 @@ def start_annotation(
 ) -> StreamingQuery:
     """Label every sentence file below ``source`` once, and stop when all are done.
 
-    Each batch owns one folder of the output and overwrites it, so a batch that is run
-    again after a failure leaves the same rows. Keys of earlier batches are left out.
+    Keys of earlier rows are left out by the state store, so a batch costs what it brings,
+    whatever came before. Each batch owns one folder of the output and overwrites it: run
+    again after a failure, it leaves the same keys. Rows with one key are one sentence.
     """
     reader = spark.readStream.schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(source).select(KEY, label.alias("label"))
+    stream = reader.parquet(source).select(KEY, label.alias("label")).dropDuplicates([KEY])
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.groupBy(KEY).agg(F.max("label").alias("label"))
-        done = annotated_keys(batch.sparkSession, output, batch_id)
-        if done is not None:
-            fresh = fresh.join(done, KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(save)
