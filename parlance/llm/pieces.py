@@ -14,7 +14,7 @@ SPACE = 0x2581  # the mark that stands for a blank
 LITERAL = 0x110000  # a mark that was in the text itself; no vocabulary has it
 NEWLINE = 10
 #: Code points of text that are worked on together.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19
 
 
 @dataclass

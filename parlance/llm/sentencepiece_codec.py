@@ -6,7 +6,7 @@ seed, the chunk, its variant, the place and the piece falls under the rate. A ch
 comes from its document and its place there, so the same word is segmented in up to
 ``VARIANTS`` ways, and the same document always in the same way.
 
-All distinct chunks of some megabytes of text are worked on side by side: a step takes the
+All distinct chunks of half a megabyte of text are worked on side by side: a step takes the
 best candidate of each. Chunks of more than ``LONG`` symbols use a priority queue one by one;
 both give the same pieces. Characters that are no piece become byte pieces, as does a mark
 that was in the text itself, so decoding restores every text.

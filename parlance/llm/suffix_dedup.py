@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
-from parlance.llm.shards import SHARD_BYTES, ids_of, joined, repeated_anchors, sharded, text_bytes
+from parlance.llm.shards import ids_of, joined, repeated_anchors, sharded, text_bytes
 from parlance.llm.store import NO_ID, discard, groups_for, public_id, stored, with_id
 
 GRAM = 16
 DENSITY = 0.06
 #: Bytes of segments in one suffix array.
-SUFFIX_BYTES = 4 << 20
+SUFFIX_BYTES = 2 << 20
 
 SENT = "bucket int, shard int, keys binary, docs binary, sizes binary, text binary"
 BACK = "shard int, keys binary, masks binary"
@@ -320,7 +320,7 @@ def dedup_suffixes(
     total = text_bytes(docs)
     shards = sharded(docs, total)
     flags = stored(repeated_anchors(shards, _units(length), total, DENSITY)[0], "suffix-anchors")
-    buckets = groups_for(total, SHARD_BYTES)
+    buckets = groups_for(total, SUFFIX_BYTES)
     sent = shards.groupBy("shard").cogroup(flags.groupBy("shard")).applyInArrow(_send(length, buckets), SENT)
     decided = stored(sent.groupBy("bucket").applyInArrow(_decide(length), BACK), "suffix-repeats")
     discard(flags)

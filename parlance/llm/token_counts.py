@@ -1,6 +1,6 @@
 """Token counts by a unigram segmentation, computed once per shared prefix.
 
-The distinct pre-tokens of some megabytes of text form a trie, held level by level: a node is
+The distinct pre-tokens of half a megabyte of text form a trie, held level by level: a node is
 a distinct prefix, named by a rolling hash. The best forward score of a node comes from its
 ancestors and the vocabulary pieces that end there, so a prefix shared by many pre-tokens is
 scored once. The number of tokens on the best path is kept with every node; the node where a
