@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from parlance.session import scratch_path
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at once, whole documents among them; Spark's own default
+#: of 10,000 is lowered to this for the session, any other setting of the user's stays.
+BATCH_ROWS = "1000"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows without an id act as the last id: nothing counts as later, and they come back as null.
 NO_ID = 2**63 - 1
@@ -41,7 +45,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def with_id(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
-    """Picked columns with ``id`` as a long; null becomes :data:`NO_ID`."""
+    """Picked columns with ``id`` as a long; null becomes :data:`NO_ID`.
+
+    Every operator on documents starts here, so this also bounds the batches of its workers.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, "10000") == "10000":
+        conf.set(BATCH, BATCH_ROWS)
     picked = pick(df, id=id_col, **columns)
     return picked.withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
 
