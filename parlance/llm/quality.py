@@ -1,18 +1,26 @@
-"""Quality rules, and a hashed n-gram likelihood ratio against a trusted sample.
+"""Quality rules, and an n-gram likelihood ratio against a labelled sample.
 
-The n-grams are runs of ``GRAM`` bytes of the text as it stands; their hashes fall into
-``BUCKETS`` counters. Being few and short they are dense even in a small trusted sample, so
-a clean document scores alike whether it is in the sample or not. One pass over all documents
-counts them for the whole corpus and for the sample; a second pass scores every document by
-the mean log ratio of the two multinomials and keeps it from ``threshold`` on. The trusted
-multinomial is smoothed towards the corpus, so a bucket without evidence scores near zero.
+Byte n-grams: runs of ``GRAM`` bytes of the text as it stands; their hashes fall into
+``BUCKETS`` counters. Being few and short they are dense even in a small trusted sample. One
+pass over all documents counts them for the whole corpus and for the sample; a document's
+ratio is the mean log ratio of the two multinomials. The trusted one is smoothed towards the
+corpus with a weight in proportion to its own counts, so ratios do not grow with the input.
 
-The model has a fixed size (two counters a bucket), whatever the corpus.
+Words: shares of trusted and of refused (quality 0 or toxic) sample documents with a word,
+counted by Spark. The lowest log ratio of a document's words tells a few telling words in an
+otherwise clean text, which a mean cannot.
+
+Both cuts come from the trusted documents, each scored without its own counts: a low quantile
+less a margin. A sample too small for that has the fixed ``PRIOR`` and ``THRESHOLD``.
+
+The byte model has a fixed size (two counters a bucket), whatever the corpus; the words grow
+with the labelled sample, which is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
-from parlance.llm.shards import ids_of
 from parlance.llm.store import pick, place, public_id, with_id
 
 BUCKETS = 1 << 16
-#: Weight of the corpus in the trusted multinomial, in counts.
+#: Weight of the corpus in the trusted multinomial, as a share of the trusted counts.
+PRIOR_SHARE = 0.1
+#: The same in counts, for a sample of fewer than ``LEAST_HELD`` documents.
 PRIOR = BUCKETS // 2
 #: Bytes in an n-gram.
 GRAM = 3
-#: Trusted documents at most, those with the smallest hashes of their ids; bounds a broadcast.
+#: Trusted and refused documents at most, each those with the smallest hashes of their ids; bounds a broadcast.
 TRUSTED_ROWS = 100_000
-#: Mean log ratio per n-gram from which a document is kept.
+#: Mean log ratio per n-gram from which a document is kept if no cut can be fitted.
 THRESHOLD = -0.5
+#: Trusted documents that pass the base rules, from which on the cuts are fitted to them.
+LEAST_HELD = 20
+#: The cuts lie at this quantile of the held-out scores, less this many nats.
+CUT_QUANTILE, CUT_MARGIN = 0.01, 0.1
+#: Refused documents that a word must be in, and the log ratio it must reach, to count.
+LEAST_REFUSED, WORD_RATIO = 3, -3.0
 #: Counters travel in so many parts, to be summed by different tasks.
 PARTS = 64
 
@@ -100,14 +115,33 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return (grams >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), row
 
 
-def trusted_ids(labels: DataFrame, limit: int, id_col: str, quality_col: str, toxic_col: str) -> np.ndarray:
-    """Ids that every label calls good and none toxic, ``limit`` at most by hash order."""
+def document_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of the distinct words of every row, in ASCII lower case."""
+    starts, ends, first = blocks.words(data, offsets)
+    hashes = blocks.word_hashes(blocks.lower_ascii(data), starts, ends)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], row[new]
+
+
+def sample_ids(labels: DataFrame, limit: int, id_col: str, quality_col: str, toxic_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that every label calls good and none toxic, and those that one calls bad or toxic.
+
+    ``limit`` of each at most, by hash order.
+    """
     marks = pick(labels, id=id_col, quality=quality_col, toxic=toxic_col).where("id is not null")
-    good = marks.groupBy(F.col("id").cast("long").alias("id")).agg(
-        F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")
-    )
-    rows = good.where("q = 1 and t = 0").orderBy(F.xxhash64("id"), "id").limit(limit).select("id")
-    return np.sort(np.array([r[0] for r in rows.collect()], np.int64))
+    rows = marks.groupBy(F.col("id").cast("long").alias("id")).agg(
+        F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"),
+        F.min("quality").alias("least"),
+    )
+    out = []
+    for which in ("q = 1 and t = 0", "least = 0 or t = 1"):
+        ids = rows.where(which).orderBy(F.xxhash64("id"), "id").limit(limit).select("id")
+        out.append(np.sort(np.array([r[0] for r in ids.collect()], np.int64)))
+    return out[0], out[1]
 
 
 def _count(trusted):
@@ -132,63 +166,168 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"][:1], "counts": blocks.binary([total])})
 
 
-def ratio_model(docs: DataFrame, trusted: np.ndarray, prior: float) -> np.ndarray:
-    """Log ratio of the trusted to the corpus multinomial for every bucket; zero without counts."""
+@dataclass
+class Model:
+    """Counts of the bytes, the words that can refuse a document, and the two cuts."""
+
+    corpus: np.ndarray
+    good: np.ndarray
+    prior: float
+    cut: float
+    words: np.ndarray
+    word_counts: np.ndarray
+    n_docs: tuple[int, int] = (0, 0)
+    word_cut: float = -np.inf
+
+    def __post_init__(self) -> None:
+        self.ratio = np.zeros(BUCKETS)
+        if self.good.any():
+            seen = self.corpus > 0
+            smooth = self.prior * self.corpus[seen] / self.corpus.sum()
+            self.ratio[seen] = np.log((self.good[seen] + smooth) / (self.good.sum() + self.prior) / (smooth / self.prior))
+
+    def byte_ratios(self, data: np.ndarray, offsets: np.ndarray, held_out: bool = False) -> np.ndarray:
+        """Mean log ratio of every row; ``held_out`` rows are trusted ones, scored without themselves."""
+        bucket, row = ngram_buckets(data, offsets)
+        rows = len(offsets) - 1
+        size = np.bincount(row, minlength=rows)
+        logs = self.ratio[bucket]
+        if held_out:
+            _, which, count = np.unique(row * BUCKETS + bucket, return_inverse=True, return_counts=True)
+            smooth = self.prior * self.corpus[bucket] / self.corpus.sum()
+            left = (self.good.sum() - size + self.prior)[row]
+            logs = np.log((self.good[bucket] - count[which] + smooth) / left / (smooth / self.prior))
+        return np.bincount(row, weights=logs, minlength=rows) / np.maximum(size, 1)
+
+    def word_ratios(self, data: np.ndarray, offsets: np.ndarray, held_out: bool = False) -> np.ndarray:
+        """Lowest log ratio of the words of every row, zero without one that counts."""
+        least = np.zeros(len(offsets) - 1)
+        if len(self.words):
+            hashes, row = document_words(data, offsets)
+            at = blocks.found(hashes, self.words)
+            at, row = at[at >= 0], row[at >= 0]
+            good, bad = self.word_counts
+            logs = word_ratio(good[at] - held_out, bad[at], self.n_docs[0] - held_out, self.n_docs[1])
+            np.minimum.at(least, row, logs)
+        return least
+
+
+def word_ratio(good, bad, n_good: int, n_bad: int):
+    """Log ratio of the smoothed shares of trusted and refused documents with a word."""
+    return np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))
+
+
+def byte_counts(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
+    """N-grams of the corpus and of its trusted documents in every bucket."""
     held = docs.sparkSession.sparkContext.broadcast(trusted)
     parts = docs.select("id", "text").mapInArrow(_count(held), "part int, counts binary")
     counts = np.zeros((2, BUCKETS))
     width = BUCKETS // PARTS
     for part, cell in parts.groupBy("part").applyInArrow(_sum, "part int, counts binary").collect():  # PARTS rows
         counts[:, part * width : (part + 1) * width] = np.frombuffer(bytes(cell), np.int64).reshape(2, width)
-    corpus, good = counts
-    if not good.sum():
-        return np.zeros(BUCKETS)
-    share = corpus / corpus.sum()
-    seen = corpus > 0
-    ratio = np.zeros(BUCKETS)
-    ratio[seen] = np.log((good[seen] + prior * share[seen]) / ((good.sum() + prior) * share[seen]))
-    return ratio
+    return counts
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
+            hashes, row = document_words(data, offsets)
+            words, which = np.unique(hashes, return_inverse=True)
+            n = np.bincount(which, minlength=len(words))
+            t = np.bincount(which, weights=good[lo:hi][row], minlength=len(words)).astype(np.int64)
+            yield pa.record_batch({"word": pa.array(words.view(np.int64)), "good": pa.array(t), "bad": pa.array(n - t)})
+
 
+def telling_words(sample: DataFrame, n_good: int, n_bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that can refuse a document, and their trusted and refused documents.
 
-def _columns(texts: pa.Array, model: np.ndarray, threshold: float) -> list[np.ndarray]:
+    Words count that do so when one trusted document, which is held out, is left aside.
+    """
+    counts = sample.select("good", "text").mapInArrow(_count_words, "word long, good long, bad long")
+    sums = counts.groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    ratio = F.log((F.greatest(F.col("good") - 1, F.lit(0)) + 0.5) / n_good) - F.log((F.col("bad") + 0.5) / (n_bad + 1))
+    rows = sums.where(F.col("bad") >= LEAST_REFUSED).where(ratio <= WORD_RATIO).toArrow()
+    words = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.stack([rows[c].to_numpy().astype(np.int64)[order] for c in ("good", "bad")])
+
+
+def base_failures(n_words: np.ndarray, again: np.ndarray) -> np.ndarray:
+    return (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
+
+
+def _held_out(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
+                n_words, _, _, _, again = base_counts(data, offsets)
+                passed = ~base_failures(n_words, again)
+                scores = [f(data, offsets, True)[passed] for f in (model.value.byte_ratios, model.value.word_ratios)]
+                yield pa.record_batch([pa.array(x) for x in scores], names=["bytes", "words"])
+
+    return run
+
+
+def _columns(texts: pa.Array, model: Model) -> list[np.ndarray]:
     """The result columns after the id, for a batch of at least one text."""
     out = []
     for _, _, data, offsets in blocks.slices(*blocks.column(texts)):
         n_words, chars, symbols, dup, again = base_counts(data, offsets)
-        failed = (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
-        bucket, row = ngram_buckets(data, offsets)
-        rows = len(offsets) - 1
-        total = np.bincount(row, weights=model[bucket], minlength=rows)
-        llr = total / np.maximum(np.bincount(row, minlength=rows), 1)
-        out.append((n_words, chars, symbols, dup, again, failed, llr, ~failed & (llr >= threshold)))
+        failed = base_failures(n_words, again)
+        llr, lowest = model.byte_ratios(data, offsets), model.word_ratios(data, offsets)
+        refused = lowest < model.word_cut
+        llr = llr + np.where(refused, lowest, 0)
+        out.append((n_words, chars, symbols, dup, again, failed, llr, ~failed & ~refused & (llr >= model.cut)))
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def _score(model, threshold: float):
+def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RESULT.split(", ")[1:]]
         for batch in batches:
             if batch.num_rows:
-                columns = _columns(batch.column("text"), model.value, threshold)
+                columns = _columns(batch.column("text"), model.value)
                 yield pa.record_batch({"id": batch.column("id"), **{n: pa.array(c) for n, c in zip(names, columns)}})
 
     return run
 
 
-def _keep(model, threshold: float, text_col: str):
+def _keep(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(_columns(batch.column(text_col), model.value, threshold)[-1]))
+                yield batch.filter(pa.array(_columns(batch.column(text_col), model.value)[-1]))
 
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None, trusted_rows: int, prior: float, label_cols: tuple):
+def fitted(docs: DataFrame, labels: DataFrame | None, trusted_rows: int, prior: float | None, threshold: float | None, label_cols: tuple):
     """The broadcast model of documents ``(id, text)``."""
-    trusted = np.empty(0, np.int64) if labels is None else trusted_ids(labels, trusted_rows, *label_cols)
-    model = ratio_model(docs, trusted, prior) if len(trusted) else np.zeros(BUCKETS)
-    return docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
+    none = np.empty(0, np.int64)
+    trusted, refused = (none, none) if labels is None else sample_ids(labels, trusted_rows, *label_cols)
+    fixed = THRESHOLD if threshold is None else threshold
+    no_words = np.empty(0, np.uint64), np.zeros((2, 0), np.int64)
+    if not len(trusted):
+        return send(Model(np.zeros(BUCKETS), np.zeros(BUCKETS), PRIOR, fixed, *no_words))
+    corpus, good = byte_counts(docs, trusted)
+    marks = pa.table({"id": np.concatenate((trusted, refused)), "good": np.arange(len(trusted) + len(refused)) < len(trusted)})
+    sample = docs.join(F.broadcast(spark.createDataFrame(marks)), "id")
+    n = {r.good: r["count"] for r in sample.groupBy("good").count().collect()}
+    n_good, n_bad = n.get(True, 0), n.get(False, 0)
+    enough = n_good >= LEAST_HELD
+    words = telling_words(sample, n_good, n_bad) if enough and n_bad else no_words
+    weight = prior or (PRIOR_SHARE * good.sum() if enough else PRIOR)
+    model = Model(corpus, good, weight or PRIOR, fixed, *words, (n_good, n_bad))
+    if enough:
+        held = sample.where("good").select("text").mapInArrow(_held_out(send(model)), "bytes double, words double").toArrow()
+        if held.num_rows >= LEAST_HELD:
+            by_bytes, by_words = (float(np.quantile(held[c].to_numpy(), CUT_QUANTILE)) - CUT_MARGIN for c in ("bytes", "words"))
+            model.cut = by_bytes if threshold is None else threshold
+            model.word_cut = min(WORD_RATIO, by_words)
+    return send(model)
 
 
 def keep_documents(
@@ -196,17 +335,17 @@ def keep_documents(
     labels: DataFrame | None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: float = THRESHOLD,
+    threshold: float | None = None,
     trusted_rows: int = TRUSTED_ROWS,
-    prior: float = PRIOR,
+    prior: float | None = None,
     label_cols: tuple[str, str, str] = ("doc_id", "quality", "toxic"),
 ) -> DataFrame:
     """The rows of ``df``, whole and unchanged, that :func:`score_documents` keeps.
 
     Column names must be distinct. Rows are judged one by one, so nothing is shuffled.
     """
-    held = fitted(with_id(df, id_col, text=text_col), labels, trusted_rows, prior, label_cols)
-    return df.mapInArrow(_keep(held, threshold, df.columns[place(df.columns, text_col)]), df.schema)
+    held = fitted(with_id(df, id_col, text=text_col), labels, trusted_rows, prior, threshold, label_cols)
+    return df.mapInArrow(_keep(held, df.columns[place(df.columns, text_col)]), df.schema)
 
 
 def score_documents(
@@ -214,19 +353,21 @@ def score_documents(
     labels: DataFrame | None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: float = THRESHOLD,
+    threshold: float | None = None,
     trusted_rows: int = TRUSTED_ROWS,
-    prior: float = PRIOR,
+    prior: float | None = None,
     label_cols: tuple[str, str, str] = ("doc_id", "quality", "toxic"),
 ) -> DataFrame:
     """Base counts, mean log ratio and verdict of every document, one row per input row.
 
-    ``labels`` names the trusted sample (quality 1, not toxic). Without a trusted document all
-    ratios are zero and only the base rules decide. Null or blank texts have no words and fail
+    ``labels`` names the trusted sample (quality 1, not toxic) and the refused one (quality 0 or
+    toxic). ``llr`` is the mean log ratio of the bytes, plus that of the lowest word if it is
+    under the cut of the words. A given ``prior`` (in counts) or ``threshold`` replaces the
+    fitted one. Without a trusted document all ratios are zero and only the base rules decide. Null or blank texts have no words and fail
     the base rules with a ratio of zero. Equal rows get equal results, and a null id stays
     null. Other columns are ignored.
     """
     docs = with_id(df, id_col, text=text_col)
-    held = fitted(docs, labels, trusted_rows, prior, label_cols)
-    done = docs.select("id", "text").mapInArrow(_score(held, threshold), RESULT)
+    held = fitted(docs, labels, trusted_rows, prior, threshold, label_cols)
+    done = docs.select("id", "text").mapInArrow(_score(held), RESULT)
     return done.select(public_id(id_col), *[c.split()[0] for c in RESULT.split(", ")[1:]])

@@ -241,6 +241,22 @@ def test_likelihood_ratio_separates_junk(spark):
     assert all(r.kept for r in quality.score_documents(docs, labels.limit(0)).collect())
 
 
+@pytest.mark.parametrize("n", [150, 1500])
+def test_production_settings_refuse_junk_and_toxic_words_on_any_size(spark, n):
+    """One document in ten is junk and one in ten has a telling word; half are labelled."""
+    rng = random.Random(n)
+    parts, odd = ["ba", "ne", "ri", "to", "lu", "me"], ["xq", "zk", "|w", "vj"]
+    text = lambda syllables: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(80))
+    rows = [(i, text(odd if i % 10 == 0 else parts) + (" Trash " + text(parts) if i % 10 == 5 else "")) for i in range(n)]
+    labels = [(i, int(i % 10 > 0), int(i % 10 == 5)) for i in range(n // 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = quality.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert not any(r.base_failed for r in done)
+    assert not any(r.kept for r in done if r.doc_id % 5 == 0)
+    clean = [r.kept for r in done if r.doc_id % 5]
+    assert sum(clean) >= 0.98 * len(clean)
+
+
 @pytest.mark.parametrize("operator", [
     suffix_dedup.dedup_suffixes, windows.dedup_windows, minhash.near_duplicates, lambda d: quality.score_documents(d, None),
 ])
