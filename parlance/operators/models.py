@@ -173,6 +173,11 @@ def sample_settings(
         yield setting
 
 
+def auc_evaluator() -> BinaryClassificationEvaluator:
+    """Exact area under the ROC curve: scores are not binned."""
+    return BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
+
+
 @dataclass(frozen=True)
 class TreeSearch:
     model: Model
@@ -200,7 +205,7 @@ def train_gbt(
     weight = F.when(F.col("y") == 1, balance.positive_scale).otherwise(1.0)
     folded = stratified_folds(rows.withColumn("weight", weight), n_folds, seed, key)
     data = assemble_vector(folded, features).select("y", "weight", "fold", "features").persist()
-    evaluator = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC")
+    evaluator = auc_evaluator()
 
     def fit(rows: DataFrame, setting: Mapping[str, object]) -> Model:
         return GBTClassifier(labelCol="y", weightCol="weight", seed=seed, **setting).fit(rows)

@@ -41,9 +41,6 @@ QUERIES: dict[str, Query] = {}
 
 CAP = 2_500
 SAMPLE_TARGET = 1_100
-# A small search space, so that the search itself is what a query run exercises.
-SMALL_SPACE = {"maxIter": (3, 5), "maxDepth": (2, 3), "stepSize": (0.1, 0.3)}
-SMALL_DRAWS = 2
 
 
 def query(fn: Query) -> Query:
@@ -543,18 +540,22 @@ def roc_auc(spark, d):
 
 
 def _training_rows(spark, d):
-    """Labelled sentences with all features and the vector of their document."""
+    """Labelled sentences with all features and the vector of their document.
+
+    A vector ends in a flag: one if the document has a vector, or zeros throughout.
+    """
     labels = q.document_labels(spark, d).select("doc_id", "label")
     vectors = q.document_vectors(spark, d).withColumnRenamed(KEY, "doc_id")
-    docs = q.documents(spark, d).join(labels, "doc_id").join(vectors.select("doc_id"), "doc_id")
-    rows = q.full_features(sn.sentence_table(docs, keep=("label",)))
-    return rows.join(vectors, "doc_id")
+    rows = q.full_features(sn.sentence_table(q.documents(spark, d).join(labels, "doc_id"), keep=("label",)))
+    size = vectors.select(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    flagged = vectors.where("embedding is not null").select("doc_id", F.concat("embedding", F.array(F.lit(1.0))).alias("embedding"))
+    return rows.join(flagged, "doc_id", "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), size + 1)))
 
 
 @query
 def train_gbt(spark, d):
     rows = st.labelled_target(_training_rows(spark, d))
-    search = md.train_gbt(rows, space=SMALL_SPACE, n_draws=SMALL_DRAWS)
+    search = md.train_gbt(rows)
     trials = [(str(sorted(s.items())), auc, s == search.settings) for s, auc in search.trials]
     return spark.createDataFrame(trials, "settings string, cv_auc double, best boolean")
 
@@ -572,7 +573,7 @@ def prediction_distribution(spark, d):
 
 
 def _training(spark, d):
-    return train_job(_training_rows(spark, d), space=SMALL_SPACE, n_draws=SMALL_DRAWS)
+    return train_job(_training_rows(spark, d))
 
 
 @query

@@ -5,6 +5,8 @@ import warnings
 
 import pytest
 
+from parlance.operators import models
+from parlance.plans import catalog
 from parlance.plans.pipeline import Paths, load_models, rescore, save_models, sentences_stage, train_job
 from parlance.schema import KEY
 from parlance.session import scratch_path
@@ -55,3 +57,33 @@ def test_a_cap_goes_by_the_full_file_name(spark, tmp_path):
         done = sentences_stage(spark, str(tmp_path), Paths(scratch_path(spark, "stages")), max_sentences=2)
     assert {r.doc_id for r in done.select("doc_id").distinct().collect()} == {"a-1"}
     assert "file_name" not in done.columns and any("more than once" in str(w.message) for w in said)
+
+
+def test_registered_training_takes_all_labelled_rows_and_the_full_search(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    seen = {}
+
+    def search(rows, space=models.SEARCH_SPACE, n_draws=models.N_DRAWS, **other):
+        seen["rows"], seen["space"], seen["draws"] = rows, space, n_draws
+        return models.TreeSearch(None, {}, 0.5, [({"maxIter": 100}, 0.5)])
+
+    monkeypatch.setattr(models, "train_gbt", search)
+    catalog.QUERIES["train_gbt"](spark, folder)
+    assert seen["space"] == models.SEARCH_SPACE and seen["draws"] == 30
+    got = {r.doc_id: r.embedding for r in seen["rows"].select("doc_id", "embedding").collect()}
+    labelled = {str(r.doc_id) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    with_text = {str(r.doc_id) for r in catalog.q.sentences(spark, folder).select("doc_id").distinct().collect()}
+    known = {str(r.vec_id) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    assert set(got) == labelled & with_text and not set(got) <= known
+    assert all(v[-1] == (i in known) and (i in known or not any(v)) for i, v in got.items())
+
+
+def test_the_search_scores_with_the_exact_auc(spark):
+    rng = random.Random(5)
+    rows = [(i % 2, rng.gauss(i % 2, 1)) for i in range(6000)]
+    order = sorted(rows, key=lambda r: r[1])
+    wins = before = 0
+    for y, _ in order:
+        wins, before = wins + before * y, before + 1 - y
+    got = models.auc_evaluator().evaluate(spark.createDataFrame(rows, "y int, rawPrediction double"))
+    assert abs(got - wins / 3000**2) < 1e-9
