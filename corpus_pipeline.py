@@ -7,7 +7,7 @@ reads it again for the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import minhash, mixing, quality, sentencepiece_codec, suffix_dedup
@@ -50,8 +50,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, copies included."""
-    return sentencepiece_codec.encode_texts(docs)
+    """Token ids of every row; copies are numbered and each draws its own dropout."""
+    equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))  # equal rows, so any order
+    numbered = docs.select("doc_id", "text", F.row_number().over(equal).alias("copy"))
+    return sentencepiece_codec.encode_texts(numbered, copy_col="copy")
 
 
 STAGES = [

@@ -2,9 +2,9 @@
 
 Neighbouring symbols of a chunk merge by the score of the merged piece, best first and
 leftmost among equals. With dropout each candidate merge is skipped when a keyed hash of the
-seed, the chunk, its variant, the place and the piece falls under the rate. A chunk's variant
-comes from its document and its place there, so the same word is segmented in up to
-``VARIANTS`` ways, and the same document always in the same way.
+seed, the chunk, its document, copy and place there, the place in it and the piece falls under
+the rate. So every occurrence of a word draws for itself, and the same document always gets
+the same pieces. Occurrences share work only if none of the candidates they meet is skipped.
 
 All distinct chunks of half a megabyte of text are worked on side by side: a step takes the
 best candidate of each. Chunks of more than ``LONG`` symbols use a priority queue one by one;
@@ -27,8 +27,9 @@ from parlance.llm.pieces import LITERAL, PIECE_MODEL, SPACE, Vocabulary, chunks,
 from parlance.llm.store import public_id, with_id
 from parlance.llm.suffix_dedup import ragged
 
-VARIANTS = 4
 LONG = 64
+#: Chunks with a skipped merge that are worked on side by side.
+SIDE_ROWS = 1 << 14
 RESULT = "id long, n_tokens long, token_ids array<int>, lossless boolean"
 _NEVER = np.iinfo(np.int64).max
 
@@ -41,8 +42,11 @@ def skipped(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray, rate: floa
     return (drawn >> np.uint64(11)).astype(np.float64) / 2.0**53 < rate
 
 
-def merge_side_by_side(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merged symbols of padded rows, and how many each has."""
+def merge_side_by_side(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merged symbols of padded rows, and how many each has.
+
+    ``met`` gets row, place and piece of every candidate merge.
+    """
     symbols, sizes = symbols.copy(), sizes.copy()
     rows, width = symbols.shape
     places = np.tile(np.arange(width), (rows, 1))
@@ -52,6 +56,8 @@ def merge_side_by_side(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray
         piece = vocab.merged(symbols[r, c], symbols[r, c + 1])
         piece[c + 1 >= sizes[r]] = -1
         good = piece >= 0
+        if met is not None:
+            met.append((r[good], places[r[good], c[good]], piece[good]))
         good[good] = ~skipped(keys[r[good]], places[r[good], c[good]], piece[good], rate)
         best[r, c] = np.where(good, vocab.priority[piece], _NEVER)
 
@@ -114,37 +120,74 @@ def merge_by_queue(vocab: Vocabulary, symbols: list[int], key: np.uint64, rate:
     return [s for s in symbols if s is not None]
 
 
-def encode(vocab: Vocabulary, text: np.ndarray, starts: np.ndarray, salt: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all chunks in order, and where each chunk's begin."""
-    names, place, which = distinct(text, starts, salt if rate > 0 else None)
-    keys = blocks.mix(names, seed)
-    begin, size = starts[place], starts[place + 1] - starts[place]
-    ids = vocab.char_ids[text].astype(np.int64)
-    symbols_all = np.where(ids >= 0, ids, -1 - text)
-    parts, counts, owners = [], np.zeros(len(names), np.int64), []
+def _merge_all(vocab: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None):
+    """Merged symbols of chunks in order, where each chunk's begin, and how many each has."""
+    parts, counts, owners = [np.empty(0, np.int64)], np.zeros(len(size), np.int64), [np.empty(0, np.int64)]
     edges = [1, 2, 4, 6, 8, 10, 12, 16, 24, 40, LONG]
     for low, high in zip([0, *edges[:-1]], edges):
-        mine = np.flatnonzero((size > low) & (size <= high))
-        if not len(mine):
-            continue
-        grid = begin[mine][:, None] + np.minimum(np.arange(high), size[mine][:, None] - 1)
-        merged, left = merge_side_by_side(vocab, symbols_all[grid], size[mine], keys[mine], rate)
-        parts.append(merged[np.arange(high) < left[:, None]])
-        owners.append(mine)
-        counts[mine] = left
+        group = np.flatnonzero((size > low) & (size <= high))
+        for at in range(0, len(group), SIDE_ROWS):
+            mine = group[at : at + SIDE_ROWS]
+            grid = begin[mine][:, None] + np.minimum(np.arange(high), size[mine][:, None] - 1)
+            seen: list | None = None if met is None else []
+            merged, left = merge_side_by_side(vocab, symbols[grid], size[mine], keys[mine], rate, seen)
+            if met is not None:
+                met += [(mine[r], place, piece) for r, place, piece in seen]
+            parts.append(merged[np.arange(high) < left[:, None]])
+            owners.append(mine)
+            counts[mine] = left
     for i in np.flatnonzero(size > LONG).tolist():
-        merged = merge_by_queue(vocab, symbols_all[begin[i] : begin[i] + size[i]].tolist(), keys[i], rate)
+        merged = merge_by_queue(vocab, symbols[begin[i] : begin[i] + size[i]].tolist(), keys[i], rate)
         parts.append(np.array(merged, np.int64))
         owners.append(np.array([i]))
         counts[i] = len(merged)
-    if not parts:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
     flat, owner = np.concatenate(parts), np.concatenate(owners)
-    first = np.empty(len(names), np.int64)
+    first = np.zeros(len(size), np.int64)
     first[owner] = np.cumsum(counts[owner]) - counts[owner]
-    tokens = flat[ragged(first[which], counts[which])]
-    limits = np.concatenate(([0], np.cumsum(counts[which])))
-    return _with_bytes(vocab, tokens, limits)
+    return flat, first, counts
+
+
+def _with_skips(met: list, which: np.ndarray, n: int, keys: np.ndarray, rate: float) -> np.ndarray:
+    """Whether a chunk skips one of the candidate merges of its distinct chunk."""
+    owner, place, piece = (np.concatenate([np.empty(0, np.int64), *[m[i] for m in met]]) for i in range(3))
+    order = np.argsort(owner, kind="stable")
+    place, piece = place[order], piece[order]
+    each = np.bincount(owner, minlength=n)
+    start = np.cumsum(each) - each
+    hit = np.zeros(len(which), bool)
+    for lo in range(0, len(which), SIDE_ROWS):
+        mine = which[lo : lo + SIDE_ROWS]
+        at = ragged(start[mine], each[mine])
+        row = np.repeat(np.arange(lo, lo + len(mine)), each[mine])
+        hit[row[skipped(keys[row], place[at], piece[at], rate)]] = True
+    return hit
+
+
+def encode(vocab: Vocabulary, text: np.ndarray, starts: np.ndarray, salt: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all chunks in order, and where each chunk's begin.
+
+    Distinct chunks are merged once without dropout; chunks that skip a candidate of that are
+    merged again one by one, with their own draws.
+    """
+    names, place, which = distinct(text, starts)
+    begin, size = starts[:-1], np.diff(starts)
+    ids = vocab.char_ids[text].astype(np.int64)
+    symbols = np.where(ids >= 0, ids, -1 - text)
+    met: list | None = [] if rate > 0 else None
+    short = np.flatnonzero(size[place] <= LONG) if rate > 0 else np.arange(len(place))
+    flat, first_short, counts_short = _merge_all(vocab, symbols, begin[place[short]], size[place[short]], names[short], 0.0, met)
+    first, counts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    first[short], counts[short] = first_short, counts_short
+    first, counts = first[which], counts[which]
+    if rate > 0:
+        keys = blocks.mix(names[which] ^ salt, seed)
+        own = size > LONG
+        own |= _with_skips([(short[r], p, m) for r, p, m in met], which, len(place), keys, rate)
+        again = np.flatnonzero(own)
+        other, first_own, counts_own = _merge_all(vocab, symbols, begin[again], size[again], keys[again], rate)
+        first[again], counts[again] = first_own + len(flat), counts_own
+        flat = np.concatenate((flat, other))
+    return _with_bytes(vocab, flat[ragged(first, counts)], np.concatenate(([0], np.cumsum(counts))))
 
 
 def _with_bytes(vocab: Vocabulary, tokens: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +227,13 @@ def _run(held, seed: int, rate: float):
         vocab = held.value
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("id").to_numpy().astype(np.int64)
+            ids = blocks.mix(ids.astype(np.uint64), seed) + blocks.mix(batch.column("copy").to_numpy().astype(np.uint64), seed + 1)
             for lo, hi, codes, limits in groups(texts):
                 text, starts, rows = chunks(codes, limits)
                 row = np.repeat(np.arange(hi - lo), np.diff(rows))
                 turn = np.arange(len(row)) - rows[row]
-                salt = blocks.mix(ids[lo + row].astype(np.uint64), seed) + blocks.mix(turn.astype(np.uint64))
-                tokens, at = encode(vocab, text, starts, blocks.mix(salt) % np.uint64(VARIANTS), seed, rate)
+                salt = blocks.mix(blocks.mix(ids[lo + row]) + blocks.mix(turn.astype(np.uint64)))
+                tokens, at = encode(vocab, text, starts, salt, seed, rate)
                 ends = at[rows]
                 data, back = decode(vocab, tokens, ends)
                 raw, offsets = blocks.column(texts.slice(lo, hi - lo))
@@ -217,18 +261,21 @@ def _decode_run(held):
 
 
 def encode_texts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 11, model: str = PIECE_MODEL
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 11, model: str = PIECE_MODEL,
+    copy_col: str | None = None,
+) -> DataFrame:
     """``id_col``, ``n_tokens``, ``token_ids`` and ``lossless`` of every row.
 
     ``lossless`` says whether decoding gave back the text. At a rate of zero the pieces are
     those of the vocabulary's own encoder (a literal mark aside, which that one reads as a
     blank). Null and empty texts have no tokens and are lossless. Equal ids with equal texts
-    get equal tokens; all rows without an id count as one id. Other columns are ignored.
+    get equal tokens, unless ``copy_col`` tells the copies apart by number; all rows without an
+    id count as one id. Other columns are ignored.
     """
-    docs = with_id(df, id_col, text=text_col)
+    docs = with_id(df, id_col, text=text_col, **({"copy": copy_col} if copy_col else {}))
+    docs = docs.withColumn("copy", F.coalesce(F.col("copy").cast("long"), F.lit(0)) if copy_col else F.lit(0).cast("long"))
     held = df.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-    done = docs.select("id", "text").mapInArrow(_run(held, seed, rate), RESULT)
+    done = docs.select("id", "text", "copy").mapInArrow(_run(held, seed, rate), RESULT)
     return done.select(public_id(id_col), "n_tokens", "token_ids", "lossless")
 
 

@@ -89,3 +89,19 @@ def test_every_operator_is_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "MinHash near-dedup", "suffix-array dedup", "mixing sources", "SentencePiece encoding",
     ]
+
+
+def test_every_occurrence_and_copy_draws_its_own_dropout(spark, tmp_path):
+    """Far more than four segmentations of one word, and copies that differ."""
+    text = "understanding " * 50
+    docs = spark.createDataFrame([(i // 3, text, "xx", "s", len(text)) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    done = corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()
+    assert all(r.lossless for r in done) and len({tuple(r.token_ids) for r in done}) == 60
+    vocab = sentencepiece_codec.load_vocabulary()
+    ways = set()
+    for r in done:
+        words = "|".join(vocab.pieces[t] for t in r.token_ids).split("\u2581")
+        ways.update(w.strip("|") for w in words[1:-1])
+    assert len(ways) > 20
+    plain = sentencepiece_codec.encode_texts(docs).collect()
+    assert len({tuple(r.token_ids) for r in plain}) == 20
