@@ -9,6 +9,7 @@ from parlance.llm import (
     embedding_dedup,
     minhash,
     mixing,
+    packing,
     quality,
     sentencepiece_codec,
     suffix_dedup,
@@ -66,6 +67,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digest(windows.dedup_windows(_table(spark, sf_dir, "documents")))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents"), carry=False))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_counts": op2_token_counts,
@@ -77,5 +82,6 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op13_packing": op13_packing,
 }
 
