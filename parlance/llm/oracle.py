@@ -89,6 +89,87 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS compone
 FROM embeddings LEFT JOIN parts p ON p.id = vec_id LEFT JOIN counts k ON k.id = vec_id
 """
 
+REPAIR = r"""
+WITH RECURSIVE bits AS (SELECT range AS b, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS x
+  FROM conversations
+),
+kinds AS (
+  SELECT n.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2),
+      lambda i: (16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT)),
+    lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM named n, crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+),
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    rtrim(text, E' \t\n\x0b\x0c\r') AS t, left(role, 1) AS initial
+  FROM damaged
+),
+faults AS (
+  SELECT *, CASE WHEN t = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM places
+),
+totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id
+),
+jumps(a, ins, b) AS (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3),
+  (2, '', 2), (2, 'I', 3), (2, 'II', 2), (3, '', 3), (3, 'I', 2), (3, 'II', 3)),
+steps(b, letter, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+best(conv_id, i, state, price) AS (
+  SELECT conv_id, 0::BIGINT, 0, '00000000' FROM totals
+  UNION ALL
+  SELECT conv_id, i, state, min(price) FROM (
+    SELECT w.conv_id, w.i + 1 AS i, m.z AS state, printf('%08d', substr(price, 1, 8)::BIGINT + m.cost
+      + CASE WHEN m.edit <> 'D' AND f.fault = 't' THEN 5 ELSE 0 END) || substr(price, 9) || m.ins || m.edit AS price
+    FROM best w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+    JOIN (
+      SELECT a, '' AS ins, 'D' AS edit, a AS z, 2 AS cost, NULL AS letter FROM jumps WHERE ins = ''
+      UNION ALL SELECT a, ins, 'K', z, 5 * length(ins), letter FROM jumps JOIN steps USING (b)
+      UNION ALL SELECT a, ins, 'R', z, 5 * length(ins) + 1, letter FROM jumps JOIN steps USING (b) WHERE letter <> 's'
+    ) m ON m.a = w.state
+    WHERE m.edit = 'D' OR (f.fault NOT IN ('b', 'd') AND (m.edit = 'K') = (m.letter = f.initial))
+  ) GROUP BY conv_id, i, state
+),
+ends AS (
+  SELECT w.conv_id, min(printf('%08d', substr(price, 1, 8)::BIGINT + 5 * length(ins)) || substr(price, 9) || ins) AS price
+  FROM best w JOIN totals t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.i
+  JOIN jumps ON a = state AND b IN (0, 3) GROUP BY w.conv_id
+),
+audits AS (SELECT conv_id, substr(price, 1, 8)::BIGINT AS cost, substr(price, 9) AS audit FROM ends),
+edits AS (
+  SELECT conv_id, p, audit[p] AS edit, length(translate(audit[1:p], 'I', '')) AS i, length(translate(audit[1:p], 'D', '')) AS j,
+    length(translate(audit, 'D', '')) % 2 AS odd
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM audits)
+),
+repaired AS (
+  SELECT e.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, E'\n' ORDER BY p) AS lines
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i WHERE edit <> 'D' GROUP BY e.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE = {
     "op1_suffix_array_dedup": SUFFIX,
     "op4_embedding_near_dedup": VECTORS,
@@ -96,4 +177,5 @@ ORACLE = {
     "op8_warc_revisits": warc.ORACLE,
     "op9_substring_dedup": WINDOWS,
     "op10_mix_sources": mixing.ORACLE,
+    "op12_conversation_repair": REPAIR,
 }

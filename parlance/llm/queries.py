@@ -11,6 +11,7 @@ from parlance.llm import (
     mixing,
     packing,
     quality,
+    repair,
     sentencepiece_codec,
     suffix_dedup,
     token_counts,
@@ -67,6 +68,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digest(windows.dedup_windows(_table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damage(_table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents"), carry=False))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_packing": op13_packing,
 }
 

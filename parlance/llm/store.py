@@ -44,14 +44,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{place(names, old)}").alias(new) for new, old in columns.items()])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send fewer rows to a Python worker at once, as a row can hold a whole text."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
+
+
 def with_id(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
     """Picked columns with ``id`` as a long; null becomes :data:`NO_ID`.
 
     Every operator on documents starts here, so this also bounds the batches of its workers.
     """
-    conf = df.sparkSession.conf
-    if conf.get(BATCH, "10000") == "10000":
-        conf.set(BATCH, BATCH_ROWS)
+    bounded_batches(df.sparkSession)
     picked = pick(df, id=id_col, **columns)
     return picked.withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
 
