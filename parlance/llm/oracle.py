@@ -89,6 +89,31 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS compone
 FROM embeddings LEFT JOIN parts p ON p.id = vec_id LEFT JOIN counts k ON k.id = vec_id
 """
 
+SEARCH = f"""
+WITH found AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents
+),
+known AS (SELECT doc_id, r, len(ws)::BIGINT AS n, ws FROM found WHERE len(ws) > 0),
+sizes AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM known),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM known) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), sizes
+),
+norms AS (SELECT doc_id, r, 50 + (50 * n * docs) // total AS m FROM known, sizes),
+impacts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS x FROM counts JOIN norms USING (r) JOIN weights USING (term)
+),
+items AS (SELECT item_id, text, row_number() OVER () AS q FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT DISTINCT item_id, q, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM items),
+scores AS (SELECT item_id, q, r, doc_id, sum(x)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, q, r, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 REPAIR = r"""
 WITH RECURSIVE bits AS (SELECT range AS b, range AS c, 0 AS k FROM range(256)
   UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
@@ -177,5 +202,6 @@ ORACLE = {
     "op8_warc_revisits": warc.ORACLE,
     "op9_substring_dedup": WINDOWS,
     "op10_mix_sources": mixing.ORACLE,
+    "op11_lexical_search": SEARCH,
     "op12_conversation_repair": REPAIR,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parlance.llm import (
     chat,
     embedding_dedup,
+    lexical_search,
     minhash,
     mixing,
     packing,
@@ -68,6 +69,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.digest(windows.dedup_windows(_table(spark, sf_dir, "documents")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damage(_table(spark, sf_dir, "conversations")), copies_col="copies")
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_lexical_search": op11_lexical_search,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_packing": op13_packing,
 }
