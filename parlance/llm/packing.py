@@ -7,8 +7,9 @@ where a window of ``length`` tokens ends. A document that crosses such a boundar
 record on either side. Nothing is shuffled, no sequence but the last one is short, and a
 document of any length is only ever cut, never kept whole in one sequence.
 
-Distinct words (runs between ASCII white space) are encoded once per worker while its table of
-words has room: the vocabulary's own splitting rule never reaches over white space.
+Distinct words (runs between ASCII white space, without the stops after them, in lower case) are
+encoded once per worker while its table of words has room: the vocabulary's own splitting rule
+never reaches over white space or from a letter to a stop, and lower-cases everything.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -34,12 +36,18 @@ LENGTH = 4096
 END = 2
 PAD = 0
 #: Words that a worker remembers, of at most so many bytes each; others are encoded again.
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 19
 WORD_BYTES = 64
 #: Words encoded in one call, and bytes of text split at once.
 CALL_WORDS = 1 << 14
 PART_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
+#: Where the splitting rule always cuts: between an ASCII letter or digit and such a stop.
+_STOP = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,;:!?])")
+#: Letters that compose with nothing and have one lower case form each.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: What special tokens begin with; texts that have it keep their case.
+_SPECIAL = b"<|"
 
 CODED = "part int, before long, id long, n long, tokens binary"
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens binary"
@@ -60,19 +68,31 @@ class Words:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.coder.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.coder.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code).newbyteorder("<")
+        spelled = lambda c: self.coder.pre_tokenizer.pre_tokenize_str(self.coder.normalizer.normalize_str(c))[0][0]
+        self.letters = {i: spelled(chr(i)) for i in range(256) if _LETTERS.fullmatch(chr(i))}
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of each word; one of plain letters is a single pre-token, so it goes to the model at once."""
+        texts = [w.decode() for w in words]
+        plain = [_LETTERS.fullmatch(t) is not None for t in texts]
+        coded = iter(self.coder.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        model = self.coder.model
+        for text, one in zip(texts, plain):
+            ids = [t.id for t in model.tokenize(text.translate(self.letters))] if one else next(coded).ids
+            yield array(self.code, ids).tobytes()
+
     def encode(self, parts: list[bytes]) -> list[bytes]:
         """The ids of each part, one after another; parts end at white space or at a text's end."""
-        split = [p.split() for p in parts]
+        split = [(p if _SPECIAL in p else _STOP.sub(b" ", p).lower()).split() for p in parts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
         new = list(set().union(*split).difference(self.known))
         for at in range(0, len(new), CALL_WORDS):
             some = new[at : at + CALL_WORDS]
-            coded = self.coder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (np.array(c.ids, self.kind).tobytes() for c in coded)))
+            self.known.update(zip(some, self._ids(some)))
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > WORD_BYTES:

@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import pytest
 
@@ -12,7 +13,7 @@ from parlance.llm import packing
 RNG = random.Random(4)
 TEXTS = [
     None, "", "   \n\t ", "The quick brown fox's 12 tests, don't <|endoftext|> x", "\x1c.\x1d a\xa0b c é ỄİΣς", " ̈x\x00y 日本語 한국어 🙂🙂",
-    "z" * 5000 + " tail", " ".join(RNG.choice(["alpha", "Beta", "naïve", "x9", "--", "ﬁ"]) for _ in range(20000)),
+    "z" * 5000 + " tail", "A.B,c!!? 3.5 it's. DON'T'S! É.È ×÷ <|ENDOFTEXT|> End<|startoftext|>.X ÀÉß ªº Ǆ ﬀ 'Sx", " ".join(RNG.choice(["alpha", "Beta", "naïve", "x9", "--", "ﬁ"]) for _ in range(20000)),
 ]
 
 
@@ -22,11 +23,15 @@ def documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, start string, length int").repartition(3, "start")
 
 
-def encoded(text):
+@lru_cache(1)
+def coder():
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(packing.vocabulary_path())
-    return [*coder.encode(text or "", add_special_tokens=False).ids, packing.END]
+    return Tokenizer.from_file(packing.vocabulary_path())
+
+
+def encoded(text):
+    return [*coder().encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
 @pytest.mark.parametrize("length", [7, 4096])
@@ -67,6 +72,15 @@ def test_no_documents_have_no_pieces(spark):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_words_of_tables_are_the_vocabulary_s_own(spark):
+    rng = random.Random(6)
+    words = packing.Words(packing.vocabulary_path())
+    letters = "aZé.ß,!?'s re' 9\u0301İΣς\x1c\xa0<|-\tÀ×"
+    for text in ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]:
+        got = words.encode([text.encode()])[0]
+        assert list(struct.unpack(f"<{len(got) // 2}H", got)) == encoded(text)[:-1], text
+
+
 def test_words_forget_and_still_encode(monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
     words = packing.Words(packing.vocabulary_path())
