@@ -197,6 +197,9 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
         spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after string"),
         spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"),
     ).collect()
+    aside = sorted((r.status, r.conv_id or 0, r.call_id or "") for r in got if r.status in ("superseded", "unlinked"))
+    assert aside == [("superseded", 1, "a")] * 2 + [("unlinked", 0, "a")] * 2 + [("unlinked", 1, "")]
+    got = [r for r in got if r.status not in ("superseded", "unlinked")]
     status = {(r.conv_id, r.call_id): (r.status, r.depth) for r in got}
     assert len(got) == len(status) == 12 + 40
     assert status[1, "a"] == ("ok", 0) and status[1, "b"] == ("ok", 1) and status[1, "c"] == ("no_result", 2)
