@@ -14,6 +14,8 @@ import heapq
 
 import numpy as np
 
+from parlance.llm.blocks import ragged
+
 #: Vectors of a leaf, and groups of terms.
 LEAF = 32
 GROUPS = 64
@@ -21,12 +23,6 @@ GROUPS = 64
 SLACK = 1e-10
 
 
-def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places ``begin[i] … begin[i] + size[i] - 1`` of all i, one after another."""
-    shift = np.repeat(begin - (np.cumsum(size) - size), size)
-    return np.arange(int(size.sum())) + shift
-
-
 class Queries:
     """Distinct terms of each query, one query after another, with the groups of the terms."""
 

@@ -13,24 +13,46 @@ import pyarrow as pa
 #: Bytes of text that are hashed at once; one longer document makes a slice of its own.
 SLICE_BYTES = 1 << 18
 
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
+#: Spans are told apart by a polynomial modulo this prime; no structure of a text makes two agree.
+PRIME = (1 << 61) - 1
+BASE = 0x1E3779B97F4A7C15 % PRIME
+_INVERSE = pow(BASE, -1, PRIME)
 #: ``[\x20\x09-\x0D]``
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_P, _LOW32, _LOW31, _LOW29 = (np.uint64(x) for x in (PRIME, (1 << 32) - 1, (1 << 31) - 1, (1 << 29) - 1))
+_S3, _S29, _S30, _S31, _S32, _S61 = (np.uint64(x) for x in (3, 29, 30, 31, 32, 61))
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same residue, less than ``PRIME``, of any 64-bit value."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of residues modulo ``PRIME``, by halves of 32 bits."""
+    a1, a0, b1, b0 = a >> _S32, a & _LOW32, b >> _S32, b & _LOW32
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    high = (a1 * b1 << _S3) + (middle >> _S29) + ((middle & _LOW29) << _S32)
+    return _fold((high & _P) + (high >> _S61) + (low & _P) + (low >> _S61))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE ** i`` and ``BASE ** -i`` modulo 2**64 for ``i < n``."""
+    """``BASE ** i`` and ``BASE ** -i`` modulo ``PRIME`` for ``i < n``."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + 1)
         for k, base in enumerate((BASE, _INVERSE)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _powers[k] = np.cumprod(run, dtype=np.uint64)
+            run = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                run[done : done + more] = times(run[:more], np.uint64(pow(base, done, PRIME)))
+                done += more
+            _powers[k] = run
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -90,20 +112,30 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a Rabin-Karp polynomial modulo 2**64."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
+def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a Rabin-Karp polynomial modulo ``PRIME``, its terms split at 31 bits."""
+    power = powers(len(values))[0]
+    if len(values) and values.max() >> _S29:
+        terms = times(_fold(values), power)
+    else:  # bytes and code points: the product needs no more than one fold
+        middle = values * (power >> _S32)
+        terms = (middle >> _S29) + ((middle & _LOW29) << _S32)
+        low = values * (power & _LOW32)
+        terms += (low & _P) + (low >> _S61)
+    high, low = (np.zeros(len(values) + 1, np.uint64) for _ in range(2))
+    np.cumsum(terms >> _S31, out=high[1:])
+    np.cumsum(terms & _LOW31, out=low[1:])
+    return high, low
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Scrambled hashes of the spans ``[start, end)``, the same wherever a span stands."""
-    back = powers(len(prefix))[1]
-    return mix((prefix[ends] - prefix[starts]) * back[starts])
+    high, low = (_fold(p[ends] - p[starts]) for p in prefix)
+    total = _fold(((high << _S31) & _P) + (high >> _S30) + low)
+    return mix(times(total, powers(len(prefix[0]))[1][starts]))
 
 
-def byte_prefix(data: np.ndarray) -> np.ndarray:
+def byte_prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix_hash(data.astype(np.uint64) + np.uint64(1))
 
 
@@ -112,12 +144,40 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of ``length`` neighbouring values (row limits are the caller's)."""
-    if len(values) < length:
-        return np.empty(0, np.uint64)
-    prefix = prefix_hash(values)
-    back = powers(len(prefix))[1]
-    return mix((prefix[length:] - prefix[:-length]) * back[: len(prefix) - length])
+    """Hash of every run of ``length`` neighbouring hashes (row limits are the caller's).
+
+    A run is made of two shorter ones that overlap or touch, so the work grows with the
+    logarithm of its length.
+    """
+    done = 1
+    while done < length:
+        step = min(done, length - done)
+        keep = max(len(values) - step, 0)
+        values = mix(values[:keep] * np.uint64(0x9E3779B97F4A7C15) + values[step : step + keep])
+        done += step
+    return values
+
+
+def byte_runs(data: np.ndarray, length: int) -> np.ndarray:
+    """The same for bytes; up to eight of them are told apart without a hash."""
+    values, done = data.astype(np.uint64), 1
+    while done < min(length, 8):
+        step = min(done, length - done)
+        keep = max(len(values) - step, 0)
+        values = values[:keep] | values[step : step + keep] << np.uint64(8 * done)
+        done += step
+    values = mix(values)
+    while done < length:
+        step = min(done, length - done)
+        keep = max(len(values) - step, 0)
+        values = mix(values[:keep] * np.uint64(0x9E3779B97F4A7C15) + values[step : step + keep])
+        done += step
+    return values
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places ``starts[i] … starts[i] + sizes[i] - 1`` of all i, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def window_starts(first: np.ndarray, length: int) -> np.ndarray:

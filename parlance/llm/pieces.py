@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from parlance.llm import blocks
+from parlance.llm.blocks import ragged
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # the mark that stands for a blank
@@ -106,15 +107,25 @@ def chunks(codes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return text, np.append(starts, len(text)), np.searchsorted(starts, rows)
 
 
-def distinct(text: np.ndarray, starts: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name of every distinct chunk (and salt), one place of each, and which one each chunk is."""
+def distinct(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name of every distinct chunk, one place of each, and which one each chunk is."""
     if len(starts) < 2:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     names = blocks.span_hash(blocks.prefix_hash(text.astype(np.uint64) + np.uint64(1)), starts[:-1], starts[1:])
-    names ^= blocks.mix(np.diff(starts).astype(np.uint64))
-    if salt is not None:
-        names = blocks.mix(names + salt)
-    return np.unique(names, return_index=True, return_inverse=True)
+    size = np.diff(starts)
+    names ^= blocks.mix(size.astype(np.uint64))
+    every, (names, place, which) = names, np.unique(names, return_index=True, return_inverse=True)
+    shared = np.flatnonzero(place[which] != np.arange(len(which)))  # code points decide, not the names
+    twin = place[which[shared]]
+    same = size[shared] == size[twin]
+    at, other = ragged(starts[shared[same]], size[shared[same]]), ragged(starts[twin[same]], size[shared[same]])
+    if not same.all() or (text[at] != text[other]).any():
+        whole = [text[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+        number = {c: i for i, c in enumerate(dict.fromkeys(whole))}
+        which = np.array([number[c] for c in whole])
+        place = np.unique(which, return_index=True)[1]
+        names = every[place]
+    return names, place, which
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:

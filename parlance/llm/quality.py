@@ -111,7 +111,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple:
 def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of every n-gram that lies in one row."""
     at, row = blocks.window_starts(offsets, GRAM), blocks.rows_of(offsets, GRAM)
-    grams = blocks.run_hashes(data.astype(np.uint64) + np.uint64(1), GRAM)[at] if len(at) else np.empty(0, np.uint64)
+    grams = blocks.byte_runs(data, GRAM)[at] if len(at) else np.empty(0, np.uint64)
     return (grams >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), row
 
 

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
+from parlance.llm.blocks import ragged
 from parlance.llm.pieces import LITERAL, PIECE_MODEL, SPACE, Vocabulary, chunks, distinct, groups, lists, load_vocabulary
 from parlance.llm.store import public_id, with_id
-from parlance.llm.suffix_dedup import ragged
 
 LONG = 64
 #: Chunks with a skipped merge that are worked on side by side.

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
+from parlance.llm.blocks import ragged
 from parlance.llm.shards import ids_of, joined, repeated_anchors, sharded, text_bytes
 from parlance.llm.store import NO_ID, discard, groups_for, public_id, stored, with_id
 
@@ -108,7 +109,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple:
     """First and last string start, row and anchor of every run of strings with one anchor."""
     at, row = blocks.window_starts(offsets, length), blocks.rows_of(offsets, length)
-    gram = blocks.run_hashes(data.astype(np.uint64) + np.uint64(1), GRAM)
+    gram = blocks.byte_runs(data, GRAM)
     place, anchor = blocks.anchors(gram, length, GRAM, at)
     if not len(at):
         return at, at, row, anchor
@@ -130,11 +131,6 @@ def _named(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -
     return blocks.span_hash(blocks.byte_prefix(data), first, ends) ^ blocks.mix((ends - first).astype(np.uint64))
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of the stretches that begin at ``starts``."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def _send(length: int, buckets: int):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         shard, ids = docs["shard"][0].as_py() if len(docs) else 0, ids_of(docs)
