@@ -4,7 +4,7 @@ The distinct pre-tokens of half a megabyte of text form a trie, held level by le
 a distinct prefix, named by a rolling hash. The best forward score of a node comes from its
 ancestors and the vocabulary pieces that end there, so a prefix shared by many pre-tokens is
 scored once. The number of tokens on the best path is kept with every node; the node where a
-pre-token ends gives its count.
+pre-token ends gives its count. The scores are not those of a trained unigram model.
 
 Piece scores are Zipf log probabilities of the piece's place in the public vocabulary,
 ``-log(place + 1)``: nothing is trained. A character that is no piece costs its byte pieces.
@@ -26,6 +26,8 @@ from parlance.llm.store import public_id, with_id
 RESULT = "id long, n_pretokens long, n_tokens long"
 #: Log probability of a byte piece, under that of any other piece.
 BYTE_SCORE = -20.0
+#: Letters of a pre-token up to which it takes part in the trie.
+LONG = 256
 
 
 class Scores:
@@ -45,12 +47,59 @@ class Scores:
         return np.where(at >= 0, self.scores[at], -np.inf)
 
 
+def _walked(scores: Scores, prefix: tuple, begin: int, size: int, bytes_of: np.ndarray) -> int:
+    """Tokens of the best path of one pre-token, position by position.
+
+    All pieces of it are looked up at once, by length; the rules are those of the level walk.
+    """
+    ends, lengths, found = [], [], []
+    for length in scores.sizes[scores.sizes <= size].tolist()[::-1]:
+        stop = np.arange(length, size + 1)
+        value = scores.of(blocks.span_hash(prefix, begin + stop - length, begin + stop))
+        good = np.flatnonzero(np.isfinite(value))
+        ends.append(stop[good])
+        lengths.append(np.full(len(good), length))
+        found.append(value[good])
+    ends, lengths, found = (np.concatenate([np.empty(0), *x]) for x in (ends, lengths, found))
+    order = np.argsort(ends, kind="stable")  # the longest piece first at every end
+    first = np.searchsorted(ends[order], np.arange(1, size + 2)).tolist()
+    lengths, found = lengths[order].astype(int).tolist(), found[order].tolist()
+    spelled = bytes_of[begin : begin + size].tolist()
+    best, tokens = [0.0], [0]
+    for end in range(1, size + 1):
+        high, least = -np.inf, 0
+        for k in range(first[end - 1], first[end]):
+            at = end - lengths[k]
+            total, count = best[at] + found[k], tokens[at] + 1
+            if total > high or (total == high and count < least):
+                high, least = total, count
+        total = best[-1] + BYTE_SCORE * spelled[end - 1]
+        if total > high:
+            high, least = total, tokens[-1] + spelled[end - 1]
+        best.append(high)
+        tokens.append(least)
+    return tokens[-1]
+
+
 def terminal_counts(scores: Scores, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Tokens of the best path of every distinct pre-token."""
+    """Tokens of the best path of every distinct pre-token.
+
+    Those of more than ``LONG`` letters, which share little, are walked one by one.
+    """
     prefix = blocks.prefix_hash(text.astype(np.uint64) + np.uint64(1))
+    bytes_of = np.select([text < 0x80, text < 0x800, text == LITERAL, text < 0x10000], [1, 2, 3, 3], 4)
+    counts = np.zeros(len(size), np.int64)
+    short = np.flatnonzero(size <= LONG)
+    counts[short] = _level_counts(scores, prefix, begin[short], size[short], bytes_of)
+    for i in np.flatnonzero(size > LONG).tolist():
+        counts[i] = _walked(scores, prefix, int(begin[i]), int(size[i]), bytes_of)
+    return counts
+
+
+def _level_counts(scores: Scores, prefix: tuple, begin: np.ndarray, size: np.ndarray, bytes_of: np.ndarray) -> np.ndarray:
+    """The same through the trie, level by level."""
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    bytes_of = np.select([text < 0x80, text < 0x800, text == LITERAL, text < 0x10000], [1, 2, 3, 3], 4)
     reach = int(scores.sizes.max()) if len(scores.sizes) else 1
     levels = [(np.zeros(1), np.zeros(1, np.int64), np.zeros(len(begin), np.int64))]
     counts = np.zeros(len(begin), np.int64)
