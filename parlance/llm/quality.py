@@ -1,20 +1,24 @@
-"""Quality rules, and an n-gram likelihood ratio against a labelled sample.
+"""Quality rules, and an n-gram likelihood ratio of a trusted sample to the whole corpus.
 
-Byte n-grams: runs of ``GRAM`` bytes of the text as it stands; their hashes fall into
-``BUCKETS`` counters. Being few and short they are dense even in a small trusted sample. One
-pass over all documents counts them for the whole corpus and for the sample; a document's
-ratio is the mean log ratio of the two multinomials. The trusted one is smoothed towards the
-corpus with a weight in proportion to its own counts, so ratios do not grow with the input.
+Two kinds of n-grams are counted in all documents and in the trusted ones (quality 1, not
+toxic): runs of ``GRAM`` bytes, hashed to ``BUCKETS`` counters, and the distinct words of a
+document, in ASCII lower case, by hash. The log ratio of an n-gram is::
 
-Words: shares of trusted and of refused (quality 0 or toxic) sample documents with a word,
-counted by Spark. The lowest log ratio of a document's words tells a few telling words in an
-otherwise clean text, which a mean cannot.
+    log((trusted - own + smooth) / (share * (corpus - own) + smooth))
 
-Both cuts come from the trusted documents, each scored without its own counts: a low quantile
-less a margin. A sample too small for that has the fixed ``PRIOR`` and ``THRESHOLD``.
+``share`` is the trusted part of all n-grams and ``own`` what the document itself holds, so no
+document speaks for itself and scores of trusted and other documents mean the same. An n-gram
+that the sample is too small to judge has a ratio near zero: the rule is one at every size.
 
-The byte model has a fixed size (two counters a bucket), whatever the corpus; the words grow
-with the labelled sample, which is bounded.
+A document's ``llr`` is the mean over its byte n-grams; ``low_llr`` is the mean of its
+``LOWEST`` lowest word ratios, those above ``-TELLING`` counting as zero, which tells a few
+telling words in a long clean text. Each has a cut: the 1 % quantile of the trusted documents
+that pass the base rules, less the inverse root of their number.
+
+The byte model has a fixed size. Words are counted by Spark, over all documents, and grow with
+the corpus; only those that can fall to ``-TELLING`` reach the workers. Each of them is
+expected at least ``(e ** TELLING - 1) * smooth`` times in the trusted sample, which
+``TRUSTED_ROWS`` bounds, so their number is under a third of the sample's words.
 """
 
 from __future__ import annotations
@@ -28,25 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import blocks
-from parlance.llm.store import pick, place, public_id, with_id
+from parlance.llm.store import NO_ID, discard, pick, place, public_id, stored, with_id
 
 BUCKETS = 1 << 16
-#: Weight of the corpus in the trusted multinomial, as a share of the trusted counts.
-PRIOR_SHARE = 0.1
-#: The same in counts, for a sample of fewer than ``LEAST_HELD`` documents.
-PRIOR = BUCKETS // 2
 #: Bytes in an n-gram.
 GRAM = 3
-#: Trusted and refused documents at most, each those with the smallest hashes of their ids; bounds a broadcast.
+#: Smoothing of the ratios, in counts, of bytes and of words.
+SMOOTH_BYTES, SMOOTH_WORDS = 2.0, 0.5
+#: Word ratios count from ``-TELLING`` down, and so many of a document.
+TELLING, LOWEST = 2.0, 3
+#: Trusted documents at most, those with the smallest hashes of their ids; bounds a broadcast.
 TRUSTED_ROWS = 100_000
-#: Mean log ratio per n-gram from which a document is kept if no cut can be fitted.
-THRESHOLD = -0.5
-#: Trusted documents that pass the base rules, from which on the cuts are fitted to them.
-LEAST_HELD = 20
-#: The cuts lie at this quantile of the held-out scores, less this many nats.
-CUT_QUANTILE, CUT_MARGIN = 0.01, 0.1
-#: Refused documents that a word must be in, and the log ratio it must reach, to count.
-LEAST_REFUSED, WORD_RATIO = 3, -3.0
+#: The cuts lie at this quantile of the trusted documents' scores.
+CUT_QUANTILE = 0.01
+#: Words that a task gathers before it sums them up.
+GATHERED_WORDS = 1 << 20
 #: Counters travel in so many parts, to be summed by different tasks.
 PARTS = 64
 
@@ -58,7 +58,7 @@ REPEAT_WINDOW = 5
 
 RESULT = (
     "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, llr double, kept boolean"
+    "base_failed boolean, llr double, low_llr double, kept boolean"
 )
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -115,33 +115,25 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return (grams >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), row
 
 
-def document_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of the distinct words of every row, in ASCII lower case."""
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and count of the distinct words of every row, in ASCII lower case."""
     starts, ends, first = blocks.words(data, offsets)
     hashes = blocks.word_hashes(blocks.lower_ascii(data), starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    return hashes[new], row[new]
-
+    new = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])))[: len(row)])
+    return hashes[new], row[new], np.diff(np.append(new, len(row)))
 
-def sample_ids(labels: DataFrame, limit: int, id_col: str, quality_col: str, toxic_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids that every label calls good and none toxic, and those that one calls bad or toxic.
 
-    ``limit`` of each at most, by hash order.
-    """
+def trusted_ids(labels: DataFrame, limit: int, id_col: str, quality_col: str, toxic_col: str) -> np.ndarray:
+    """Sorted ids that every label calls good and none toxic, ``limit`` at most, by hash order."""
     marks = pick(labels, id=id_col, quality=quality_col, toxic=toxic_col).where("id is not null")
     rows = marks.groupBy(F.col("id").cast("long").alias("id")).agg(
-        F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"),
-        F.min("quality").alias("least"),
-    )
-    out = []
-    for which in ("q = 1 and t = 0", "least = 0 or t = 1"):
-        ids = rows.where(which).orderBy(F.xxhash64("id"), "id").limit(limit).select("id")
-        out.append(np.sort(np.array([r[0] for r in ids.collect()], np.int64)))
-    return out[0], out[1]
+        F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")
+    )
+    ids = rows.where("q = 1 and t = 0").orderBy(F.xxhash64("id"), "id").limit(limit).select("id")
+    return np.sort(np.array([r[0] for r in ids.collect()], np.int64))
 
 
 def _count(trusted):
@@ -168,117 +160,143 @@ def _sum(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Model:
-    """Counts of the bytes, the words that can refuse a document, and the two cuts."""
+    """Trusted ids, counts of bytes and of telling words (corpus, then trusted), and the cuts."""
 
-    corpus: np.ndarray
-    good: np.ndarray
-    prior: float
-    cut: float
+    trusted: np.ndarray
+    bytes_: np.ndarray
     words: np.ndarray
     word_counts: np.ndarray
-    n_docs: tuple[int, int] = (0, 0)
-    word_cut: float = -np.inf
-
-    def __post_init__(self) -> None:
-        self.ratio = np.zeros(BUCKETS)
-        if self.good.any():
-            seen = self.corpus > 0
-            smooth = self.prior * self.corpus[seen] / self.corpus.sum()
-            self.ratio[seen] = np.log((self.good[seen] + smooth) / (self.good.sum() + self.prior) / (smooth / self.prior))
-
-    def byte_ratios(self, data: np.ndarray, offsets: np.ndarray, held_out: bool = False) -> np.ndarray:
-        """Mean log ratio of every row; ``held_out`` rows are trusted ones, scored without themselves."""
+    word_share: float
+    cut: float = -np.inf
+    low_cut: float = -np.inf
+
+    def byte_ratios(self, data: np.ndarray, offsets: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Mean log ratio of every row; ``good`` rows are trusted ones."""
         bucket, row = ngram_buckets(data, offsets)
-        rows = len(offsets) - 1
-        size = np.bincount(row, minlength=rows)
-        logs = self.ratio[bucket]
-        if held_out:
-            _, which, count = np.unique(row * BUCKETS + bucket, return_inverse=True, return_counts=True)
-            smooth = self.prior * self.corpus[bucket] / self.corpus.sum()
-            left = (self.good.sum() - size + self.prior)[row]
-            logs = np.log((self.good[bucket] - count[which] + smooth) / left / (smooth / self.prior))
-        return np.bincount(row, weights=logs, minlength=rows) / np.maximum(size, 1)
-
-    def word_ratios(self, data: np.ndarray, offsets: np.ndarray, held_out: bool = False) -> np.ndarray:
-        """Lowest log ratio of the words of every row, zero without one that counts."""
-        least = np.zeros(len(offsets) - 1)
-        if len(self.words):
-            hashes, row = document_words(data, offsets)
-            at = blocks.found(hashes, self.words)
-            at, row = at[at >= 0], row[at >= 0]
-            good, bad = self.word_counts
-            logs = word_ratio(good[at] - held_out, bad[at], self.n_docs[0] - held_out, self.n_docs[1])
-            np.minimum.at(least, row, logs)
-        return least
-
-
-def word_ratio(good, bad, n_good: int, n_bad: int):
-    """Log ratio of the smoothed shares of trusted and refused documents with a word."""
-    return np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))
+        size = np.bincount(row, minlength=len(good))
+        corpus, trusted = self.bytes_
+        share = trusted.sum() / max(corpus.sum(), 1)
+        out = np.zeros(len(good))
+        for i, mine in enumerate(np.split(bucket, np.cumsum(size)[:-1])):
+            if len(mine):
+                own = np.bincount(mine, minlength=BUCKETS)[mine]
+                left = trusted[mine] - own * good[i] + SMOOTH_BYTES
+                out[i] = np.log(left / (share * (corpus[mine] - own) + SMOOTH_BYTES)).mean()
+        return out
+
+    def word_ratios(self, data: np.ndarray, offsets: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Mean of the lowest log ratios of the words of every row."""
+        hashes, row, own = word_counts(data, offsets)
+        at = blocks.found(hashes, self.words)
+        known = at >= 0
+        at, row, own = at[known], row[known], own[known]
+        corpus, trusted = self.word_counts
+        logs = np.log((trusted[at] - own * good[row] + SMOOTH_WORDS) / (self.word_share * (corpus[at] - own) + SMOOTH_WORDS))
+        low = np.flatnonzero(logs <= -TELLING)
+        low = low[np.lexsort((logs[low], row[low]))]
+        begin = np.searchsorted(row[low], row[low])
+        low = low[np.arange(len(low)) - begin < LOWEST]
+        return np.bincount(row[low], logs[low], len(good)) / LOWEST
+
+    def ratios(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = blocks.found(ids, self.trusted) >= 0
+        return self.byte_ratios(data, offsets, good), self.word_ratios(data, offsets, good)
 
 
 def byte_counts(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     """N-grams of the corpus and of its trusted documents in every bucket."""
     held = docs.sparkSession.sparkContext.broadcast(trusted)
     parts = docs.select("id", "text").mapInArrow(_count(held), "part int, counts binary")
-    counts = np.zeros((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS), np.int64)
     width = BUCKETS // PARTS
     for part, cell in parts.groupBy("part").applyInArrow(_sum, "part int, counts binary").collect():  # PARTS rows
         counts[:, part * width : (part + 1) * width] = np.frombuffer(bytes(cell), np.int64).reshape(2, width)
     return counts
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
-            hashes, row = document_words(data, offsets)
-            words, which = np.unique(hashes, return_inverse=True)
-            n = np.bincount(which, minlength=len(words))
-            t = np.bincount(which, weights=good[lo:hi][row], minlength=len(words)).astype(np.int64)
-            yield pa.record_batch({"word": pa.array(words.view(np.int64)), "good": pa.array(t), "bad": pa.array(n - t)})
+def _count_words(trusted):
+    """Corpus and trusted counts of a task's words, and the most that one trusted document has."""
+
+    def summed(parts: list) -> list[np.ndarray]:
+        words, corpus, good, most = (np.concatenate(p) for p in zip(*parts))
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        sums = [np.add.reduceat(c[order], first) for c in (corpus, good)]
+        return [words[first], *sums, np.maximum.reduceat(most[order], first)]
+
+    def batch(parts: list) -> pa.RecordBatch:
+        words, *counts = summed(parts)
+        return pa.record_batch([pa.array(words.view(np.int64)), *map(pa.array, counts)], names=["word", "corpus", "good", "most"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for rows in batches:
+            ids = rows.column("id").to_numpy().astype(np.int64)
+            for lo, hi, data, offsets in blocks.slices(*blocks.column(rows.column("text"))):
+                hashes, row, own = word_counts(data, offsets)
+                if len(hashes):
+                    mine = np.where(blocks.found(ids[lo:hi], trusted.value)[row] >= 0, own, 0)
+                    parts.append(summed([(hashes, own, mine, mine)]))
+                    size += len(parts[-1][0])
+                if size >= GATHERED_WORDS:
+                    yield batch(parts)
+                    parts, size = [], 0
+        if parts:
+            yield batch(parts)
+
+    return run
 
 
-def telling_words(sample: DataFrame, n_good: int, n_bad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words that can refuse a document, and their trusted and refused documents.
+def telling_words(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted hashes and counts of the words whose ratio can fall to ``-TELLING`` for some document.
 
-    Words count that do so when one trusted document, which is held out, is left aside.
+    And the trusted share of all words.
     """
-    counts = sample.select("good", "text").mapInArrow(_count_words, "word long, good long, bad long")
-    sums = counts.groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    ratio = F.log((F.greatest(F.col("good") - 1, F.lit(0)) + 0.5) / n_good) - F.log((F.col("bad") + 0.5) / (n_bad + 1))
-    rows = sums.where(F.col("bad") >= LEAST_REFUSED).where(ratio <= WORD_RATIO).toArrow()
+    held = docs.sparkSession.sparkContext.broadcast(trusted)
+    parts = docs.select("id", "text").mapInArrow(_count_words(held), "word long, corpus long, good long, most long")
+    sums = parts.groupBy("word").agg(F.sum("corpus").alias("corpus"), F.sum("good").alias("good"), F.max("most").alias("most"))
+    sums = stored(sums, "quality-words")
+    corpus, good = sums.agg(F.sum("corpus"), F.sum("good")).first()
+    share = (good or 0) / (corpus or 1)
+    least = F.col("good") - F.col("most") + SMOOTH_WORDS
+    rows = sums.where(least <= float(np.exp(-TELLING)) * (share * F.col("corpus") + SMOOTH_WORDS) * (1 + 1e-9)).toArrow()
     words = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], np.stack([rows[c].to_numpy().astype(np.int64)[order] for c in ("good", "bad")])
+    counts = np.stack([rows[c].to_numpy().astype(np.int64)[order] for c in ("corpus", "good")])
+    discard(sums)
+    return words[order], counts, share
 
 
 def base_failures(n_words: np.ndarray, again: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n_words)
 
 
-def _held_out(model):
+def _trusted_scores(model):
+    """Both scores of the trusted documents that pass the base rules."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in blocks.slices(*blocks.column(batch.column("text"))):
+            ids = batch.column("id").to_numpy().astype(np.int64)
+            mine = np.flatnonzero(blocks.found(ids, model.value.trusted) >= 0)
+            ids, texts = ids[mine], batch.column("text").take(pa.array(mine))
+            for lo, hi, data, offsets in blocks.slices(*blocks.column(texts)):
                 n_words, _, _, _, again = base_counts(data, offsets)
                 passed = ~base_failures(n_words, again)
-                scores = [f(data, offsets, True)[passed] for f in (model.value.byte_ratios, model.value.word_ratios)]
-                yield pa.record_batch([pa.array(x) for x in scores], names=["bytes", "words"])
+                scores = [x[passed] for x in model.value.ratios(ids[lo:hi], data, offsets)]
+                yield pa.record_batch([pa.array(x) for x in scores], names=["llr", "low_llr"])
 
     return run
 
 
-def _columns(texts: pa.Array, model: Model) -> list[np.ndarray]:
+def _columns(ids: np.ndarray, texts: pa.Array, model: Model) -> list[np.ndarray]:
     """The result columns after the id, for a batch of at least one text."""
     out = []
-    for _, _, data, offsets in blocks.slices(*blocks.column(texts)):
+    for lo, hi, data, offsets in blocks.slices(*blocks.column(texts)):
         n_words, chars, symbols, dup, again = base_counts(data, offsets)
         failed = base_failures(n_words, again)
-        llr, lowest = model.byte_ratios(data, offsets), model.word_ratios(data, offsets)
-        refused = lowest < model.word_cut
-        llr = llr + np.where(refused, lowest, 0)
-        out.append((n_words, chars, symbols, dup, again, failed, llr, ~failed & ~refused & (llr >= model.cut)))
+        llr, low = model.ratios(ids[lo:hi], data, offsets)
+        out.append((n_words, chars, symbols, dup, again, failed, llr, low, ~failed & (llr >= model.cut) & (low >= model.low_cut)))
     return [np.concatenate(c) for c in zip(*out)]
 
 
@@ -287,46 +305,38 @@ def _score(model):
         names = [c.split()[0] for c in RESULT.split(", ")[1:]]
         for batch in batches:
             if batch.num_rows:
-                columns = _columns(batch.column("text"), model.value)
+                ids = batch.column("id").to_numpy().astype(np.int64)
+                columns = _columns(ids, batch.column("text"), model.value)
                 yield pa.record_batch({"id": batch.column("id"), **{n: pa.array(c) for n, c in zip(names, columns)}})
 
     return run
 
 
-def _keep(model, text_col: str):
+def _keep(model, id_at: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(_columns(batch.column(text_col), model.value)[-1]))
+                ids = batch.column(id_at).cast(pa.int64()).fill_null(NO_ID).to_numpy().astype(np.int64)
+                yield batch.filter(pa.array(_columns(ids, batch.column(text_at), model.value)[-1]))
 
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None, trusted_rows: int, prior: float | None, threshold: float | None, label_cols: tuple):
+def fitted(docs: DataFrame, labels: DataFrame | None, trusted_rows: int, threshold: float | None, label_cols: tuple):
     """The broadcast model of documents ``(id, text)``."""
-    spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
-    none = np.empty(0, np.int64)
-    trusted, refused = (none, none) if labels is None else sample_ids(labels, trusted_rows, *label_cols)
-    fixed = THRESHOLD if threshold is None else threshold
-    no_words = np.empty(0, np.uint64), np.zeros((2, 0), np.int64)
-    if not len(trusted):
-        return send(Model(np.zeros(BUCKETS), np.zeros(BUCKETS), PRIOR, fixed, *no_words))
-    corpus, good = byte_counts(docs, trusted)
-    marks = pa.table({"id": np.concatenate((trusted, refused)), "good": np.arange(len(trusted) + len(refused)) < len(trusted)})
-    sample = docs.join(F.broadcast(spark.createDataFrame(marks)), "id")
-    n = {r.good: r["count"] for r in sample.groupBy("good").count().collect()}
-    n_good, n_bad = n.get(True, 0), n.get(False, 0)
-    enough = n_good >= LEAST_HELD
-    words = telling_words(sample, n_good, n_bad) if enough and n_bad else no_words
-    weight = prior or (PRIOR_SHARE * good.sum() if enough else PRIOR)
-    model = Model(corpus, good, weight or PRIOR, fixed, *words, (n_good, n_bad))
-    if enough:
-        held = sample.where("good").select("text").mapInArrow(_held_out(send(model)), "bytes double, words double").toArrow()
-        if held.num_rows >= LEAST_HELD:
-            by_bytes, by_words = (float(np.quantile(held[c].to_numpy(), CUT_QUANTILE)) - CUT_MARGIN for c in ("bytes", "words"))
-            model.cut = by_bytes if threshold is None else threshold
-            model.word_cut = min(WORD_RATIO, by_words)
+    send = docs.sparkSession.sparkContext.broadcast
+    trusted = np.empty(0, np.int64) if labels is None else trusted_ids(labels, trusted_rows, *label_cols)
+    if len(trusted):
+        model = Model(trusted, byte_counts(docs, trusted), *telling_words(docs, trusted))
+    else:  # nothing to compare with: every ratio is zero
+        model = Model(trusted, np.zeros((2, BUCKETS), np.int64), np.empty(0, np.uint64), np.zeros((2, 0), np.int64), 0.0)
+    scores = docs.select("id", "text").mapInArrow(_trusted_scores(send(model)), "llr double, low_llr double")
+    low = [F.percentile(c, F.lit(CUT_QUANTILE)) for c in ("llr", "low_llr")]
+    n, *cuts = scores.agg(F.count(F.lit(1)), *low).first() if len(trusted) else (0, None, None)
+    margin = max(n, 1) ** -0.5
+    model.cut, model.low_cut = ((x or 0.0) - margin for x in cuts)
+    if threshold is not None:
+        model.cut = threshold
     return send(model)
 
 
@@ -337,15 +347,14 @@ def keep_documents(
     text_col: str = "text",
     threshold: float | None = None,
     trusted_rows: int = TRUSTED_ROWS,
-    prior: float | None = None,
     label_cols: tuple[str, str, str] = ("doc_id", "quality", "toxic"),
 ) -> DataFrame:
     """The rows of ``df``, whole and unchanged, that :func:`score_documents` keeps.
 
-    Column names must be distinct. Rows are judged one by one, so nothing is shuffled.
+    Columns may repeat a name; the first one counts. Rows are judged one by one, so nothing is shuffled.
     """
-    held = fitted(with_id(df, id_col, text=text_col), labels, trusted_rows, prior, threshold, label_cols)
-    return df.mapInArrow(_keep(held, df.columns[place(df.columns, text_col)]), df.schema)
+    held = fitted(with_id(df, id_col, text=text_col), labels, trusted_rows, threshold, label_cols)
+    return df.mapInArrow(_keep(held, place(df.columns, id_col), place(df.columns, text_col)), df.schema)
 
 
 def score_documents(
@@ -355,19 +364,17 @@ def score_documents(
     text_col: str = "text",
     threshold: float | None = None,
     trusted_rows: int = TRUSTED_ROWS,
-    prior: float | None = None,
     label_cols: tuple[str, str, str] = ("doc_id", "quality", "toxic"),
 ) -> DataFrame:
     """Base counts, mean log ratio and verdict of every document, one row per input row.
 
-    ``labels`` names the trusted sample (quality 1, not toxic) and the refused one (quality 0 or
-    toxic). ``llr`` is the mean log ratio of the bytes, plus that of the lowest word if it is
-    under the cut of the words. A given ``prior`` (in counts) or ``threshold`` replaces the
-    fitted one. Without a trusted document all ratios are zero and only the base rules decide. Null or blank texts have no words and fail
-    the base rules with a ratio of zero. Equal rows get equal results, and a null id stays
-    null. Other columns are ignored.
+    ``labels`` names the trusted sample: ids that every label calls good and none toxic. A given
+    ``threshold`` replaces the fitted cut of ``llr``. Without a trusted document all ratios are
+    zero and only the base rules decide. Null or blank texts have no words and fail the base
+    rules; without bytes their ratio is zero. Equal rows get equal results, all rows of a
+    trusted id are trusted, and a null id, which none is, stays null. Other columns are ignored.
     """
     docs = with_id(df, id_col, text=text_col)
-    held = fitted(docs, labels, trusted_rows, prior, threshold, label_cols)
+    held = fitted(docs, labels, trusted_rows, threshold, label_cols)
     done = docs.select("id", "text").mapInArrow(_score(held), RESULT)
     return done.select(public_id(id_col), *[c.split()[0] for c in RESULT.split(", ")[1:]])

@@ -20,7 +20,7 @@ from parlance.llm import (
     windows,
 )
 from parlance.llm.oracle import ORACLE  # noqa: F401
-from parlance.session import scratch_path
+from parlance.llm.store import temporary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
+    path = temporary_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
     return warc.resolved(warc.read_archives(spark, path))
 

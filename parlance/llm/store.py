@@ -76,16 +76,22 @@ def transient_shuffles(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder whose files go when the driver ends."""
+    path = scratch_path(spark, name)
+    _written.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage for good.
 
     The files outlive any executor. They go when :func:`discard` is called or the driver ends.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = temporary_path(spark, name)
     with transient_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back

@@ -72,3 +72,18 @@ def test_token_counts_tell_the_words_apart(spark):
     texts = {1: MORSE[:1024], 2: MIRROR[:1024], 3: "x"}
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {i: count_by_hand(scores, [pieces.SPACE, *map(ord, t)]) for i, t in texts.items()}
+
+
+def test_long_pretokens_walk_as_the_trie_does(monkeypatch):
+    scores = token_counts.Scores(pieces.load_vocabulary())
+    rng = np.random.default_rng(4)
+    codes = [ord(c) for c in "theandionsxé日\u2581"]
+    size = rng.integers(1, 300, 40)
+    text = rng.choice(codes, size.sum())
+    begin = np.cumsum(size) - size
+    monkeypatch.setattr(token_counts, "LONG", 1000)
+    levels = token_counts.terminal_counts(scores, text, begin, size)
+    monkeypatch.setattr(token_counts, "LONG", 0)
+    assert token_counts.terminal_counts(scores, text, begin, size).tolist() == levels.tolist()
+    long = rng.choice(codes, 100_000)
+    assert 0 < token_counts.terminal_counts(scores, long, np.array([0]), np.array([100_000]))[0] <= 300_000

@@ -2,9 +2,12 @@
 
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import __spark_entry__
 import corpus_pipeline
@@ -12,24 +15,66 @@ from parlance.llm import blocks, quality, sentencepiece_codec
 from test_llm_text import awkward, base, least_starts, near, removed
 
 
-def ratios(rows, trusted):
-    """Mean log ratio of every text by the definition, one text at a time."""
+def grams(text):
+    """Counters of the byte n-grams, as the definition has them: by their hash."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return Counter((blocks.byte_runs(data, quality.GRAM) >> np.uint64(48)).tolist())
 
-    def grams(t):
-        data = np.frombuffer((t or "").encode(), np.uint8).astype(np.uint64) + np.uint64(1)
-        return (blocks.run_hashes(data, quality.GRAM) >> np.uint64(48)).tolist()
 
-    corpus, good = Counter(), Counter()
-    for i, t in rows:
-        corpus.update(grams(t))
-        if i in trusted:
-            good.update(grams(t))
-    n, m = sum(corpus.values()), sum(good.values())
-    out = {}
+def words(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return Counter(re.findall(r"[^\x20\x09-\x0D]+", low))
+
+
+def ratios(rows, trusted):
+    """Both scores of every row, one text at a time, and the two cuts."""
+
+    def of(kind, smooth):
+        corpus, good = Counter(), Counter()
+        for i, t in rows:
+            corpus.update(kind(t))
+            if i in trusted:
+                good.update(kind(t))
+        share = sum(good.values()) / max(sum(corpus.values()), 1)
+        return lambda own, i: {
+            g: (math.log((good[g] - n * (i in trusted) + smooth) / (share * (corpus[g] - n) + smooth)), n) for g, n in own.items()
+        }
+
+    byte, word, out = of(grams, quality.SMOOTH_BYTES), of(words, quality.SMOOTH_WORDS), []
     for i, t in rows:
-        logs = [math.log((good[g] + quality.PRIOR * corpus[g] / n) / ((m + quality.PRIOR) * corpus[g] / n)) for g in grams(t)]
-        out[i] = sum(logs) / max(len(logs), 1)
-    return out
+        logs = byte(grams(t), i).values()
+        low = sorted(x for x, _ in word(words(t), i).values() if x <= -quality.TELLING)[: quality.LOWEST]
+        out.append((sum(x * n for x, n in logs) / max(sum(n for _, n in logs), 1), sum(low) / quality.LOWEST))
+    held = [s for (i, t), s in zip(rows, out) if i in trusted and not base(t)[5]]
+    cuts = [(np.quantile(x, quality.CUT_QUANTILE) if held else 0.0) - max(len(held), 1) ** -0.5 for x in (zip(*held) if held else ([], []))]
+    return out, cuts
+
+
+def verdicts(rows, trusted):
+    scores, cuts = ratios(rows, trusted)
+    return [not base(t)[5] and s[0] >= cuts[0] and s[1] >= cuts[1] for (_, t), s in zip(rows, scores)]
+
+
+@pytest.mark.parametrize("n_trusted", [0, 1, 7, 90])
+def test_quality_scores_and_verdicts_match_brute_force(spark, n_trusted):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda: " ".join(rng.choice(vocabulary[: rng.choice([30, 400])]) for _ in range(rng.randrange(5, 90)))
+    rows = [(i, text()) for i in range(150)]
+    rows += [(i, f"{text()} vile Vile awful nasty {text()}") for i in range(150, 180)] + [(200 + i, "|| $$ ~~ " * 9 + text()) for i in range(9)]
+    rows += [(3, "a second row of one id " + text()), (None, text()), (None, None), (201, ""), (8, rows[8][1])]
+    labels = [(i, 1, 0) for i in range(n_trusted)] + [(i, 0, 0) for i in range(200, 204)] + [(i, 1, 1) for i in range(150, 160)]
+    labels += [(4, 1, 0), (4, 1, 1), (None, 1, 0), (999, 1, 0)] if n_trusted else []
+    trusted = set(range(n_trusted)) - {4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    done = quality.score_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    scores, _ = ratios(rows, trusted)
+    want = sorted(((i, round(a, 9), round(b, 9), v) for (i, _), (a, b), v in zip(rows, scores, verdicts(rows, trusted))), key=repr)
+    assert sorted(((r.doc_id, round(r.llr, 9), round(r.low_llr, 9), r.kept) for r in done), key=repr) == want
+    if n_trusted == 90:
+        kept = {i: v for (i, _), v in zip(rows, verdicts(rows, trusted))}
+        assert not any(kept[i] for i in range(200, 209)) and sum(kept[i] for i in range(150, 180)) < 8
+        assert sum(kept[i] for i in range(100)) > 90
 
 
 def copies(doc_id: int, mean: float) -> int:
@@ -53,8 +98,7 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
     labels = [(i, int(i in trusted), 0) for i, _ in rows if i < 310 or i >= 500]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
 
-    score = ratios(rows, trusted)
-    left = [(i, t) for i, t in rows if not base(t)[5] and score[i] >= quality.THRESHOLD]
+    left = [row for row, kept in zip(rows, verdicts(rows, trusted)) if kept]
     _, parts = near(left)
     left = [(i, t) for i, t in left if parts[i] == i]
     least = least_starts(left, 50, str.encode)
@@ -81,9 +125,18 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         assert done.columns == corpus_pipeline.COLUMNS and done.collect() == []
 
 
+def test_near_dedup_stage_loses_no_text_of_a_repeated_id(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "one text here", "b", "s", 3), (1, "one text here", "a", "t", 4), (1, "another text", "a", "s", 1), (1, None, None, None, None)]
+    rows += [(2, long, "a", "s", 1), (3, long + " end", "a", "s", 1), (None, "x", "a", "s", 1), (None, "x", "a", "s", 1)]
+    done = corpus_pipeline.minhash_dedup(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert sorted(map(tuple, done), key=repr) == sorted([*rows[1:5], *rows[6:]], key=repr)
+
+
 def test_every_operator_is_registered():
     known = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in known) == 1
     assert "pipeline" in known and set(__spark_entry__.oracle_sql()) <= set(known)
     assert [n for n, _ in corpus_pipeline.STAGES] == [

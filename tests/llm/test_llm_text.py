@@ -222,7 +222,7 @@ def base(t):
 def test_base_rules_match_brute_force(spark):
     rows = awkward() + [(900, "# a|b\n\n x y z z z\n# a|b\n# a|b \nq"), (901, "a b c d e f " * 9), (902, "ä" * 20 + " & <p>\n" * 12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = quality.score_documents(docs, None).drop("llr", "kept").collect()
+    got = quality.score_documents(docs, None).drop("llr", "low_llr", "kept").collect()
     compare([tuple(r) for r in got], [(i, *base(t)) for i, t in rows])
 
 
@@ -234,9 +234,9 @@ def test_likelihood_ratio_separates_junk(spark):
     rows = [(i, turn(bad if i % 5 == 0 else good, rng.randrange(300))) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(100)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
-    verdict = {r.doc_id: r.kept for r in quality.score_documents(docs, labels, prior=1000).collect()}
+    verdict = {r.doc_id: r.kept for r in quality.score_documents(docs, labels).collect()}
     assert all(verdict[i] == (i % 5 > 0) for i in verdict)
-    kept = quality.keep_documents(docs.withColumnRenamed("text", "Text"), labels, prior=1000)
+    kept = quality.keep_documents(docs.withColumnRenamed("text", "Text"), labels)
     assert kept.columns == ["doc_id", "Text"] and {r.doc_id for r in kept.collect()} == {i for i in verdict if verdict[i]}
     assert all(r.kept for r in quality.score_documents(docs, labels.limit(0)).collect())
 
