@@ -22,13 +22,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every near-duplicate group, unchanged; repeated rows count once.
+    """The smallest id of every near-duplicate group, unchanged.
 
-    Rows without an id all stay.
+    Rows that are equal in id and text count once, with the least language, source and length.
+    Rows of one id with different texts are one document for the links of others and all stay
+    if it does; rows without an id all stay.
     """
     good = stored(minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    known = docs.select(*COLUMNS).where("doc_id is not null").join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    rows = docs.select(*COLUMNS)
+    known = rows.where("doc_id is not null").join(good, "doc_id", "left_semi")
+    one = known.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").unionByName(rows.where("doc_id is null"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +49,20 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target weights and dealt out anew."""
+    """Documents repeated towards the target weights and dealt out anew.
+
+    A null source is one source. Equal rows repeat alike; rows without an id share one draw. No
+    rows give no rows.
+    """
     return mixing.mix_sources(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row; copies are numbered and each draws its own dropout."""
+    """Token ids of every row; copies are numbered and each draws its own dropout.
+
+    Rows equal in id and text are copies of one another, those without an id too. A null or
+    empty text has no tokens. No rows give no rows.
+    """
     equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))  # equal rows, so any order
     numbered = docs.select("doc_id", "text", F.row_number().over(equal).alias("copy"))
     return sentencepiece_codec.encode_texts(numbered, copy_col="copy")
