@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.lexicon import text_key
+from parlance.operators.patterns import automaton, pattern_slices, phrase_hits
 
-# Largest gazetteer that is inlined into the plan; a larger one is joined.
+# Largest gazetteer that is inlined into the plan; a larger one is walked by automata.
 MAX_INLINE_PHRASES = 5_000
 
 _WORD = r"[\p{L}\p{N}_]+"
@@ -65,6 +68,16 @@ def gazetteer_table(
     return _normalised(gazetteer)
 
 
+def gazetteer_list(gazetteer: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The same for a list, on the driver and without a job."""
+    least: dict[str, str] = {}
+    for phrase, kind in gazetteer:
+        words = " ".join(regex.findall(_WORD, phrase.lower()))
+        if words:
+            least[words] = min(least.get(words, kind.upper()), kind.upper())
+    return sorted(least.items())
+
+
 def entity_counts(
     sentences: DataFrame,
     gazetteer: DataFrame | Iterable[tuple[str, str]],
@@ -72,13 +85,19 @@ def entity_counts(
 ) -> DataFrame:
     """Add ORG, LOC/GPE, LAW and total counts; 0 where nothing is found.
 
-    Up to ``max_inline`` phrases are inlined into the plan, more are joined.
+    Up to ``max_inline`` phrases are inlined into the plan, more are walked by automata.
     """
-    phrases = gazetteer_table(sentences, gazetteer)
-    rows = phrases.limit(max_inline + 1).collect()
-    if len(rows) > max_inline:
-        return joined_entity_counts(sentences, phrases)
-    return inlined_entity_counts(sentences, [tuple(r) for r in rows])
+    if isinstance(gazetteer, DataFrame):
+        phrases = gazetteer_table(sentences, gazetteer)
+        rows = [tuple(r) for r in phrases.limit(max_inline + 1).collect()]
+    else:
+        rows = gazetteer_list(gazetteer)
+        phrases = None
+    if len(rows) <= max_inline:
+        return inlined_entity_counts(sentences, rows)
+    if phrases is None:
+        phrases = sentences.sparkSession.createDataFrame(rows, "phrase string, type string")
+    return walked_entity_counts(sentences, phrases)
 
 
 def inlined_entity_counts(
@@ -127,42 +146,25 @@ def inlined_entity_counts(
     return typed.withColumns(counts).drop("_words", "_hits", "_types")
 
 
-def joined_entity_counts(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
-    """For normalised gazetteers of any size.
+def walked_entity_counts(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
+    """For normalised gazetteers of any size: automata over slices of the phrases.
 
-    The first words of the phrases come first: only places where one stands go on, each
-    with the phrase lengths that its word opens. Counts depend on the sentence alone, so
-    rows meet them by a key of the sentence.
+    One slice needs no shuffle. With more, the hits of a sentence meet by a key of it, for a
+    phrase of one slice may lie in one of another.
     """
-    words = F.split("phrase", " ")
-    firsts = phrases.groupBy(F.get(words, F.lit(0)).alias("_first")).agg(
-        F.collect_set(F.size(words)).alias("_sizes")
-    )
-    keyed = sentences.withColumn("_text_key", text_key("sentence"))
-    once = keyed.select("_text_key", _words(F.col("sentence")).alias("w"))
-    once = once.dropDuplicates(["_text_key"])
-    ahead = once.select(
-        "_text_key", F.col("w"), F.posexplode("w").alias("start", "_first")
-    ).join(firsts, "_first")
-    grams = ahead.select("_text_key", "start", F.explode("_sizes").alias("len"), "w").where(
-        F.col("start") + F.col("len") <= F.size("w")
-    )
-    placed = grams.select(
-        "_text_key",
-        "start",
-        (F.col("start") + F.col("len")).alias("stop"),
-        F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " ").alias("phrase"),
-    )
-    hits = (
-        placed.join(phrases, "phrase")
-        .groupBy("_text_key")
-        .agg(F.collect_list(F.struct("start", "stop", "type")).alias("_hits"))
-        .select(
-            "_text_key",
-            F.transform(_keep_longest(F.col("_hits")), lambda h: h["type"]).alias("_types"),
-        )
-    )
-    joined = keyed.join(hits, "_text_key", "left").withColumn(
-        "_types", F.coalesce("_types", F.array().cast("array<string>"))
-    )
-    return joined.withColumns(_counts(F.col("_types"))).drop("_types", "_text_key")
+    send = sentences.sparkSession.sparkContext.broadcast
+    held = []
+    for rows in pattern_slices(phrases, "phrase"):
+        held.append(send((automaton(f" {r.phrase} " for r in rows), [(r.phrase, r.type) for r in rows])))
+    words = _words(F.coalesce("sentence", F.lit("")))
+    none = F.array().cast("array<struct<start:int,stop:int,type:string>>")
+    if len(held) < 2:
+        located = sentences.withColumn("_hits", phrase_hits(held[0], words) if held else none)
+    else:
+        keyed = sentences.withColumn("_text_key", text_key("sentence"))
+        once = keyed.select("_text_key", "sentence").dropDuplicates(["_text_key"])
+        parts = [once.select("_text_key", F.explode(phrase_hits(one, words)).alias("_hit")) for one in held]
+        hits = reduce(DataFrame.unionByName, parts).groupBy("_text_key").agg(F.collect_list("_hit").alias("_hits"))
+        located = keyed.join(hits, "_text_key", "left").withColumn("_hits", F.coalesce("_hits", none)).drop("_text_key")
+    typed = located.withColumn("_types", F.transform(_keep_longest(F.col("_hits")), lambda h: h["type"]))
+    return typed.withColumns(_counts(F.col("_types"))).drop("_hits", "_types")

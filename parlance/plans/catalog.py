@@ -233,6 +233,17 @@ def entity_counts_(spark, d):
 QUERIES["entity_counts"] = QUERIES.pop("entity_counts_")
 
 
+@query
+def entity_counts_large(spark, d):
+    """Words of the benchmark as places, pairs of neighbouring words as organisations."""
+    words = q.table(spark, d, "benchmark").select(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+', 0)").alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    one = words.select(F.explode("w").alias("phrase"), F.lit("LOC").alias("type"))
+    two = words.where(F.size("w") > 1).select(F.explode(pairs).alias("phrase"), F.lit("ORG").alias("type"))
+    counts = entity_counts(q.sentences(spark, d), one.unionByName(two).distinct(), max_inline=100)
+    return counts.select(KEY, *ENTITY_FEATURES)
+
+
 @query
 def vague_words_table(spark, d):
     hits = ft.add_lexicon_hits(q.sentences(spark, d), q.VAGUE, *VAGUE_FEATURES, max_inline=0)
@@ -751,6 +762,29 @@ def lemmatize(spark, d):
     return _lemmatized(spark, d).select("doc_id", "lemma_text")
 
 
+def _derived_pairs(spark, d):
+    """Words of the benchmark that are another one with an ending, with that one as lemma."""
+    word = F.explode(tokens(F.lower("text")))
+    words = q.table(spark, d, "benchmark").select(word.alias("form")).where("length(form) > 3").distinct()
+    cut = F.explode(F.array(*[F.struct(F.lit(len(e)).alias("n"), F.lit(e).alias("e")) for e in q.ENDINGS]))
+    cut_forms = words.select("form", cut.alias("c")).where(F.col("form").endswith(F.col("c.e")))
+    stems = cut_forms.select("form", F.expr("left(form, length(form) - c.n)").alias("lemma"))
+    derived = stems.join(words.select(F.col("form").alias("lemma")), "lemma", "left_semi")
+    return derived.select("form", "lemma").unionByName(_lemmas(spark))
+
+
+@query
+def lemma_rules(spark, d):
+    return lx.lemma_rules(_derived_pairs(spark, d))
+
+
+@query
+def lemmatize_unseen(spark, d):
+    pairs = _derived_pairs(spark, d)
+    done = lx.lemmatize(q.documents(spark, d), pairs, lx.lemma_rules(pairs))
+    return done.select("doc_id", "lemma_text")
+
+
 @query
 def lexicon_score(spark, d):
     return lx.lexicon_score(_lemmatized(spark, d), q.ENTRIES).select("doc_id", "n_hits", "score")
@@ -772,6 +806,25 @@ def kwic_table(spark, d):
     return lx.keyword_in_context(_lemmatized(spark, d), q.ENTRIES, max_inline=0)
 
 
+def _large_lexicon(spark, d):
+    """Names and types of all parts, and every longer word of the benchmark."""
+    names, kinds, _ = _part_lexicons(spark, d)
+    word = F.explode(tokens(F.lower("text")))
+    words = q.table(spark, d, "benchmark").select(word.alias("entry")).where("length(entry) > 4")
+    return lx.merge_lexicons(names, kinds, words)
+
+
+@query
+def lexicon_score_large(spark, d):
+    scores = lx.lexicon_score(_lemmatized(spark, d), _large_lexicon(spark, d))
+    return scores.select("doc_id", "n_hits", "score")
+
+
+@query
+def kwic_large(spark, d):
+    return lx.keyword_in_context(_lemmatized(spark, d), _large_lexicon(spark, d))
+
+
 @query
 def adjust_lexicon(spark, d):
     names, kinds, brands = _part_lexicons(spark, d)

@@ -25,6 +25,7 @@ LEMMAS = (
     ("des", "de"), ("du", "de"), ("les", "le"), ("la", "le"), ("is", "be"), ("was", "be"),
     ("are", "be"), ("der", "die"), ("das", "die"), ("los", "el"),
 )
+ENDINGS = ("er", "ing", "en", "s", "ed", "re", "on", "es", ".", ",")
 ENTRIES = ("be", "le", "de le", "ther", "tion", "und die", "of the", "que", "absent", "el")
 FALSE_POSITIVES = ("ther", "el")
 FALSE_NEGATIVES = ("with", "une", "von")

@@ -112,12 +112,15 @@ feats AS (SELECT *,
 FEATURES = f"{TEXT},\n{_FEATS}"
 
 _GAZ = ", ".join(f"('{p}', '{t}', {len(p.split())})" for p, t in q.GAZETTEER)
-_MOST_WORDS = max(len(p.split()) for p, _ in q.GAZETTEER)
-_ENTITIES = rf"""gaz(phrase, type, size) AS (VALUES {_GAZ}),
+
+
+def _entities(gazetteer: str) -> str:
+    return rf"""gaz(phrase, type, size) AS ({gazetteer}),
 worded AS (SELECT "PRIMARY_KEY", regexp_extract_all(lower(sentence), '[\pL\pN_]+') AS ws FROM sents),
 placed AS (SELECT "PRIMARY_KEY", ws, unnest(range(1, len(ws) + 1)) AS i FROM worded),
-hits AS (SELECT "PRIMARY_KEY", i, i + size AS j, type FROM placed JOIN gaz
-  ON phrase = array_to_string(ws[i:i + size - 1], ' ') AND i + size - 1 <= len(ws)),
+sized AS (SELECT *, unnest((SELECT list(DISTINCT size) FROM gaz)) AS size FROM placed),
+hits AS (SELECT "PRIMARY_KEY", i, i + size AS j, type FROM sized JOIN gaz USING (size)
+  WHERE phrase = array_to_string(ws[i:i + size - 1], ' ') AND i + size - 1 <= len(ws)),
 longest AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o
   WHERE o."PRIMARY_KEY" = h."PRIMARY_KEY" AND o.i <= h.i AND o.j >= h.j AND o.j - o.i > h.j - h.i)),
 ents AS (SELECT "PRIMARY_KEY", count(*) FILTER (type = 'ORG') AS org,
@@ -125,6 +128,12 @@ ents AS (SELECT "PRIMARY_KEY", count(*) FILTER (type = 'ORG') AS org,
   FROM longest GROUP BY 1),
 ent_counts AS (SELECT "PRIMARY_KEY", coalesce(org, 0) AS n_ent_org, coalesce(loc, 0) AS n_ent_loc,
   coalesce(law, 0) AS n_ent_law, coalesce(n, 0) AS n_ent_total FROM sents LEFT JOIN ents USING ("PRIMARY_KEY"))"""
+
+
+_ENTITIES = _entities(f"VALUES {_GAZ}")
+_BENCHMARK_GAZ = r"""WITH b AS (SELECT regexp_extract_all(lower(text), '[\pL\pN_]+') AS w FROM benchmark)
+  SELECT DISTINCT unnest(w), 'LOC', 1 FROM b
+  UNION SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 'ORG', 2 FROM b WHERE len(w) > 1"""
 _SENTIMENT = f"""polar AS (SELECT "PRIMARY_KEY", CAST({_hits(q.POSITIVE)} AS DOUBLE) AS p,
   CAST({_hits(q.NEGATIVE)} AS DOUBLE) AS n FROM tokenised),
 senti AS (SELECT "PRIMARY_KEY", p / greatest(p + n, 1) AS sentiment_positive,
@@ -246,6 +255,26 @@ texts AS (SELECT doc_id, string_agg(coalesce(lemma, form), ' ' ORDER BY i) AS le
   FROM tok LEFT JOIN lemmas USING (form) GROUP BY doc_id),
 lem AS (SELECT d.doc_id, text, coalesce(lemma_text, '') AS lemma_text FROM docs d LEFT JOIN texts USING (doc_id))"""
 LEMMAS = f"WITH {_DOCS},\n{_LEMMA}"
+_PAIRS = f"""lemmas(form, lemma) AS (VALUES {", ".join(str(p) for p in q.LEMMAS)}),
+bench AS (SELECT DISTINCT w FROM (SELECT unnest({_tokens('lower(text)')}) AS w FROM benchmark) WHERE length(w) > 3),
+known AS (SELECT form, min(lemma) AS lemma FROM (SELECT * FROM lemmas UNION SELECT a.w, b.w FROM bench a JOIN bench b
+  ON list_contains([{_quoted(q.ENDINGS)}], substr(a.w, length(b.w) + 1)) AND a.w[:length(b.w)] = b.w) GROUP BY form),
+common AS (SELECT form, lemma, len(list_filter(range(1, least(length(form), length(lemma)) + 1),
+  lambda i: form[:i] = lemma[:i])) AS same FROM known),
+votes AS (SELECT right(form, k::INT) AS suffix, (length(form) - same)::INT AS strip, substr(lemma, same::INT + 1) AS append FROM (
+  SELECT *, unnest(range(greatest(length(form) - same, 1), least(4, length(form) - 1) + 1)) AS k FROM common)),
+rules AS (SELECT suffix, strip, append, n FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, strip, append) AS r
+  FROM (SELECT suffix, strip, append, count(*) AS n FROM votes GROUP BY ALL HAVING count(*) >= 2)) WHERE r = 1)"""
+_UNSEEN = f"""toks AS (SELECT doc_id, {_tokens('lower(text)')} AS ts FROM docs),
+tok AS (SELECT doc_id, unnest(range(len(ts))) AS i, unnest(ts) AS form FROM toks),
+tried AS (SELECT form, r.strip, r.append, row_number() OVER (PARTITION BY form ORDER BY length(suffix) DESC) AS best
+  FROM (SELECT DISTINCT form FROM tok WHERE form NOT IN (SELECT form FROM known)) JOIN rules r ON r.suffix = right(form, length(r.suffix)::INT)),
+made AS (SELECT form, form[:length(form) - strip] || append AS lemma FROM tried WHERE best = 1 AND length(form) - strip >= 2),
+texts AS (SELECT doc_id, string_agg(coalesce(k.lemma, m.lemma, form), ' ' ORDER BY i) AS lemma_text
+  FROM tok LEFT JOIN known k USING (form) LEFT JOIN made m USING (form) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(lemma_text, '') AS lemma_text FROM docs d LEFT JOIN texts USING (doc_id)"""
+LARGE = f"""{LEMMAS}, large AS (SELECT lower(p_name) AS entry FROM part UNION SELECT lower(p_type) FROM part
+  UNION SELECT entry FROM (SELECT unnest({_tokens('lower(text)')}) AS entry FROM benchmark) WHERE length(entry) > 4)"""
 _ADJUSTED = sorted((set(q.ENTRIES) - set(q.FALSE_POSITIVES)) | set(q.FALSE_NEGATIVES))
 
 
@@ -326,6 +355,7 @@ ORACLE: dict[str, str] = {
     "vague_words": f'{FEATURES} SELECT "PRIMARY_KEY", n_vague_words, {_r("vague_ratio")} FROM feats',
     "modal_verbs": f'{FEATURES} SELECT "PRIMARY_KEY", n_modal_verbs, {_r("modal_ratio")} FROM feats',
     "entity_counts": f"{TEXT}, {_ENTITIES} SELECT * FROM ent_counts",
+    "entity_counts_large": f"{TEXT}, {_entities(_BENCHMARK_GAZ)} SELECT * FROM ent_counts",
     "sentiment_scores": f"""{FEATURES}, {_SENTIMENT} SELECT "PRIMARY_KEY",
       {_r("sentiment_positive", "sentiment_negative", "sentiment_intensity")} FROM senti""",
     "feature_table": f"""{_FULL} SELECT "PRIMARY_KEY", doc_id, date, classe, sentence, {_COUNTS}, {_r(*_RATIOS)}
@@ -451,6 +481,8 @@ ORACLE: dict[str, str] = {
     "translate_terms": """SELECT p_partkey, p_name AS term, target FROM part LEFT JOIN (SELECT p_name AS source,
       min(lower(p_brand)) AS target FROM part WHERE p_type = 'ECONOMY' AND p_size <= 4 GROUP BY 1) ON p_name = source""",
     "lemmatize": f"{LEMMAS} SELECT doc_id, lemma_text FROM lem",
+    "lemma_rules": f"WITH {_PAIRS} SELECT * FROM rules",
+    "lemmatize_unseen": f"WITH {_DOCS},\n{_PAIRS},\n{_UNSEEN}",
     "lexicon_score": f"{LEMMAS} SELECT doc_id, {_lexicon_hits(q.ENTRIES)} AS n_hits, {_lexicon_score(q.ENTRIES)} AS score FROM lem",
     "kwic": f"""{LEMMAS}, e AS (SELECT unnest([{_quoted(q.ENTRIES)}]) AS entry),
       h AS (SELECT doc_id, entry, contains(lower(text), entry) AS orig,
@@ -458,6 +490,14 @@ ORACLE: dict[str, str] = {
       located AS (SELECT *, strpos(body, entry) AS pos FROM h)
       SELECT doc_id, entry, CASE WHEN orig THEN 'original' ELSE 'lemma' END AS source,
         substring(body, greatest(pos - 60, 1), pos + length(entry) + 60 - greatest(pos - 60, 1)) AS context FROM located""",
+    "lexicon_score_large": f"""{LARGE}, n AS (SELECT doc_id, lemma_text, count(entry) AS n_hits
+      FROM lem LEFT JOIN large ON contains(lemma_text, entry) GROUP BY doc_id, lemma_text)
+      SELECT doc_id, n_hits, coalesce(round(n_hits * 100.0 / nullif({_n_tokens('lemma_text')}, 0), 2), 0.0) AS score FROM n""",
+    "kwic_large": f"""{LARGE}, h AS (SELECT doc_id, entry, contains(lower(text), entry) AS orig,
+        CASE WHEN contains(lower(text), entry) THEN lower(text) ELSE lemma_text END AS body FROM lem JOIN large ON contains(lemma_text, entry)),
+      located AS (SELECT *, strpos(body, entry) AS pos FROM h)
+      SELECT doc_id, entry, CASE WHEN orig THEN 'original' ELSE 'lemma' END AS source,
+        substring(body, greatest(pos - 60, 1), pos + length(entry) + 60 - greatest(pos - 60, 1)) AS context FROM located""",
     "adjust_lexicon": """SELECT entry FROM (SELECT lower(p_name) AS entry FROM part UNION SELECT lower(p_type) FROM part)
       WHERE entry NOT IN (SELECT lower(p_name) FROM part WHERE p_size = 50) UNION SELECT lower(p_brand) FROM part""",
     "lexicon_delta": f"""{LEMMAS}, s AS (SELECT doc_id, {_lexicon_score(q.ENTRIES)} AS score_before,

@@ -2,7 +2,7 @@
 
 import pytest
 
-from parlance.operators import entities, features, labels, lexicon, prefix
+from parlance.operators import entities, features, labels, lexicon, patterns, prefix
 from parlance.schema import KEY
 
 ENTRIES = ["chose", "bien-être", "", "la chose", "é", "chose"]
@@ -68,6 +68,50 @@ def test_lemmatize_keeps_documents_of_one_name_apart(spark):
     assert got == {("a", "1981"): "le bon mot", ("a", "1988"): "la loi dure", ("b", "1988"): ""}
 
 
+PAIRS = [("chevaux", "cheval"), ("journaux", "journal"), ("canaux", "canal"), ("tables", "table"), ("portes", "porte"), ("bras", "bras"),
+         ("gras", "gras"), ("aux", "à"), ("mots", "mot"), ("mots", "mots")]
+
+
+@pytest.mark.parametrize("limits", [(64, 10**6), (0, 10**6), (0, 0)])
+def test_unseen_forms_are_rewritten_by_the_longest_suffix(spark, limits):
+    lemmas = table(spark, PAIRS, "form string, lemma string")
+    rules = lexicon.lemma_rules(lemmas)
+    learnt = {r.suffix: (r.strip, r.append) for r in rules.collect()}
+    assert learnt["aux"] == (2, "l") and learnt["ras"] == (0, "") and learnt["es"] == (1, "")
+    texts = [("1", "a", "Les canaux Locaux, les locaux et tables rases"), ("1", "b", "locaux as ux s"), ("2", "a", None), ("3", "a", " ")]
+    documents = table(spark, texts, "doc_id string, date string, text string")
+    got = {(r.doc_id, r.date): r.lemma_text for r in lexicon.lemmatize(documents, lemmas, rules, *limits).collect()}
+    assert got == {("1", "a"): "le canal locaux, le local et table rase", ("1", "b"): "local as ux s", ("2", "a"): "", ("3", "a"): ""}
+    plain = {(r.doc_id, r.date): r.lemma_text for r in lexicon.lemmatize(documents, lemmas, None, *limits).collect()}
+    assert plain["1", "a"] == "les canal locaux, les locaux et table rases"
+
+
+def test_lemmas_scores_and_contexts_need_no_exchange(spark, documents):
+    lemmas = table(spark, PAIRS, "form string, lemma string")
+    held = table(spark, [(e,) for e in ENTRIES], "entry string")
+    frames = [lexicon.lemmatize(documents, lemmas, *more) for more in ((), (lexicon.lemma_rules(lemmas),))]
+    frames += [lexicon.lexicon_score(documents, held, max_inline=0), lexicon.keyword_in_context(documents, held, max_inline=0)]
+    for frame in frames:
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_several_slices_find_the_same(spark, documents, sentences, monkeypatch):
+    want = rows(lexicon.lexicon_score(documents, ENTRIES)), rows(lexicon.keyword_in_context(documents, ENTRIES))
+    counts = rows(entities.entity_counts(sentences, PHRASES))
+    monkeypatch.setattr(patterns, "SLICE_CHARS", 4)
+    held = table(spark, [(e,) for e in ENTRIES], "entry string")
+    assert len(list(patterns.pattern_slices(lexicon.lexicon_table(documents, held), "entry"))) > 1
+    assert rows(lexicon.lexicon_score(documents, held, max_inline=0)) == want[0]
+    assert rows(lexicon.keyword_in_context(documents, held, max_inline=0)) == want[1]
+    assert rows(entities.entity_counts(sentences, PHRASES, max_inline=0)) == counts
+
+
+def test_normalised_lists_and_tables_agree(spark, sentences):
+    phrases = [*PHRASES, ("İstanbul ΣΑΣ", "loc"), ("  ", "x"), ("été_1", "Org"), ("ÉTÉ_1", "law")]
+    made = entities.gazetteer_table(sentences, phrases)
+    assert entities.gazetteer_list(phrases) == sorted(map(tuple, made.collect()))
+
+
 def test_all_unknown_labels_are_listed(spark):
     sheet = table(spark, [(str(i), f"wrong{i}") for i in range(150)], f"{KEY} string, label string")
     with pytest.raises(ValueError) as caught:
