@@ -6,11 +6,9 @@ import random
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,18 +24,19 @@ from parlance.operators.stats import (
     standardize,
     stratified_folds,
 )
-from parlance.operators.vectors import assemble_vector
+from parlance.operators.trees import BoostedTrees, cross_validate, gathered, refit
 from parlance.schema import KEY, LINGUISTIC_FEATURES, NEG_LABEL, POS_LABEL
 
-# Searched settings and their Spark names. The least gain of a split is on the
-# scale of Spark's variance gain, where larger values would leave trees of a single leaf.
+# Searched settings.
 SEARCH_SPACE = {
-    "maxIter": (100, 200, 300, 500),
-    "maxDepth": (3, 4, 5, 6, 7),
-    "stepSize": (0.01, 0.05, 0.1, 0.2, 0.3),
-    "subsamplingRate": (0.7, 0.8, 0.9, 1.0),
-    "featureSubsetStrategy": ("0.5", "0.7", "0.8", "1.0"),
-    "minInfoGain": (0.0, 0.001, 0.01, 0.05),
+    "n_estimators": (100, 200, 300, 500),
+    "max_depth": (3, 4, 5, 6, 7),
+    "learning_rate": (0.01, 0.05, 0.1, 0.2, 0.3),
+    "subsample": (0.7, 0.8, 0.9, 1.0),
+    "colsample_bytree": (0.5, 0.7, 0.8, 1.0),
+    "gamma": (0.0, 0.1, 0.5, 1.0),
+    "reg_alpha": (0.0, 0.1, 1.0),
+    "reg_lambda": (1.0, 2.0, 5.0),
 }
 N_DRAWS, N_FOLDS = 30, 3
 
@@ -173,19 +172,20 @@ def sample_settings(
         yield setting
 
 
-def auc_evaluator() -> BinaryClassificationEvaluator:
-    """Exact area under the ROC curve: scores are not binned."""
-    return BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
-
-
 @dataclass(frozen=True)
 class TreeSearch:
-    model: Model
+    model: BoostedTrees
     settings: Mapping[str, object]
     cv_auc: float
     trials: list[tuple[dict[str, object], float]] = field(default_factory=list)
 
 
+def feature_vector(features: Sequence[str], embedding: Column) -> Column:
+    """The linguistic features and then the vector as one array of doubles; null without a vector."""
+    names = F.array(*[F.col(f).cast("double") for f in features])
+    return F.concat(names, F.transform(embedding, lambda x: x.cast("double")))
+
+
 def train_gbt(
     train: DataFrame,
     features: Sequence[str] = LINGUISTIC_FEATURES,
@@ -195,55 +195,31 @@ def train_gbt(
     seed: int = 42,
     key: str = KEY,
 ) -> TreeSearch:
-    """Random search over boosted trees by cross-validated ROC AUC; the best is refitted.
+    """Random search over boosted trees by cross-validated exact ROC AUC; the best is refitted.
 
     The draws come by index from the product of the space. Folds are dealt per class in
-    seeded order. The vectors are kept between the fits: on executors, spilled to disk.
+    seeded order. Every fit is a task on at most ``trees.MAX_TRAINING_ROWS`` labelled rows.
     """
-    rows = train.select(key, "y", *features, "embedding").persist()
+    spark = train.sparkSession
+    rows = train.select(key, "y", feature_vector(features, F.col("embedding")).alias("vector"))
     balance = class_weights(rows).first()
     weight = F.when(F.col("y") == 1, balance.positive_scale).otherwise(1.0)
-    folded = stratified_folds(rows.withColumn("weight", weight), n_folds, seed, key)
-    data = assemble_vector(folded, features).select("y", "weight", "fold", "features").persist()
-    evaluator = auc_evaluator()
-
-    def fit(rows: DataFrame, setting: Mapping[str, object]) -> Model:
-        return GBTClassifier(labelCol="y", weightCol="weight", seed=seed, **setting).fit(rows)
-
-    try:
-        trials = []
-        for setting in sample_settings(space, n_draws, seed):
-            aucs = []
-            for fold in range(n_folds):
-                model = fit(data.where(F.col("fold") != fold), setting)
-                aucs.append(evaluator.evaluate(model.transform(data.where(F.col("fold") == fold))))
-            trials.append((setting, sum(aucs) / n_folds))
-        best, auc = max(trials, key=lambda t: t[1])
-        return TreeSearch(fit(data, best), best, auc, trials)
-    finally:
-        data.unpersist()
-        rows.unpersist()
+    sample = gathered(stratified_folds(rows.withColumn("weight", weight), n_folds, seed, key), key)
+    draws = list(sample_settings(space, n_draws, seed))
+    trials = list(zip(draws, cross_validate(spark, sample, draws, n_folds, seed)))
+    best, auc = max(trials, key=lambda t: t[1])
+    return TreeSearch(refit(spark, sample, best, seed), best, auc, trials)
 
 
 def predicted_label(proba: Column, threshold: float | Column) -> Column:
     return F.when(proba >= threshold, POS_LABEL).otherwise(NEG_LABEL)
 
 
-def positive_probability(
-    model: Model | PipelineModel, df: DataFrame, output: str
-) -> DataFrame:
-    """Add the probability of class 1 of a fitted classifier on ``features``."""
-    scored = model.transform(df).withColumn(
-        output, F.get(vector_to_array("probability"), F.lit(1))
-    )
-    return scored.drop("rawPrediction", "probability", "prediction")
-
-
 def predict_all(
     corpus: DataFrame,
     lr: LogisticScorer,
     lr_threshold: float,
-    trees: Model,
+    trees: BoostedTrees,
     trees_threshold: float,
     features: Sequence[str] = LINGUISTIC_FEATURES,
 ) -> DataFrame:
@@ -251,20 +227,10 @@ def predict_all(
 
     Without a vector the trees cannot score a sentence: it stays, with nulls. One scan.
     """
-    size = trees.numFeatures - len(features)
-    zeros = F.array_repeat(F.lit(0.0), size).cast(corpus.schema["embedding"].dataType)
-    filled = corpus.withColumns(
-        {
-            "proba_lr": lr.proba(),
-            "_vector": F.col("embedding"),
-            "embedding": F.coalesce("embedding", zeros),
-        }
-    )
-    scored = positive_probability(trees, assemble_vector(filled, features), "_trees")
-    known = F.when(F.col("_vector").isNotNull(), F.col("_trees"))
-    both = scored.withColumns({"embedding": F.col("_vector"), "proba_xgb": known})
+    vector = feature_vector(features, F.col("embedding"))
+    both = corpus.withColumns({"proba_lr": lr.proba(), "proba_xgb": trees.proba(corpus.sparkSession, vector)})
     by_trees = predicted_label(F.col("proba_xgb"), trees_threshold)
-    return both.drop("features", "_vector", "_trees").withColumns(
+    return both.withColumns(
         {
             "pred_lr": predicted_label(F.col("proba_lr"), lr_threshold),
             "pred_xgb": F.when(F.col("proba_xgb").isNotNull(), by_trees),

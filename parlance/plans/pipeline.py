@@ -6,7 +6,6 @@ import warnings
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +17,16 @@ from parlance.operators.models import (
     LogisticReport,
     LogisticScorer,
     TreeSearch,
+    feature_vector,
     logistic_path,
-    positive_probability,
     predict_all,
     train_gbt,
 )
 from parlance.operators.prefix import spread
 from parlance.operators.sentences import STRATUM, cap_sentences, key_collisions, sentence_table
 from parlance.operators.stats import calibrate_threshold, labelled_target, stratified_split
-from parlance.operators.vectors import HashingEncoder, assemble_vector, embedding_table
+from parlance.operators.trees import BoostedTrees, from_rows
+from parlance.operators.vectors import HashingEncoder, embedding_table
 from parlance.schema import KEY, LINGUISTIC_FEATURES, validate_schema
 from parlance.sources.corpus import read_text_corpus
 from parlance.sources.tables import (
@@ -149,9 +149,9 @@ def train_job(
     val = splits.where(F.col("split") == "val")
     logistic = logistic_path(train, val, features)
     trees = train_gbt(train, features, space, n_draws, seed=seed, key=key)
-    by_trees = positive_probability(
-        trees.model, assemble_vector(splits, features), "proba"
-    ).select("split", "y", "proba")
+    vector = feature_vector(features, F.col("embedding"))
+    proba = trees.model.proba(splits.sparkSession, vector)
+    by_trees = splits.select("split", "y", proba.alias("proba"))
     threshold = calibrate_threshold(by_trees.where(F.col("split") == "val")).first().threshold
     by_lr = splits.select("split", "y", logistic.scorer.proba().alias("proba"))
     metrics = (
@@ -168,7 +168,7 @@ class Models:
 
     scorer: LogisticScorer
     threshold: float
-    trees: GBTClassificationModel
+    trees: BoostedTrees
     trees_threshold: float
     features: tuple[str, ...]
     settings: Mapping[str, object]
@@ -184,11 +184,12 @@ def save_models(fitted: Training, out: Paths) -> None:
     """Both models, the moments behind the scores, thresholds and search results."""
     spark = fitted.splits.sparkSession
     save_model(fitted.logistic.model, out.models + "/logistic")
-    save_model(fitted.trees.model, out.models + "/trees")
+    write_stage(fitted.trees.model.table(spark), out.models + "/trees")
     record = {
         "scorer": asdict(fitted.logistic.scorer),
         "threshold": fitted.logistic.threshold,
         "trees_threshold": fitted.trees_threshold,
+        "n_features": fitted.trees.model.n_features,
         "features": list(fitted.features),
         "settings": dict(fitted.trees.settings),
         "cv_auc": fitted.trees.cv_auc,
@@ -202,7 +203,7 @@ def load_models(spark: SparkSession, out: Paths) -> Models:
     scorer = record["scorer"] | {"features": tuple(record["scorer"]["features"])}
     return Models(
         LogisticScorer(**scorer), record["threshold"],
-        GBTClassificationModel.load(out.models + "/trees"), record["trees_threshold"],
+        from_rows(spark.read.parquet(out.models + "/trees").collect(), record["n_features"]), record["trees_threshold"],
         tuple(record["features"]), record["settings"], record["cv_auc"],
     )
 

@@ -3,16 +3,18 @@
 import random
 import warnings
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from parlance.operators import models
+from parlance.operators import models, trees
 from parlance.plans import catalog
 from parlance.plans.pipeline import Paths, load_models, rescore, save_models, sentences_stage, train_job
 from parlance.schema import KEY
 from parlance.session import scratch_path
 
 FEATURES = ("a", "b")
-SPACE = {"maxIter": (3,), "maxDepth": (2,), "stepSize": (0.3,), "minInfoGain": (0.0,)}
+SPACE = {"n_estimators": (3,), "max_depth": (2,), "learning_rate": (0.3,), "gamma": (0.0,)}
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +67,7 @@ def test_registered_training_takes_all_labelled_rows_and_the_full_search(spark,
 
     def search(rows, space=models.SEARCH_SPACE, n_draws=models.N_DRAWS, **other):
         seen["rows"], seen["space"], seen["draws"] = rows, space, n_draws
-        return models.TreeSearch(None, {}, 0.5, [({"maxIter": 100}, 0.5)])
+        return models.TreeSearch(None, {}, 0.5, [({"n_estimators": 100}, 0.5)])
 
     monkeypatch.setattr(models, "train_gbt", search)
     catalog.QUERIES["train_gbt"](spark, folder)
@@ -78,12 +80,88 @@ def test_registered_training_takes_all_labelled_rows_and_the_full_search(spark,
     assert all(v[-1] == (i in known) and (i in known or not any(v)) for i, v in got.items())
 
 
-def test_the_search_scores_with_the_exact_auc(spark):
+def test_the_search_scores_with_the_exact_auc():
     rng = random.Random(5)
     rows = [(i % 2, rng.gauss(i % 2, 1)) for i in range(6000)]
     order = sorted(rows, key=lambda r: r[1])
     wins = before = 0
     for y, _ in order:
         wins, before = wins + before * y, before + 1 - y
-    got = models.auc_evaluator().evaluate(spark.createDataFrame(rows, "y int, rawPrediction double"))
-    assert abs(got - wins / 3000**2) < 1e-9
+    y, score = (np.array(c) for c in zip(*rows))
+    assert abs(trees.exact_auc(y, score) - wins / 3000**2) < 1e-12
+    assert trees.exact_auc(np.array([0, 1, 1, 0]), np.array([1.0, 1.0, 2.0, 0.0])) == 0.875
+    assert np.isnan(trees.exact_auc(np.array([1, 1]), np.array([0.0, 1.0])))
+
+
+SETTING = trees.DEFAULTS | {"max_depth": 2, "learning_rate": 0.5}
+
+
+def least_loss(codes, g, h, setting, depth):
+    """The same splits by trying every cut of every node, one by one."""
+    alpha, penalty = setting["reg_alpha"], setting["reg_lambda"]
+    shrunk = lambda v: np.sign(v) * max(abs(v) - alpha, 0)
+    value = lambda rows: shrunk(g[rows].sum()) ** 2 / (h[rows].sum() + penalty)
+
+    def walk(rows, depth):
+        best = (setting["gamma"], None)
+        for f in range(codes.shape[1] if depth else 0):
+            for b in range(trees.BINS - 1):
+                low = rows[codes[rows, f] <= b]
+                high = rows[codes[rows, f] > b]
+                if min(h[low].sum(), h[high].sum()) >= trees.LEAST_HESSIAN:
+                    gain = (value(low) + value(high) - value(rows)) / 2
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (low, high))
+        if best[1] is None:
+            return {r: -shrunk(g[rows].sum()) / (h[rows].sum() + penalty) * setting["learning_rate"] for r in rows.tolist()}
+        return walk(best[1][0], depth - 1) | walk(best[1][1], depth - 1)
+
+    return walk(np.arange(len(codes)), depth)
+
+
+@pytest.mark.parametrize("more", [{}, {"reg_alpha": 1.0, "reg_lambda": 5.0}, {"gamma": 1.5}])
+def test_a_tree_is_the_best_by_every_cut(more):
+    rng = np.random.default_rng(6)
+    setting = SETTING | more
+    x = np.stack([rng.normal(size=80), rng.integers(0, 3, 80), np.zeros(80)], axis=1)
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=80) > 1).astype(int)
+    codes = trees.binned(x, [trees.bin_edges(c) for c in x.T])
+    g, h = 0.5 - y, np.full(80, 0.25)
+    tree, leaf = trees.grow(codes, g, h, np.arange(3), setting)
+    want = least_loss(codes, g, h, setting, 2)
+    assert np.allclose(tree.value[leaf], [want[i] for i in range(80)])
+    assert (trees.leaves(tree, codes) == leaf).all()
+
+
+def test_one_split_has_the_closed_form(spark):
+    """One 0/1 feature: both leaves follow from the four counts."""
+    rows = [(f"k{i}", [float(i % 3 == 0)], int(i % 3 == 0) if i % 5 else 1 - int(i % 3 == 0), 1.0, i % 2) for i in range(300)]
+    data = spark.createDataFrame(rows, "k string, vector array<double>, y int, weight double, fold int")
+    sample = trees.gathered(data, "k")
+    model = trees.refit(spark, sample, {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0}, 1)
+    for bit in (0.0, 1.0):
+        ys = [r[2] for r in rows if r[1] == [bit]]
+        assert np.isclose(model.margins(np.array([[bit]]))[0], (sum(ys) - 0.5 * len(ys)) / (0.25 * len(ys) + 1.0))
+    again = trees.from_rows(model.table(spark).collect(), 1)
+    scored = data.select(again.proba(spark, F.when(F.col("k") != "k7", F.col("vector"))).alias("p"), "k", F.col("vector")[0].alias("x")).collect()
+    for r in scored:
+        assert r.p is None if r.k == "k7" else np.isclose(r.p, 1 / (1 + np.exp(-model.margins(np.array([[r.x]]))[0])))
+
+
+def test_draws_that_differ_in_the_number_of_trees_share_a_fit(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(np.int64)
+    sample = trees.Sample(x, y, np.ones(300), np.arange(300) % 3)
+    draws = [{"n_estimators": n, "max_depth": 3, "subsample": 0.8} for n in (5, 20)] + [{"n_estimators": 5, "max_depth": 1}]
+    got = trees.cross_validate(spark, sample, draws, 3, 4)
+    alone = [trees.cross_validate(spark, sample, [d], 3, 4)[0] for d in draws[:2]]
+    assert got[:2] == alone and got[1] > 0.85 > 0.65 > got[2]
+
+
+def test_the_sample_is_bounded_and_the_same_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(trees, "MAX_TRAINING_ROWS", 50)
+    rows = [(f"k{i}", [float(i)], i % 2, 1.0, i % 3) for i in range(200)]
+    data = spark.createDataFrame(rows, "k string, vector array<double>, y int, weight double, fold int")
+    first, second = trees.gathered(data, "k"), trees.gathered(data.repartition(7), "k")
+    assert len(first.x) == 50 and (first.x == second.x).all() and (first.y == second.y).all()
