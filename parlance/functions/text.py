@@ -6,6 +6,7 @@ its cleaned text and its sentence array by one projection.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -111,7 +112,7 @@ def split_sentences(
     The period of an abbreviation or initial does not, nor does an ellipsis or an
     ordinal before a lower-case letter.
     """
-    short = "|".join(sorted(abbreviations, key=len, reverse=True))
+    short = "|".join(re.escape(a) for a in sorted(abbreviations, key=len, reverse=True))
     # The period comes first, so the look back is only taken at periods.
     abbreviation = rf"\.(?<=(?:^|[^\p{{L}}\p{{N}}])(?:{short}|\p{{Lu}})\.)"
     masked = F.regexp_replace(cleaned, abbreviation, _DOT)

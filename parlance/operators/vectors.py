@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml.feature import HashingTF, VectorAssembler, Word2Vec
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.functions.text import tokens
 from parlance.schema import KEY, LINGUISTIC_FEATURES, META
 
-# Width of a sentence vector and sentences per model call.
+# Fixed value: width of a sentence vector.
 DIMENSIONS = 768
-BATCH_SIZE = 256
 
 
 @dataclass(frozen=True)
@@ -36,44 +33,6 @@ class HashingEncoder:
         return hashed.withColumn("embedding", mean).drop("_tokens", "_tf")
 
 
-@dataclass(frozen=True)
-class Word2VecEncoder:
-    """Word vectors learnt on the corpus; a sentence is the mean of its words."""
-
-    dimensions: int = DIMENSIONS
-    seed: int = 42
-    min_count: int = 5
-    partitions: int = 1
-
-    def encode(self, sentences: DataFrame) -> DataFrame:
-        words = sentences.withColumn("_tokens", tokens(F.lower("sentence")))
-        model = Word2Vec(
-            inputCol="_tokens", outputCol="_mean", vectorSize=self.dimensions,
-            minCount=self.min_count, seed=self.seed, numPartitions=self.partitions,
-        ).fit(words)
-        return (
-            model.transform(words)
-            .withColumn("embedding", vector_to_array("_mean", dtype="float32"))
-            .drop("_tokens", "_mean")
-        )
-
-
-@dataclass(frozen=True)
-class BatchModelEncoder:
-    """Any model that maps an array of strings to a matrix, loaded once per worker."""
-
-    make_predictor: Callable[[], Callable[[np.ndarray], np.ndarray]]
-    batch_size: int = BATCH_SIZE
-
-    def encode(self, sentences: DataFrame) -> DataFrame:
-        predict = predict_batch_udf(
-            self.make_predictor,
-            return_type=T.ArrayType(T.FloatType()),
-            batch_size=self.batch_size,
-        )
-        return sentences.withColumn("embedding", predict("sentence"))
-
-
 def embedding_table(encoded: DataFrame) -> DataFrame:
     """Key, document columns and the vector as single-precision floats."""
     vector = F.transform("embedding", lambda x: x.cast("float"))
@@ -94,11 +53,6 @@ def mean_pooling(token_vectors: Column, mask: Column) -> Column:
     )
 
 
-def without_embedding(df: DataFrame) -> DataFrame:
-    """Rows a model cannot score: the join found no vector for them."""
-    return df.where(F.col("embedding").isNull())
-
-
 def assemble_vector(
     df: DataFrame, features: Sequence[str] = LINGUISTIC_FEATURES, output: str = "features"
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import features as fx
 from parlance.functions.text import tokens
+from parlance.operators import abbreviations as ab
 from parlance.operators import diagnostics as dg
 from parlance.operators import features as ft
 from parlance.operators import labels as lb
@@ -19,7 +20,10 @@ from parlance.operators import sentences as sn
 from parlance.operators import stats as st
 from parlance.operators import vectors as vc
 from parlance.operators import views as vw
+from parlance.operators.adapter import BatchModelEncoder, StructModel, TextModel
+from parlance.operators.corpus_vectors import CorpusVectorEncoder
 from parlance.operators.entities import entity_counts
+from parlance.operators.zero_shot import zero_shot_scores
 from parlance.plans import inputs as q
 from parlance.plans.pipeline import train_job
 from parlance.schema import (
@@ -282,6 +286,62 @@ def encode_sentences(spark, d):
     )
 
 
+@query
+def encode_corpus_vectors(spark, d):
+    encoder = CorpusVectorEncoder(dimensions=2, window=2, min_count=20, rounds=2)
+    encoded = encoder.encode(q.sentences(spark, d))
+    return encoded.select(KEY, *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"v{i}") for i in range(2)])
+
+
+def _letters():
+    return TextModel(q.letter_shares)
+
+
+@query
+def model_embedding(spark, d):
+    encoded = BatchModelEncoder(_letters()).encode(q.sentences(spark, d))
+    cells = encoded.select(KEY, F.posexplode("embedding").alias("dim", "value"))
+    return cells.select(KEY, F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query
+def model_label_scores(spark, d):
+    scored = q.sentences(spark, d).withColumn("scores", _letters().scores(F.col("sentence")))
+    kept = F.slice("scores", 1, 3)
+    return scored.select(KEY, lb.argmax_label(kept).alias("label"), F.round(F.array_max(kept), 6).alias("score"))
+
+
+@query
+def model_sentiment(spark, d):
+    scores = _letters().score_map(F.col("sentence"), q.SENTIMENT_LABELS)
+    return ft.add_sentiment(q.sentences(spark, d), scores).select(KEY, *_rounded(*SENTIMENT_FEATURES))
+
+
+@query
+def model_struct(spark, d):
+    model = StructModel(q.letter_totals, ("vowels", "letters"))
+    return q.sentences(spark, d).select(KEY, model.predict(F.col("sentence")).alias("m")).select(KEY, "m.*")
+
+
+@query
+def zero_shot_label(spark, d):
+    scored = zero_shot_scores(q.sentences(spark, d), q.DESCRIPTIONS)
+    rounded = F.transform("scores", lambda x: F.round(x, 6))
+    return scored.withColumn("scores", rounded).select(KEY, lb.argmax_label(F.col("scores")).alias("label"), F.array_max("scores").alias("score"))
+
+
+@query
+def learn_abbreviations(spark, d):
+    return ab.learn_abbreviations(q.documents(spark, d)).select("word", "with_period", "without", *_rounded("score"))
+
+
+@query
+def sentences_learnt(spark, d):
+    docs = q.documents(spark, d)
+    known = ab.abbreviation_list(ab.learn_abbreviations(docs))
+    return sn.sentence_table(docs, abbreviations=known).select(KEY, "sentence")
+
+
 @query
 def mean_pooling(spark, d):
     vectors = q.document_vectors(spark, d)
@@ -305,28 +365,37 @@ def _document_rows(spark, d):
 
 @query
 def embedding_table(spark, d):
-    encoded = _document_rows(spark, d).join(q.document_vectors(spark, d), KEY)
+    encoded = _document_rows(spark, d).join(q.document_vectors(spark, d), KEY, "left")
     stored = vc.embedding_table(encoded)
-    return stored.select(KEY, *META, F.posexplode("embedding").alias("dim", "value")).select(
+    return stored.select(KEY, *META, F.posexplode_outer("embedding").alias("dim", "value")).select(
         KEY, *META, F.col("dim").cast("long").alias("dim"),
         F.round(F.col("value").cast("double"), 6).alias("value"),
     )
 
 
 def _with_document_vectors(spark, d, df):
+    """All rows; those of a document without a vector have a null one."""
     vectors = q.document_vectors(spark, d).withColumnRenamed(KEY, "doc_id")
-    return df.join(vectors, "doc_id")
+    return df.join(vectors, "doc_id", "left")
+
+
+def _by_place(values):
+    """Sum of the values times their places: tells the order."""
+    pairs = F.transform(values, lambda x, i: x.cast("double") * (i + 1))
+    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
 
 
 @query
 def assemble_vector(spark, d):
-    full = q.full_features(q.sentences(spark, d))
-    assembled = vc.assemble_vector(_with_document_vectors(spark, d, full))
-    values = assembled.select(KEY, vector_to_array("features").alias("v"))
+    full = _with_document_vectors(spark, d, q.full_features(q.sentences(spark, d)))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), q.VECTOR_SIZE)
+    filled = full.withColumn("has_vector", F.col("embedding").isNotNull()).withColumn("embedding", F.coalesce("embedding", zeros))
+    values = vc.assemble_vector(filled).select(KEY, "has_vector", vector_to_array("features").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return values.select(
-        KEY, F.size("v").cast("long").alias("n_dims"), F.round(total, 4).alias("total")
-    )
+        KEY, "has_vector", F.size("v").cast("long").alias("n_dims"), F.round(total, 4).alias("total"),
+        F.round(_by_place(F.col("v")), 3).alias("by_place"),
+    )
 
 
 # --- joins, labels, sampling --------------------------------------------------------
@@ -573,7 +642,9 @@ def train_gbt(spark, d):
 
 @query
 def predict_all(spark, d):
-    return q.scored_sentences(spark, d).select(KEY, "proba", "pred")
+    corpus = _with_document_vectors(spark, d, q.full_features(q.sentences(spark, d)))
+    done = md.predict_all(corpus, q.fixed_scorer(), q.THRESHOLD, q.fixed_trees(), 0.55)
+    return done.select(KEY, *_rounded("proba_lr", "proba_xgb"), "pred_lr", "pred_xgb")
 
 
 @query

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.fixed_values import MODAL_VERBS
@@ -10,7 +11,8 @@ from parlance.operators import features as ft
 from parlance.operators.models import LogisticScorer, predicted_label
 from parlance.operators.prefix import spread
 from parlance.operators.sentences import sentence_table
-from parlance.schema import KEY, NEG_LABEL, POS_LABEL
+from parlance.operators.trees import NODES, BoostedTrees, from_rows
+from parlance.schema import KEY, LINGUISTIC_FEATURES, NEG_LABEL, POS_LABEL
 
 # Words that occur in the given texts stand in for the lexicons.
 VAGUE = ("the", "of", "de", "que", "la", "und", "les", "el", "of,", "in the")
@@ -35,6 +37,19 @@ WEIGHTS = {
     "n_modal_verbs": 0.1, "modal_ratio": -6.0, "filter_ratio": 2.0,
 }
 INTERCEPT = 0.3
+# Words that describe the labels of zero-shot scoring, and letters that a stand-in model counts.
+DESCRIPTIONS = {
+    "langue_de_bois": "the of and that with the", "non_langue_de_bois": "de la les que le und", "autre": "der die absent los el",
+}
+LETTERS = "aeinorst"
+SENTIMENT_LABELS = ("Positive", "NEGATIVE", "neutral")
+# Trees of a fixed second model: (column, threshold, at most, above); a number is a leaf.
+TREES = (
+    ("vague_ratio", 0.18, ("n_digits", 0.5, -0.4, 0.3), ("embedding[0]", 0.0, 0.25, 0.7)),
+    ("embedding[5]", 0.1, ("modal_ratio", 0.02, -0.2, 0.1), 0.35),
+    ("filter_ratio", 0.25, 0.15, -0.6),
+)
+VECTOR_SIZE = 64
 STAT_FEATURES = (
     "n_digits", "numeric_ratio", "n_vague_words", "vague_ratio", "n_modal_verbs",
     "modal_ratio", "filter_ratio",
@@ -82,6 +97,47 @@ def fixed_scorer() -> LogisticScorer:
     )
 
 
+def fixed_trees() -> BoostedTrees:
+    """``TREES`` over the linguistic features and a vector of ``VECTOR_SIZE`` numbers."""
+    places = {name: i for i, name in enumerate(LINGUISTIC_FEATURES)}
+    places |= {f"embedding[{i}]": len(LINGUISTIC_FEATURES) + i for i in range(VECTOR_SIZE)}
+    rows: list[list] = []
+
+    def add(tree: int, node) -> int:
+        mine = len(rows)
+        rows.append([tree, mine, -1, 0.0, mine, mine, 0.0])
+        if isinstance(node, tuple):
+            name, threshold, low, high = node
+            rows[mine][2:6] = [places[name], threshold, add(tree, low), add(tree, high)]
+        else:
+            rows[mine][6] = node
+        return mine
+
+    for number, root in enumerate(TREES):
+        add(number, root)
+    names = [c.split()[0] for c in NODES.split(", ")]
+    return from_rows([Row(**dict(zip(names, r))) for r in rows], len(places))
+
+
+def letter_shares():
+    """Predictor of a stand-in model: shares of some letters in a text."""
+
+    def predict(texts):
+        return np.array([[t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts])
+
+    return predict
+
+
+def letter_totals():
+    """The same with named columns: vowels and all letters counted."""
+
+    def predict(texts):
+        vowels = np.array([sum(t.count(c) for c in "aeio") for t in texts], float)
+        return {"vowels": vowels, "letters": vowels + np.array([sum(t.count(c) for c in "nrst") for t in texts])}
+
+    return predict
+
+
 def scored(df: DataFrame) -> DataFrame:
     """Probability of fixed coefficients, to six decimals, and the predicted label."""
     return df.withColumn("proba", F.round(fixed_scorer().proba(), 6)).withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from parlance.functions import fixed_values as fv
 from parlance.operators.stats import threshold_grid
 from parlance.plans import inputs as q
+from parlance.schema import LINGUISTIC_FEATURES
 
 CAP = 2_500
 SAMPLE_TARGET = 1_100
@@ -58,11 +59,13 @@ def _clean(text: str) -> str:
     return f"trim(regexp_replace({unnoted}, '{_SPACE}+', ' ', 'g'))"
 
 
-def _split(text: str) -> str:
-    short = "|".join(sorted(fv.ABBREVIATIONS, key=len, reverse=True))
+_SHORT = "'" + "|".join(sorted(fv.ABBREVIATIONS, key=len, reverse=True)) + "'"
+
+
+def _split(text: str, short: str = _SHORT) -> str:
     out = text
     for _ in range(2):
-        out = rf"regexp_replace({out}, '(^|[^\pL\pN])({short}|\p{{Lu}})\.', '\1\2' || chr(64977), 'g')"
+        out = rf"regexp_replace({out}, '(^|[^\pL\pN])(' || {short} || '|\p{{Lu}})\.', '\1\2' || chr(64977), 'g')"
     out = rf"""regexp_replace({out}, '((?:\.{{2,}}|…|\p{{Nd}}\.)[»")\]]*) (\p{{Ll}})',
       '\1' || chr(64978) || '\2', 'g')"""
     out = rf"""regexp_replace({out}, '([.!?…]+[»")\]]*) ', '\1' || chr(64976), 'g')"""
@@ -147,6 +150,18 @@ full_feats AS (SELECT f.*, e.* EXCLUDE ("PRIMARY_KEY"), s.* EXCLUDE ("PRIMARY_KE
 
 _Z = f"{q.INTERCEPT} + " + " + ".join(f"{n} * ({w})" for n, w in q.WEIGHTS.items())
 _POS, _NEG = "'langue_de_bois'", "'non_langue_de_bois'"
+
+
+def _tree(node) -> str:
+    if not isinstance(node, tuple):
+        return str(node)
+    name, threshold, low, high = node
+    place = name.replace("[", "").replace("]", "").replace("embedding", "")
+    value = f"embedding[{int(place) + 1}]" if name.startswith("embedding") else name
+    return f"CASE WHEN {value} <= {threshold} THEN {_tree(low)} ELSE {_tree(high)} END"
+
+
+_TREES = " + ".join(_tree(t) for t in q.TREES)
 SCORED = f"""{FEATURES},
 scored AS (SELECT *, CASE WHEN proba >= {q.THRESHOLD} THEN {_POS} ELSE {_NEG} END AS pred
   FROM (SELECT *, round(1 / (1 + exp(-({_Z}))), 6) AS proba FROM feats))"""
@@ -319,6 +334,51 @@ def _r(*names: str, digits: int = 6) -> str:
 _ABSTRACT = """abstract AS (SELECT p_name AS word, p_size / 10.0 AS conc_m, p_partkey FROM part
   WHERE p_size / 10.0 <= 2.0 ORDER BY p_partkey LIMIT 2000)"""
 
+def _letters(letters: str) -> str:
+    return "(" + " + ".join(f"length(sentence) - length(replace(sentence, '{c}', ''))" for c in letters) + ")"
+
+
+_SHARES = ", ".join(f"{_letters(c)} / CAST(greatest(length(sentence), 1) AS DOUBLE)" for c in q.LETTERS)
+_DESCRIBED = ", ".join(f"('{label}', '{w}')" for label, text in q.DESCRIPTIONS.items() for w in text.split())
+_LABEL_ORDER = ", ".join(f"('{label}', {i})" for i, label in enumerate(q.DESCRIPTIONS))
+_ALL_FEATURES = ", ".join(f"CAST({f} AS DOUBLE)" for f in LINGUISTIC_FEATURES)
+_ABBREVIATIONS = rf"""bare AS (SELECT regexp_replace(t, '^["''«»()\[\],;:]+|["''«»()\[\],;:!?]+$', '', 'g') AS t
+  FROM (SELECT unnest({_tokens('lower(text)')}) AS t FROM docs)),
+counted AS (SELECT CASE WHEN ends_with(t, '.') THEN t[:length(t) - 1] ELSE t END AS word,
+  count(*) FILTER (ends_with(t, '.')) AS with_period, count(*) FILTER (NOT ends_with(t, '.')) AS without FROM bare GROUP BY 1),
+words AS (SELECT * FROM counted WHERE word <> ''),
+chance AS (SELECT sum(with_period) / CAST(sum(with_period + without) AS DOUBLE) AS p FROM words),
+ratios AS (SELECT words.*, length(regexp_replace(word, '[^.]', '', 'g')) AS inner_,
+  -2 * ((with_period * ln(p) + without * ln(1 - p)) - (with_period * ln(0.99) + without * ln(1 - 0.99))) AS ratio FROM words, chance),
+scores AS (SELECT word, with_period, without, ratio * exp(-(length(word) - inner_)) * (inner_ + 1)
+    * power(CAST(length(word) - inner_ AS DOUBLE), -without) AS score FROM ratios
+  WHERE regexp_matches(word, '^\pL+(\.\pL+)*$') AND with_period >= 2),
+learnt AS (SELECT * FROM scores WHERE score >= 0.3)"""
+
+
+def _corpus_vectors(least: int, rounds: int) -> str:
+    """Neighbour counts, mutual information and orthogonal iteration for two columns."""
+    start = lambda i: f"CAST(CAST('0x' || md5('42:{i}:' || w)[1:8] AS BIGINT) AS DOUBLE) / 2147483648.0 - 1"
+    sql = rf"""{TEXT}, t AS (SELECT "PRIMARY_KEY", unnest(range(len(ws))) AS i, unnest(ws) AS w
+  FROM (SELECT "PRIMARY_KEY", {_tokens('lower(sentence)')} AS ws FROM sents)),
+known AS (SELECT w FROM t GROUP BY w HAVING count(*) >= {least}),
+near AS (SELECT a.w, b.w AS c FROM t a JOIN t b ON a."PRIMARY_KEY" = b."PRIMARY_KEY" AND (b.i = a.i + 1 OR b.i = a.i + 2)
+  WHERE a.w IN (FROM known) AND b.w IN (FROM known)),
+cells AS (SELECT w, c, count(*) AS n FROM (SELECT w, c FROM near UNION ALL SELECT c, w FROM near) GROUP BY ALL),
+sums AS (SELECT w, sum(n) AS n FROM cells GROUP BY w),
+m AS (SELECT * FROM (SELECT x.w, x.c, ln(x.n * CAST((SELECT sum(n) FROM cells) AS DOUBLE) / (CAST(a.n AS DOUBLE) * b.n)) AS value
+  FROM cells x JOIN sums a ON a.w = x.w JOIN sums b ON b.w = x.c) WHERE value > 0),
+q0 AS (SELECT w, {start(0)} AS a, {start(1)} AS b FROM (SELECT DISTINCT w FROM m))"""
+    for k in range(1, rounds + 1):
+        sql += f""",
+y{k} AS (SELECT m.w, sum(value * a) AS a, sum(value * b) AS b FROM m JOIN q{k - 1} p ON p.w = m.c GROUP BY m.w),
+g{k} AS (SELECT sqrt(sum(a * a)) AS r, sum(a * b) / sqrt(sum(a * a)) AS s, sum(b * b) AS bb FROM y{k}),
+q{k} AS (SELECT w, a / r AS a, (b - a / r * s) / sqrt(bb - s * s) AS b FROM y{k}, g{k})"""
+    return f"""{sql}, e AS (SELECT "PRIMARY_KEY", avg(a) AS a, avg(b) AS b FROM t JOIN q{rounds} USING (w) GROUP BY 1)
+SELECT "PRIMARY_KEY", round(CAST(CAST(coalesce(a, 0) AS FLOAT) AS DOUBLE), 5) AS v0,
+  round(CAST(CAST(coalesce(b, 0) AS FLOAT) AS DOUBLE), 5) AS v1 FROM sents LEFT JOIN e USING ("PRIMARY_KEY")"""
+
+
 ORACLE: dict[str, str] = {
     "read_text_corpus": f"""WITH {_DOCS} SELECT doc_id, date, classe, doc_id || '.txt' AS file_name, text FROM docs
       WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
@@ -361,15 +421,44 @@ ORACLE: dict[str, str] = {
     "feature_table": f"""{_FULL} SELECT "PRIMARY_KEY", doc_id, date, classe, sentence, {_COUNTS}, {_r(*_RATIOS)}
       FROM full_feats""",
     "encode_sentences": f'{TEXT} SELECT "PRIMARY_KEY", CAST(768 AS BIGINT) AS n_dims, 1.0::DOUBLE AS total FROM sents',
+    "encode_corpus_vectors": _corpus_vectors(20, 2),
+    "model_embedding": f"""{TEXT} SELECT "PRIMARY_KEY", unnest(range({len(q.LETTERS)})) AS dim, round(CAST(CAST(unnest([{_SHARES}]) AS FLOAT) AS DOUBLE), 5) AS value FROM sents""",
+    "model_label_scores": f"""{TEXT}, m AS (SELECT "PRIMARY_KEY", ([{_SHARES}])[:3] AS s FROM sents)
+      SELECT "PRIMARY_KEY", (['langue_de_bois', 'non_langue_de_bois', 'autre'])[list_position(s, list_max(s))] AS label, round(list_max(s), 6) AS score FROM m""",
+    "model_sentiment": f"""{TEXT}, m AS (SELECT "PRIMARY_KEY", [{_SHARES}] AS s FROM sents)
+      SELECT "PRIMARY_KEY", round(s[1], 6) AS sentiment_positive, round(s[2], 6) AS sentiment_negative, round(abs(s[1] - s[2]), 6) AS sentiment_intensity FROM m""",
+    "model_struct": f"""{TEXT} SELECT "PRIMARY_KEY", CAST({_letters('aeio')} AS DOUBLE) AS vowels, CAST({_letters('aeionrst')} AS DOUBLE) AS letters FROM sents""",
+    "zero_shot_label": f"""{TEXT}, t AS (SELECT "PRIMARY_KEY", unnest({_tokens('lower(sentence)')}) AS w FROM sents),
+      df AS (SELECT w, ln((1 + (SELECT count(*) FROM sents)) / CAST(1 + count(DISTINCT "PRIMARY_KEY") AS DOUBLE)) + 1 AS idf FROM t GROUP BY w),
+      d AS (SELECT label, w, count(*) * any_value(idf) AS x FROM (SELECT * FROM (VALUES {_DESCRIBED}) AS a(label, w)) JOIN df USING (w) GROUP BY label, w),
+      u AS (SELECT label, w, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM d),
+      tf AS (SELECT "PRIMARY_KEY", w, count(*) * any_value(idf) AS x FROM t JOIN df USING (w) GROUP BY "PRIMARY_KEY", w),
+      norms AS (SELECT "PRIMARY_KEY", sqrt(sum(x * x)) AS norm FROM tf GROUP BY 1),
+      dots AS (SELECT "PRIMARY_KEY", label, sum(tf.x * u.x) AS dot FROM tf JOIN u USING (w) GROUP BY ALL),
+      ls AS (SELECT * FROM (VALUES {_LABEL_ORDER}) AS a(label, o)),
+      s AS (SELECT s."PRIMARY_KEY", label, o, coalesce(round(dot / norm, 6), 0.0) AS score FROM sents s CROSS JOIN ls
+        LEFT JOIN dots USING ("PRIMARY_KEY", label) LEFT JOIN norms USING ("PRIMARY_KEY"))
+      SELECT "PRIMARY_KEY", label, score FROM (SELECT *, row_number() OVER (PARTITION BY "PRIMARY_KEY" ORDER BY score DESC, o) AS r FROM s) WHERE r = 1""",
+    "learn_abbreviations": f"WITH {_DOCS}, {_ABBREVIATIONS} SELECT word, with_period, without, round(score, 6) AS score FROM learnt",
+    "sentences_learnt": f"""WITH {_DOCS}, {_ABBREVIATIONS},
+      best AS (SELECT word FROM learnt ORDER BY score DESC, word LIMIT 1000),
+      forms AS (SELECT DISTINCT replace(unnest([word, upper(word[1]) || word[2:]]), '.', '\\.') AS f FROM best),
+      known AS (SELECT coalesce(string_agg(f, '|' ORDER BY length(f) DESC), 'M') AS short FROM forms),
+      cleaned AS (SELECT doc_id, {_clean('text')} AS text, short FROM docs, known),
+      pieces AS (SELECT doc_id, {_split('text', 'short')} AS ss FROM cleaned)
+      SELECT doc_id || '_' || unnest(range(len(ss))) AS "PRIMARY_KEY", unnest(ss) AS sentence FROM pieces""",
     "mean_pooling": f"""{_STORED}, cells AS (SELECT "PRIMARY_KEY", unnest(range(64)) AS c, unnest(embedding) AS x,
         embedding AS e FROM v),
       parts AS (SELECT "PRIMARY_KEY", c % 8 AS dim, CAST(x AS DOUBLE) AS x, CAST(e[(c // 8) * 8 + 1] > 0 AS INTEGER) AS m FROM cells)
       SELECT "PRIMARY_KEY", dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS value FROM parts GROUP BY ALL""",
-    "embedding_table": f"""{_STORED}, {_DOCS} SELECT "PRIMARY_KEY", doc_id, date, classe, unnest(range(64)) AS dim,
-      round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM v JOIN docs ON doc_id = "PRIMARY_KEY" """,
-    "assemble_vector": f"""{_FULL}, v AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, embedding FROM embeddings)
-      SELECT "PRIMARY_KEY", CAST(81 AS BIGINT) AS n_dims, round({' + '.join(_COUNTS.split(', '))} + {' + '.join(_RATIOS)}
-      + list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM full_feats JOIN v USING (doc_id)""",
+    "embedding_table": f"""{_STORED}, {_DOCS}, e AS (SELECT "PRIMARY_KEY", unnest(range(64)) AS dim,
+        round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM v)
+      SELECT doc_id AS "PRIMARY_KEY", doc_id, date, classe, dim, value FROM docs LEFT JOIN e ON doc_id = "PRIMARY_KEY" """,
+    "assemble_vector": f"""{_FULL}, v AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      a AS (SELECT "PRIMARY_KEY", e IS NOT NULL AS has_vector, [{_ALL_FEATURES}] || coalesce(e, list_transform(range(64), lambda x: 0.0)) AS f
+        FROM full_feats LEFT JOIN v USING (doc_id))
+      SELECT "PRIMARY_KEY", has_vector, len(f) AS n_dims, round(list_sum(f), 4) AS total,
+        round(list_sum(list_transform(f, lambda x, i: x * i)), 3) AS by_place FROM a""",
     "merge_features": f"""{_STORED}, {_DOCS} SELECT doc_id AS "PRIMARY_KEY", doc_id, date, classe,
       len(embedding) AS n_dims, {_TOTAL} AS total FROM docs LEFT JOIN v ON doc_id = "PRIMARY_KEY" """,
     "key_gaps": """SELECT (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS only_left,
@@ -430,7 +519,11 @@ ORACLE: dict[str, str] = {
         round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM prf""",
     "roc_auc": f"""{LABELLED}, c AS (SELECT CAST(count(*) FILTER (y = 1) AS DOUBLE) AS p, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS n FROM ys)
       SELECT round(({_auc('ys')} - p * (p + 1) / 2) / (p * n), 6) AS auc_roc FROM c""",
-    "predict_all": f'{SCORED} SELECT "PRIMARY_KEY", proba, pred FROM scored',
+    "predict_all": f"""{_FULL}, v AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
+      p AS (SELECT "PRIMARY_KEY", 1 / (1 + exp(-({_Z}))) AS lr, CASE WHEN embedding IS NOT NULL THEN 1 / (1 + exp(-({_TREES}))) END AS xgb
+        FROM full_feats LEFT JOIN v USING (doc_id))
+      SELECT "PRIMARY_KEY", round(lr, 6) AS proba_lr, round(xgb, 6) AS proba_xgb, CASE WHEN lr >= {q.THRESHOLD} THEN {_POS} ELSE {_NEG} END AS pred_lr,
+        CASE WHEN xgb >= 0.55 THEN {_POS} WHEN xgb IS NOT NULL THEN {_NEG} END AS pred_xgb FROM p""",
     "prediction_distribution": f"""{SCORED} SELECT pred AS label, count(*) AS n,
       round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM scored), 6) AS share FROM scored GROUP BY pred""",
     "metrics_table": f"""{LABELLED}, {_RANKED},
