@@ -12,6 +12,7 @@ from parlance.functions.text import admin_share, clean_text, is_administrative,
 from parlance.operators.prefix import range_prefix
 from parlance.schema import KEY, validate_schema
 from parlance.session import cut_lineage
+from parlance.sources.corpus import named_files
 
 STRATUM = ("date", "classe")
 
@@ -107,6 +108,25 @@ def stratum_noise(documents: DataFrame) -> DataFrame:
     )
 
 
+def noise_rollup(files: DataFrame) -> DataFrame:
+    """Noise of every stratum, date and the whole corpus, in one aggregation.
+
+    ``files`` is ``(path, content)``. Unreadable files count among the files of their stratum
+    but have no ratio. ``level`` is 0 for a stratum, 1 for a date and 3 for the corpus; the
+    columns that a level sums over are null.
+    """
+    named = named_files(files).withColumn("_lines", lines(F.coalesce("text", F.lit(""))))
+    rated = named.select(*STRATUM, F.when(F.col("readable"), admin_share(F.col("_lines"))).alias("r"))
+    return rated.rollup(*STRATUM).agg(
+        F.grouping_id().cast("long").alias("level"),
+        F.count("*").alias("n_files"),
+        F.count_if(F.col("r").isNull()).alias("n_unreadable"),
+        _mean_ratio("r").alias("mean_ratio"),
+        F.min("r").alias("min_ratio"),
+        F.max("r").alias("max_ratio"),
+    )
+
+
 def corpus_noise(sentences: DataFrame, noisy: float = 0.5) -> DataFrame:
     """Sentences, documents, mean ratio over documents, documents above ``noisy``."""
     per_document = sentences.groupBy("doc_id").agg(

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators.prefix import range_prefix, seeded_rank, value_counts, with_bins
+from parlance.operators.prefix import range_prefix, seeded_prefix, seeded_rank, value_counts, with_bins
 from parlance.schema import KEY, LINGUISTIC_FEATURES, NEG_LABEL, POS_LABEL
 from parlance.session import cut_lineage
 
@@ -37,17 +37,10 @@ def stratified_split(
     """Add ``split``: exact shares of each class in seeded order, test first, then val.
 
     Sentences are split one by one unless ``group_by`` names a column, such as
-    ``doc_id``, whose values must not be torn apart; then the hash of that column decides
-    and the shares hold on average.
+    ``doc_id``, whose values must not be torn apart; see :func:`grouped_split`.
     """
     if group_by is not None:
-        draw = F.pmod(F.xxhash64(F.lit(seed), group_by), F.lit(1_000_000)) / F.lit(1_000_000.0)
-        split = (
-            F.when(draw < test_size, "test")
-            .when(draw < test_size + val_size, "val")
-            .otherwise("train")
-        )
-        return df.withColumn("split", split)
+        return grouped_split(df, group_by, test_size, val_size, seed)
     ranked = seeded_rank(df, ["y"], key, seed)
     n_test = F.round(F.col("total") * test_size)
     n_val = F.round((F.col("total") - n_test) * (val_size / (1 - test_size)))
@@ -59,12 +52,59 @@ def stratified_split(
     return ranked.withColumn("split", split).drop("before", "total")
 
 
-def stratified_folds(df: DataFrame, n_folds: int = 3, seed: int = 42, key: str = KEY) -> DataFrame:
-    """Add ``fold``: classes dealt evenly over the folds in seeded order."""
+def stratified_folds(
+    df: DataFrame, n_folds: int = 3, seed: int = 42, key: str = KEY, group_by: str | None = None
+) -> DataFrame:
+    """Add ``fold``: classes dealt evenly over the folds in seeded order.
+
+    With ``group_by`` the rows of one value share a fold; see :func:`grouped_folds`.
+    """
+    if group_by is not None:
+        return grouped_folds(df, group_by, n_folds, seed)
     ranked = seeded_rank(df, ["y"], key, seed)
     return ranked.withColumn("fold", (F.col("before") % n_folds).cast("int")).drop("before", "total")
 
 
+def _placed_groups(df: DataFrame, group_by: str, seed: int) -> DataFrame:
+    """``(group, _at, total)``: where the middle of each group lies among the rows of its kind.
+
+    Groups of one class, of the other and of both are three kinds; each is laid end to end in
+    seeded order by bucketed prefix sums, so no kind is ordered in one task. Equal groups of a
+    null id are one.
+    """
+    sizes = df.groupBy(F.col(group_by).alias("_group")).agg(
+        F.count("*").alias("_n"), F.min("y").alias("_low"), F.max("y").alias("_high")
+    )
+    kind = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(2).alias("_kind")
+    name = F.coalesce(F.col("_group").cast("string"), F.lit("")).alias("_name")
+    laid = seeded_prefix(sizes.select("_group", name, kind, "_n"), ["_kind"], "_name", "_n", seed)
+    return laid.select("_group", (F.col("before") + F.col("_n") / 2.0).alias("_at"), "total")
+
+
+def _back(df: DataFrame, placed: DataFrame, group_by: str, name: str, value: Column) -> DataFrame:
+    chosen = placed.select("_group", value.alias(name))
+    return df.join(chosen, F.col(group_by).eqNullSafe(F.col("_group")), "left").drop("_group")
+
+
+def grouped_split(
+    df: DataFrame, group_by: str, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42
+) -> DataFrame:
+    """Add ``split`` so that no group is torn: the side on which the middle of a group lies.
+
+    Of each kind of group (see :func:`_placed_groups`) the rows of a split differ from their
+    exact share by at most one group.
+    """
+    at, total = F.col("_at"), F.col("total")
+    split = F.when(at < total * test_size, "test").when(at < total * (test_size + val_size), "val")
+    return _back(df, _placed_groups(df, group_by, seed), group_by, "split", split.otherwise("train"))
+
+
+def grouped_folds(df: DataFrame, group_by: str, n_folds: int = 3, seed: int = 42) -> DataFrame:
+    """Add ``fold`` so that no group is torn, with shares as in :func:`grouped_split`."""
+    fold = F.least(F.floor(F.col("_at") * n_folds / F.col("total")), F.lit(n_folds - 1)).cast("int")
+    return _back(df, _placed_groups(df, group_by, seed), group_by, "fold", fold)
+
+
 def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(…keep, feature, value)``."""
     numeric = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features])

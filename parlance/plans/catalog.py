@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -39,6 +40,7 @@ from parlance.session import scratch_path
 from parlance.sources import corpus as cp
 from parlance.sources import tables as tb
 from parlance.streaming.annotate import read_annotations, start_annotation
+from parlance.streaming.events import RESULT, late_rows, read_totals, start_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,6 +202,11 @@ def stratum_noise(spark, d):
     return sn.stratum_noise(q.documents(spark, d))
 
 
+@query
+def noise_rollup(spark, d):
+    return sn.noise_rollup(_corpus_files(spark, d))
+
+
 @query
 def corpus_noise(spark, d):
     return sn.corpus_noise(q.sentences(spark, d))
@@ -494,6 +501,19 @@ def pending_annotations(spark, d):
     return lb.pending_annotations(_half_sheet(spark, d)).select(KEY, "date", "classe", "label")
 
 
+@query
+def merge_bucketed(spark, d):
+    """Features and vectors as bucketed stages, merged without an exchange; French rows only."""
+    root = scratch_path(spark, "bucketed")
+    rows = q.rule_features(q.sentences(spark, d))
+    vectors = rows.select(KEY, F.array(F.col("n_digits").cast("float"), F.col("vague_ratio").cast("float")).alias("embedding"))
+    names = [f"{n}_{uuid.uuid4().hex}" for n in ("features", "vectors")]
+    features = tb.write_bucketed(rows, names[0], f"{root}/features", KEY, 8, ["date"])
+    embeddings = tb.write_bucketed(vectors, names[1], f"{root}/vectors", KEY, 8)
+    merged = lb.merge_features(vw.filter_corpus(features, date="fr"), embeddings)
+    return merged.select(KEY, "date", "classe", F.size("embedding").cast("long").alias("n_dims"), *_rounded("vague_ratio"))
+
+
 @query
 def update_labels(spark, d):
     new = q.table(spark, d, "labels").where(F.col("toxic") == 1).select(
@@ -520,6 +540,29 @@ def stream_annotate(spark, d):
     return read_annotations(spark, output)
 
 
+@query
+def stream_event_totals(spark, d):
+    """Events in files by time, each with its repeats, and old rows at the end; see EventTime."""
+    source, output, checkpoint = (scratch_path(spark, n) for n in ("events-in", "events-out", "events-state"))
+    instant = F.expr("cast(convert_timezone('UTC', current_timezone(), cast(ts AS timestamp_ntz)) AS timestamp)")
+    events = q.table(spark, d, "events").select("event_id", instant.alias("ts"), "event_type", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    n = 5
+    edges = [first + (last - first) * i / n for i in range(n + 1)]
+    late = events.where(F.col("ts") < edges[1]).select((F.col("event_id") + 10**9).alias("event_id"), "ts", "event_type", "value")
+    for i in range(n):  # files come in the order in which they were written
+        here = (F.col("ts") >= F.lit(edges[i])) & ((F.col("ts") < F.lit(edges[i + 1])) if i < n - 1 else F.lit(True))
+        part = events.where(here)
+        repeats = part.where(F.col("ts") >= F.lit(edges[i + 1]) - F.expr("INTERVAL 12 HOURS"))
+        rows = part.unionByName(part).unionByName(late) if i == n - 1 else part.unionByName(repeats)
+        rows.coalesce(1).write.mode("append").parquet(source)
+    run = start_totals(spark, source, output, checkpoint, events.schema)
+    run.awaitTermination()
+    n_late = spark.createDataFrame([(None, "late", late_rows(run), None)], RESULT)
+    start = F.expr("convert_timezone(current_timezone(), 'UTC', cast(start AS timestamp_ntz))").alias("start")
+    return read_totals(spark, output).unionByName(n_late).select(start, "kind", "n", *_rounded("total", digits=4))
+
+
 # --- splits, selection, training ----------------------------------------------------
 
 
@@ -542,6 +585,18 @@ def stratified_folds(spark, d):
     )
 
 
+@query
+def grouped_split(spark, d):
+    rows = st.labelled_target(q.labelled_sentences(spark, d))
+    return st.stratified_split(rows, group_by="doc_id").select(KEY, "y", "split")
+
+
+@query
+def grouped_folds(spark, d):
+    rows = st.labelled_target(q.labelled_sentences(spark, d))
+    return st.stratified_folds(rows, group_by="doc_id").select(KEY, "y", F.col("fold").cast("long").alias("fold"))
+
+
 @query
 def quantile_bins(spark, d):
     labelled = q.labelled_sentences(spark, d)

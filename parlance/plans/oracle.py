@@ -334,6 +334,11 @@ def _r(*names: str, digits: int = 6) -> str:
 _ABSTRACT = """abstract AS (SELECT p_name AS word, p_size / 10.0 AS conc_m, p_partkey FROM part
   WHERE p_size / 10.0 <= 2.0 ORDER BY p_partkey LIMIT 2000)"""
 
+_PLACED = f"""sizes AS (SELECT doc_id, count(*) AS n, CASE WHEN min(y) = max(y) THEN min(y) ELSE 2 END AS kind FROM lab GROUP BY doc_id),
+placed AS (SELECT doc_id, sum(n) OVER (PARTITION BY kind ORDER BY {_seeded(key='doc_id')}) - n / 2.0 AS mid,
+  sum(n) OVER (PARTITION BY kind) AS total FROM sizes)"""
+
+
 def _letters(letters: str) -> str:
     return "(" + " + ".join(f"length(sentence) - length(replace(sentence, '{c}', ''))" for c in letters) + ")"
 
@@ -408,6 +413,22 @@ ORACLE: dict[str, str] = {
     "stratum_noise": f"""WITH {_DOCS}, {_LINES} SELECT date, classe, count(*) AS n_files,
       CAST(sum(CAST(round(filter_ratio * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / count(*) AS mean_ratio,
       min(filter_ratio) AS min_ratio, max(filter_ratio) AS max_ratio FROM docs JOIN ratios USING (doc_id) GROUP BY date, classe""",
+    "noise_rollup": f"""WITH {_DOCS}, {_LINES}, f AS (SELECT date, classe, CASE WHEN doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR)
+        FROM labels WHERE toxic = 1) THEN filter_ratio END AS r FROM docs JOIN ratios USING (doc_id))
+      SELECT date, classe, CAST(GROUPING(date, classe) AS BIGINT) AS level, count(*) AS n_files, count(*) FILTER (r IS NULL) AS n_unreadable,
+        CAST(sum(CAST(round(r * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / count(r) AS mean_ratio, min(r) AS min_ratio, max(r) AS max_ratio
+      FROM f GROUP BY ROLLUP (date, classe)""",
+    "merge_bucketed": f"""{FEATURES} SELECT "PRIMARY_KEY", date, classe, CAST(2 AS BIGINT) AS n_dims, round(vague_ratio, 6) AS vague_ratio
+      FROM feats WHERE date = 'fr'""",
+    "grouped_split": f"""{LABELLED}, {_PLACED} SELECT "PRIMARY_KEY", y, CASE WHEN mid < total * 0.15 THEN 'test' WHEN mid < total * 0.3 THEN 'val'
+      ELSE 'train' END AS split FROM lab JOIN placed USING (doc_id)""",
+    "grouped_folds": f"""{LABELLED}, {_PLACED} SELECT "PRIMARY_KEY", y, CAST(least(floor(mid * 3 / total), 2) AS BIGINT) AS fold
+      FROM lab JOIN placed USING (doc_id)""",
+    "stream_event_totals": """WITH span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+      over_ AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total
+        FROM events GROUP BY ALL)
+      SELECT start, kind, n, total FROM over_, span WHERE start + INTERVAL 1 DAY <= hi - INTERVAL 1 DAY
+      UNION ALL SELECT NULL, 'late', count(*), NULL FROM events, span WHERE ts < lo + (hi - lo) / 5""",
     "corpus_noise": f"""{TEXT}, per AS (SELECT doc_id, count(*) AS n, max(filter_ratio) AS r FROM sents GROUP BY 1)
       SELECT CAST(sum(n) AS BIGINT) AS n_sentences, count(*) AS n_documents, CAST(sum(CAST(round(r * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / count(*) AS mean_ratio,
       count(*) FILTER (r > 0.5) AS n_noisy FROM per""",

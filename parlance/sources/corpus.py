@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +35,46 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def decode_corpus(files: DataFrame) -> DataFrame:
-    """Valid UTF-8 files as documents; folder names give ``date`` and ``classe``."""
+def named_files(files: DataFrame) -> DataFrame:
+    """Every file with what its path says, whether it is valid UTF-8, and its text if it is."""
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
-    return files.where(F.is_valid_utf8("content")).select(
+    readable = F.is_valid_utf8("content")
+    return files.select(
         F.regexp_replace(name, r"\.txt$", "").alias("doc_id"),
         F.element_at(parts, -3).alias("date"),
         F.element_at(parts, -2).alias("classe"),
         name.alias("file_name"),
-        F.decode("content", "UTF-8").alias("text"),
+        readable.alias("readable"),
+        F.when(readable, F.decode("content", "UTF-8")).alias("text"),
     )
 
 
+def decode_corpus(files: DataFrame) -> DataFrame:
+    """Valid UTF-8 files as documents; folder names give ``date`` and ``classe``."""
+    return named_files(files).where("readable").drop("readable")
+
+
+def write_corpus(files: DataFrame, root: str) -> int:
+    """Write ``(path, content)`` below ``root``, ``path`` being relative; the number of files.
+
+    Each task writes its own files, whole, and a task that runs again writes the same ones.
+    """
+
+    def run(batches):
+        system, base = pa_fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            for path, content in zip(paths, batch.column("content").to_pylist()):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(content or b"")
+            yield pa.record_batch([pa.array([len(paths)], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def corpus_rejects(files: DataFrame) -> DataFrame:
     """Files that are not valid UTF-8, with the reason; they never stop the scan."""
     return files.where(~F.is_valid_utf8("content")).select(

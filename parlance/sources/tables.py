@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +120,36 @@ def read_norms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_bucketed(
+    df: DataFrame, name: str, path: str, key: str, buckets: int, partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """A stage as a table bucketed and sorted by its key, in folders of ``partition_by``.
+
+    Tables with the same number of buckets join on the key without an exchange, and a filter
+    on a partition column reads its folders only. Rows are dealt to their buckets before the
+    write, so a folder has one file per bucket.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+    writer = writer.bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(
+    spark: SparkSession, name: str, path: str, schema: T.StructType, key: str, buckets: int, partition_by: Sequence[str] = ()
+) -> DataFrame:
+    """Make a stage that another session wrote known to this one."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {by} "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    if partition_by:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    return spark.table(name)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
