@@ -16,7 +16,7 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
 
     Raises ``FileNotFoundError`` when the root itself is missing; a root without text
     files gives an empty table. The driver lists the two folder levels only; Spark lists
-    the files.
+    the files, and leaves out those of no length, which have no sentences either.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
