@@ -1,6 +1,6 @@
 """Word lists, patterns and constants that define the results.
 
-They are data, not logic; every function that uses one takes it as a parameter.
+They are data, not logic. Word lists are defaults of parameters; patterns are used as they are.
 """
 
 # Modal verb forms.

@@ -111,12 +111,3 @@ def feature_table(
     out = entity_counts(out, gazetteer)
     scores = fx.lexicon_sentiment_scores(F.col("_tokens"), positive, negative)
     return add_sentiment(out, scores).drop("_tokens")
-
-
-def attach_scores(
-    features: DataFrame, scores: DataFrame, columns: Iterable[str] = SENTIMENT_FEATURES
-) -> DataFrame:
-    """Replace feature columns by externally computed ones, matched by sentence key."""
-    names = list(columns)
-    kept = features.drop(*names)
-    return kept.join(scores.select(KEY, *names), KEY, "left")

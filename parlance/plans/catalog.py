@@ -47,6 +47,7 @@ QUERIES: dict[str, Query] = {}
 
 CAP = 2_500
 SAMPLE_TARGET = 1_100
+FIRST_WORDS = 50
 
 
 def query(fn: Query) -> Query:
@@ -77,7 +78,11 @@ def _corpus_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def read_text_corpus(spark, d):
-    return cp.decode_corpus(_corpus_files(spark, d))
+    """The documents written as files of a corpus folder, and the folder scanned."""
+    root = scratch_path(spark, "corpus")
+    relative = F.regexp_replace("path", "^file:/corpus/", "").alias("path")
+    cp.write_corpus(_corpus_files(spark, d).select(relative, "content"), root)
+    return cp.read_text_corpus(spark, root)
 
 
 @query
@@ -86,12 +91,11 @@ def corpus_rejects(spark, d):
 
 
 def _pages(spark, d):
-    return q.table(spark, d, "conversations").select(
-        F.col("conv_id").alias("doc"),
-        F.col("turn").alias("page_no"),
-        F.lit(0).alias("transcription_id"),
-        "text",
-    )
+    """Turns as pages; every other page has an earlier transcription too."""
+    turns = q.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text")
+    first = turns.select("doc", "page_no", F.lit(7).alias("transcription_id"), "text")
+    earlier = turns.where("page_no % 2 = 1").select("doc", "page_no", F.lit(3), F.concat("text", F.lit(" (first)")))
+    return first.union(earlier)
 
 
 @query
@@ -194,7 +198,7 @@ def sentences_table(spark, d):
 
 @query
 def cap_sentences(spark, d):
-    return sn.cap_sentences(q.sentences(spark, d), CAP).select(KEY, "doc_id", "date", "classe")
+    return sn.cap_sentences(q.stored_sentences(spark, d), CAP).select(KEY, "doc_id", "date", "classe")
 
 
 @query
@@ -464,12 +468,12 @@ def label_counts(spark, d):
 
 @query
 def sample_documents(spark, d):
-    return lb.sample_documents(q.sentences(spark, d), SAMPLE_TARGET).select(KEY, *META)
+    return lb.sample_documents(q.stored_sentences(spark, d), SAMPLE_TARGET).select(KEY, *META)
 
 
 @query
 def annotation_sheet(spark, d):
-    return lb.annotation_sheet(lb.sample_documents(q.sentences(spark, d), SAMPLE_TARGET))
+    return lb.annotation_sheet(lb.sample_documents(q.stored_sentences(spark, d), SAMPLE_TARGET))
 
 
 def _label_scores(df):
@@ -755,6 +759,14 @@ def hosmer_lemeshow(spark, d):
     )
 
 
+@query
+def hosmer_lemeshow_odd(spark, d):
+    """Nine groups: an odd number of degrees of freedom."""
+    return dg.hosmer_lemeshow(q.labelled_scores(spark, d), n_groups=9).select(
+        F.round("chi2", 3).alias("chi2"), "n_groups", *_rounded("p_value"), "verdict"
+    )
+
+
 @query
 def hosmer_lemeshow_table(spark, d):
     return dg.hosmer_lemeshow_table(q.labelled_scores(spark, d)).select(
@@ -857,7 +869,7 @@ def _abstract(spark, d):
     norms = q.table(spark, d, "part").select(
         F.col("p_name").alias("word"), (F.col("p_size") / 10.0).alias("conc_m"), "p_partkey"
     )
-    return lx.abstract_words(norms, "p_partkey")
+    return lx.abstract_words(norms, "p_partkey", first=FIRST_WORDS)
 
 
 @query

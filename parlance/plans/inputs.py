@@ -13,6 +13,8 @@ from parlance.operators.prefix import spread
 from parlance.operators.sentences import sentence_table
 from parlance.operators.trees import NODES, BoostedTrees, from_rows
 from parlance.schema import KEY, LINGUISTIC_FEATURES, NEG_LABEL, POS_LABEL
+from parlance.session import scratch_path
+from parlance.sources.tables import materialize
 
 # Words that occur in the given texts stand in for the lexicons.
 VAGUE = ("the", "of", "de", "que", "la", "und", "les", "el", "of,", "in the")
@@ -73,6 +75,11 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_table(documents(spark, folder))
 
 
+def stored_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences as a stage table: for steps that read them more than once."""
+    return materialize(spark, lambda: sentences(spark, folder), scratch_path(spark, "sentences"))
+
+
 def rule_features(df: DataFrame) -> DataFrame:
     return ft.rule_features(df, VAGUE, MODAL)
 

@@ -201,9 +201,9 @@ _UNPIVOT = " UNION ALL ".join(
 _DECILES = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
 
 
-def _binned(source: str) -> str:
+def _binned(source: str, steps: str = _DECILES) -> str:
     return f"""edges AS (SELECT feature,
-  list_sort(list_distinct(quantile_cont(value, {_DECILES}))) AS es FROM {source} GROUP BY feature),
+  list_sort(list_distinct(quantile_cont(value, {steps}))) AS es FROM {source} GROUP BY feature),
 binned AS (SELECT v.*, CASE WHEN len(es) > 1 THEN
   CAST(len(list_filter(es[2:len(es) - 1], lambda e: e < value)) AS BIGINT) END AS bin
   FROM {source} v JOIN edges USING (feature))"""
@@ -241,14 +241,30 @@ cut AS (SELECT s.*, lo, (hi - lo) / {n} AS width,
   FROM {source} s, span)"""
 
 
-HL = f"""{LABELLED},
+def _groups(n: int) -> str:
+    steps = "[" + ", ".join(repr(i / n) for i in range(n + 1)) + "]"
+    return f"""{LABELLED},
 ps AS (SELECT 'p' AS feature, proba AS value, y FROM ys),
-{_binned('ps')},
+{_binned('ps', steps)},
 grp AS (SELECT bin AS decile, CAST(sum(y) AS BIGINT) AS obs_pos, count(*) AS total, avg(value) AS mean_p
   FROM binned WHERE bin IS NOT NULL GROUP BY 1),
 hl AS (SELECT decile, obs_pos, total - obs_pos AS obs_neg, total, mean_p, total * mean_p AS exp_pos,
   total * (1 - mean_p) AS exp_neg FROM grp)"""
 
+
+HL = _groups(10)
+
+
+def _hosmer(n: int) -> str:
+    """The upper tail of chi-square is one less the series of the incomplete gamma function."""
+    return f"""{_groups(n)}, t AS (SELECT sum((obs_pos - exp_pos) ** 2 / greatest(exp_pos, 1e-8)
+    + (obs_neg - exp_neg) ** 2 / greatest(exp_neg, 1e-8)) AS chi2, count(*) AS n_groups FROM hl),
+  p AS (SELECT *, CASE WHEN chi2 > 400 THEN 0.0 ELSE 1 - list_sum(list_transform(range(400), lambda i: exp(((n_groups - 2) / 2.0 + i) * ln(chi2 / 2)
+    - chi2 / 2 - lgamma((n_groups - 2) / 2.0 + i + 1)))) END AS p_value FROM t)
+  SELECT round(chi2, 3) AS chi2, n_groups, round(p_value, 6) AS p_value,
+    CASE WHEN p_value < 0.05 THEN 'poor calibration' ELSE 'acceptable calibration' END AS verdict FROM p"""
+
+
 _GRID = "[" + ", ".join(f"CAST({t!r} AS DOUBLE)" for t in threshold_grid()) + "]"
 
 
@@ -332,7 +348,7 @@ def _r(*names: str, digits: int = 6) -> str:
 
 
 _ABSTRACT = """abstract AS (SELECT p_name AS word, p_size / 10.0 AS conc_m, p_partkey FROM part
-  WHERE p_size / 10.0 <= 2.0 ORDER BY p_partkey LIMIT 2000)"""
+  WHERE p_size / 10.0 <= 2.0 ORDER BY p_partkey LIMIT 50)"""
 
 _PLACED = f"""sizes AS (SELECT doc_id, count(*) AS n, CASE WHEN min(y) = max(y) THEN min(y) ELSE 2 END AS kind FROM lab GROUP BY doc_id),
 placed AS (SELECT doc_id, sum(n) OVER (PARTITION BY kind ORDER BY {_seeded(key='doc_id')}) - n / 2.0 AS mid,
@@ -389,7 +405,7 @@ ORACLE: dict[str, str] = {
       WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
     "corpus_rejects": """SELECT 'file:/corpus/' || lang || '/' || source || '/' || doc_id || '.txt' AS path,
       'invalid UTF-8' AS reason FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-    "assemble_documents": """SELECT * FROM (SELECT conv_id AS doc, string_agg(text, '' ORDER BY turn) AS text
+    "assemble_documents": """SELECT * FROM (SELECT conv_id AS doc, string_agg(text || CASE WHEN turn % 2 = 1 THEN ' (first)' ELSE '' END, '' ORDER BY turn) AS text
       FROM conversations GROUP BY conv_id) WHERE text <> ''""",
     "element_counts": """SELECT 'document' AS type, count(DISTINCT conv_id) AS n FROM conversations
       UNION ALL SELECT 'page', count(*) FROM conversations
@@ -561,12 +577,8 @@ ORACLE: dict[str, str] = {
     "deviance_residuals": f'{RESIDUALS} SELECT "PRIMARY_KEY", {_r("deviance")} FROM res',
     "residual_summary": f"""{RESIDUALS} SELECT round(avg(pearson), 6) AS pearson_mean, round(stddev_pop(pearson), 6) AS pearson_std,
       round(avg(deviance), 6) AS deviance_mean, round(stddev_pop(deviance), 6) AS deviance_std FROM res""",
-    "hosmer_lemeshow": f"""{HL}, t AS (SELECT sum((obs_pos - exp_pos) ** 2 / greatest(exp_pos, 1e-8)
-        + (obs_neg - exp_neg) ** 2 / greatest(exp_neg, 1e-8)) AS chi2, count(*) AS n_groups FROM hl),
-      p AS (SELECT *, exp(-chi2 / 2) * list_sum(list_transform(range((n_groups - 2) // 2),
-        lambda i: (chi2 / 2) ** i / factorial(CAST(i AS INTEGER)))) AS p_value FROM t)
-      SELECT round(chi2, 3) AS chi2, n_groups, round(p_value, 6) AS p_value,
-        CASE WHEN p_value < 0.05 THEN 'poor calibration' ELSE 'acceptable calibration' END AS verdict FROM p""",
+    "hosmer_lemeshow": _hosmer(10),
+    "hosmer_lemeshow_odd": _hosmer(9),
     "hosmer_lemeshow_table": f"""{HL} SELECT decile, obs_pos, obs_neg, total, round(mean_p, 6) AS mean_p,
       {_r('exp_pos', 'exp_neg', digits=4)} FROM hl""",
     "calibration_curve": f"""{LABELLED}, {_equal_width('ys', 'proba', 10)} SELECT bin, round(avg(proba), 6) AS mean_pred,

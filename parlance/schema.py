@@ -43,23 +43,6 @@ SENTENCES = T.StructType(
     ]
 )
 
-EMBEDDINGS = T.StructType(
-    [
-        T.StructField(KEY, T.StringType()),
-        T.StructField("doc_id", T.StringType()),
-        T.StructField("date", T.StringType()),
-        T.StructField("classe", T.StringType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-    ]
-)
-
-ANNOTATION_SHEET = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in (KEY, "doc_id", "date", "classe", "sentence", "label")
-    ]
-)
-
 
 def validate_schema(df: DataFrame, required: Iterable[str], name: str = "") -> None:
     """Raise ``ValueError`` naming the missing and the present columns."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,22 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "parlance", **conf: str) -> SparkSession:
-    """A session with the settings the operators count on.
+#: Folders to delete when the driver ends: JVM path and Hadoop settings, kept beyond the session.
+_scratch: list[tuple] = []
 
-    Cluster-level settings (master, memory, ``spark.checkpoint.dir``) are left to
-    spark-submit; anything passed in ``conf`` (dots as double underscores) wins.
-    """
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends, stopped session or not."""
+    context = spark.sparkContext
+    _scratch.append((context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
+
+
+def _delete_scratch() -> None:
+    for path, conf in _scratch:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            path.getFileSystem(conf).delete(path, True)
+
+
+atexit.register(_delete_scratch)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; what is there goes when the driver ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _forget(spark, path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -57,4 +62,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
+        _forget(spark, context.getCheckpointDir())
     return df.checkpoint(eager=True)

@@ -106,10 +106,6 @@ def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return parse_lexicon(spark.read.text(require(spark, path)))
 
 
-def load_lexicons(spark: SparkSession, *paths: str) -> DataFrame:
-    return merge_lexicons(*[load_lexicon(spark, p) for p in paths])
-
-
 def read_norms(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated concreteness norms as ``(word, conc_m, line)``."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(require(spark, path))
