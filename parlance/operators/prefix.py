@@ -12,13 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.functions.features import seeded_order
+from parlance.session import cut_lineage
 
-# Sampled rows per splitter, and the most splitters ever used.
-_SAMPLES_PER_BUCKET = 16
-MAX_BUCKETS = 256
+# Rows up to which one plain window does.
+SMALL_ROWS = 4096
 # Hexadecimal digits of the md5 used as bucket: 4096 buckets of equal size per group.
 HASH_DIGITS = 3
 
@@ -56,31 +55,25 @@ def range_prefix(
     group: Sequence[str],
     order: Sequence[str],
     value: str,
-    max_buckets: int = MAX_BUCKETS,
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Running total of ``value`` along ``order``, ascending, within ``group``.
 
-    Adds ``before`` (exclusive running sum) and ``total``. Buckets are ranges between
-    splitters from a bounded sample: the rows with the smallest hashes, so the sample is
-    the same whenever it is drawn. The splitters shape the work, never the result. A
-    table smaller than the sample (4,096 rows) is one plain window.
+    Adds ``before`` (exclusive running sum) and ``total``. Buckets are the partitions of a
+    range exchange: Spark samples the splitters, and there are as many as the shuffle has
+    partitions, whatever the size. The partitioned rows are written out, so that a bucket
+    holds the same rows whenever it is read; buckets shape the work, never the result. A table
+    of up to ``small`` rows is one plain window.
     """
-    keys = [*group, *order]
-    wanted = max_buckets * _SAMPLES_PER_BUCKET
-    hashed = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(wanted)
-    sample = hashed.select(F.to_json(F.struct(*keys)).alias("k"), *keys).orderBy(*keys).collect()
-    if len(sample) < wanted:
+    if df.limit(small + 1).count() <= small:
         whole = Window.partitionBy(*[F.col(g) for g in group] or [F.lit(0)])
         earlier = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn("total", F.sum(value).over(whole)).withColumn(
             "before", F.coalesce(F.sum(value).over(earlier), F.lit(0))
         )
-    splitters = [row.k for row in sample[_SAMPLES_PER_BUCKET::_SAMPLES_PER_BUCKET]]
-    schema = T.ArrayType(df.select(*keys).schema)
-    bounds = F.from_json(F.lit("[" + ",".join(splitters) + "]"), schema)
-    here = F.struct(*[F.col(k) for k in keys])
-    bucket = F.size(F.filter(bounds, lambda b: b <= here))
-    return _bucketed_prefix(df, group, order, value, bucket)
+    dealt = df.repartitionByRange(*[F.col(k) for k in (*group, *order)])
+    placed = cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
+    return _bucketed_prefix(placed, group, order, value, F.col("_part")).drop("_part")
 
 
 def seeded_prefix(

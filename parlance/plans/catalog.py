@@ -26,6 +26,7 @@ from parlance.operators.corpus_vectors import CorpusVectorEncoder
 from parlance.operators.entities import entity_counts
 from parlance.operators.zero_shot import zero_shot_scores
 from parlance.plans import inputs as q
+from parlance.plans import pipeline as pl
 from parlance.plans.pipeline import train_job
 from parlance.schema import (
     ENTITY_FEATURES,
@@ -567,6 +568,24 @@ def stream_event_totals(spark, d):
     return read_totals(spark, output).unionByName(n_late).select(start, "kind", "n", *_rounded("total", digits=4))
 
 
+@query
+def chain_labelled(spark, d):
+    """Corpus files to the two-class table, stage by stage: every sentence has its document's label."""
+    root = scratch_path(spark, "chain")
+    relative = F.regexp_replace("path", "^file:/corpus/", "").alias("path")
+    cp.write_corpus(_corpus_files(spark, d).select(relative, "content"), f"{root}/corpus")
+    out = pl.Paths(f"{root}/stages")
+    rows = pl.sentences_stage(spark, f"{root}/corpus", out)
+    features = pl.features_stage(spark, rows, out, q.VAGUE, q.GAZETTEER, q.POSITIVE, q.NEGATIVE)
+    embeddings = pl.embeddings_stage(spark, rows, out, vc.HashingEncoder(16))
+    final = pl.merge_stage(spark, features, embeddings, out)
+    sheet = rows.join(q.document_labels(spark, d).select("doc_id", "label"), "doc_id").select(KEY, "label")
+    tb.write_labels(sheet, f"{root}/labels.csv")
+    _, two = pl.label_stage(spark, final, f"{root}/labels.csv", out)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return two.select(KEY, "date", "classe", "label", "n_vague_words", F.size("embedding").cast("long").alias("n_dims"), F.round(total, 3).alias("total"))
+
+
 # --- splits, selection, training ----------------------------------------------------
 
 

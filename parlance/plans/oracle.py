@@ -434,6 +434,8 @@ ORACLE: dict[str, str] = {
       SELECT date, classe, CAST(GROUPING(date, classe) AS BIGINT) AS level, count(*) AS n_files, count(*) FILTER (r IS NULL) AS n_unreadable,
         CAST(sum(CAST(round(r * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE) / count(r) AS mean_ratio, min(r) AS min_ratio, max(r) AS max_ratio
       FROM f GROUP BY ROLLUP (date, classe)""",
+    "chain_labelled": f"""{FEATURES}, {_DOC_LABELS} SELECT "PRIMARY_KEY", date, classe, label, n_vague_words, CAST(16 AS BIGINT) AS n_dims, 1.0::DOUBLE AS total
+      FROM feats LEFT JOIN doc_labels USING (doc_id) WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
     "merge_bucketed": f"""{FEATURES} SELECT "PRIMARY_KEY", date, classe, CAST(2 AS BIGINT) AS n_dims, round(vague_ratio, 6) AS vague_ratio
       FROM feats WHERE date = 'fr'""",
     "grouped_split": f"""{LABELLED}, {_PLACED} SELECT "PRIMARY_KEY", y, CASE WHEN mid < total * 0.15 THEN 'test' WHEN mid < total * 0.3 THEN 'val'

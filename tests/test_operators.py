@@ -107,7 +107,7 @@ def test_lexicon_join_equals_inline(spark):
     entries = ["bien commun", "en", "pays", "zzz", "d"]
     table = spark.createDataFrame([(e,) for e in entries], "entry string")
     one = sorted(map(tuple, lx.lexicon_score(docs, entries).select("doc_id", "n_hits", "score").collect()))
-    two = sorted(map(tuple, lx.joined_lexicon_score(docs, table, "lemma_text").select("doc_id", "n_hits", "score").collect()))
+    two = sorted(map(tuple, lx.lexicon_score(docs, table, max_inline=0).select("doc_id", "n_hits", "score").collect()))
     assert one == two == [("a", 4, 80.0), ("b", 0, 0.0)]
 
 
