@@ -62,6 +62,7 @@ class Index:
         return (1 - self.cosine) / (len(self.cuts(dim)) - 1)
 
     def rotate(self, vectors: np.ndarray) -> np.ndarray:
+        vectors = scaled(vectors)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         if vectors.shape[1] not in self.rotations:
             return unit
@@ -96,6 +97,15 @@ def flips(costs: np.ndarray, weights: np.ndarray, limit: float) -> list[int]:
     return out
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near one.
+
+    Exact, so directions stay; norms of very large or small vectors neither overflow nor vanish.
+    """
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
@@ -179,7 +189,7 @@ def _link(index):
         node, n = table["node"].to_numpy(), table["n"].to_numpy()
         holds = table["holds"].to_numpy(zero_copy_only=False).astype(bool)
         query = table["query"].to_numpy(zero_copy_only=False).astype(bool)
-        vectors = matrix(table["vector"], dim)
+        vectors = scaled(matrix(table["vector"], dim))
         norm = np.linalg.norm(vectors, axis=1)
         cuts, z = index.value.cuts(dim), index.value.rotate(vectors)
         codes = index.value.codes(z, cuts)
@@ -229,7 +239,7 @@ def near_vectors(
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("dim", "vector").toPandas()
     rotations = {}
     for dim, part in sample.groupby("dim"):
-        known = np.stack(part["vector"].to_numpy())
+        known = scaled(np.stack(part["vector"].to_numpy()))
         if len(known) > 2 * dim:
             rotations[int(dim)] = learn_rotation(known / np.linalg.norm(known, axis=1, keepdims=True))
     context = df.sparkSession.sparkContext
