@@ -18,7 +18,7 @@ from parlance.llm.blocks import ragged
 
 #: Vectors of a leaf, and groups of terms.
 LEAF = 32
-GROUPS = 64
+GROUPS = 256
 #: Share of the quantities behind a radius, and of a bound, that rounding may cost.
 SLACK = 1e-10
 
