@@ -17,7 +17,7 @@ from parlance.operators.lexicon import (
     lexicon_table,
     text_key,
 )
-from parlance.schema import KEY, MODAL_FEATURES, SENTIMENT_FEATURES, VAGUE_FEATURES
+from parlance.schema import MODAL_FEATURES, VAGUE_FEATURES
 
 Lexicon = Iterable[str] | DataFrame
 
@@ -89,6 +89,21 @@ def add_sentiment(df: DataFrame, scores: Column) -> DataFrame:
     return _with(df, fx.sentiment_from_scores(scores))
 
 
+def add_lexicon_sentiment(
+    df: DataFrame, positive: Lexicon, negative: Lexicon, max_inline: int = MAX_INLINE_ENTRIES
+) -> DataFrame:
+    """Sentiment columns from shares of polar tokens; lexicons beyond ``max_inline`` are joined."""
+    lists = [lexicon_entries(words, max_inline) for words in (positive, negative)]
+    if None not in lists:
+        return _on_tokens(df, fx.sentiment_from_scores(fx.lexicon_sentiment_scores(F.col("_tokens"), *lists)))
+    counted = with_tokens(df)
+    for words, name in ((positive, "_pos"), (negative, "_neg")):
+        counted = add_lexicon_hits(counted, words, name, f"{name}_ratio", max_inline)
+    scores = fx.polar_shares(F.col("_pos"), F.col("_neg"))
+    done = add_sentiment(counted, scores).drop("_pos", "_neg", "_pos_ratio", "_neg_ratio")
+    return done if "_tokens" in df.columns else done.drop("_tokens")
+
+
 def rule_features(
     sentences: DataFrame, vague: Lexicon, modal: Lexicon = fv.MODAL_VERBS
 ) -> DataFrame:
@@ -102,12 +117,11 @@ def feature_table(
     sentences: DataFrame,
     vague: Lexicon,
     gazetteer: DataFrame | Iterable[tuple[str, str]],
-    positive: Iterable[str],
-    negative: Iterable[str],
+    positive: Lexicon,
+    negative: Lexicon,
     modal: Lexicon = fv.MODAL_VERBS,
 ) -> DataFrame:
     """All sentence columns and the sixteen feature columns, computed on the same row."""
     out = rule_features(with_tokens(sentences), vague, modal)
     out = entity_counts(out, gazetteer)
-    scores = fx.lexicon_sentiment_scores(F.col("_tokens"), positive, negative)
-    return add_sentiment(out, scores).drop("_tokens")
+    return add_lexicon_sentiment(out, positive, negative).drop("_tokens")
