@@ -4,7 +4,7 @@ Neighbouring symbols of a chunk merge by the score of the merged piece, best fir
 leftmost among equals. With dropout each candidate merge is skipped when a keyed hash of the
 seed, the chunk, its document, copy and place there, the place in it and the piece falls under
 the rate. So every occurrence of a word draws for itself, and the same document always gets
-the same pieces. Occurrences share work only if none of the candidates they meet is skipped.
+the same pieces. Occurrences share work only if none of the merges they make is skipped.
 
 All distinct chunks of half a megabyte of text are worked on side by side: a step takes the
 best candidate of each. Chunks of more than ``LONG`` symbols use a priority queue one by one;
@@ -31,7 +31,7 @@ LONG = 64
 #: Chunks with a skipped merge that are worked on side by side.
 SIDE_ROWS = 1 << 14
 RESULT = "id long, n_tokens long, token_ids array<int>, lossless boolean"
-_NEVER = np.iinfo(np.int64).max
+_NEVER = np.iinfo(np.int32).max
 
 
 def skipped(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray, rate: float) -> np.ndarray:
@@ -42,27 +42,29 @@ def skipped(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray, rate: floa
     return (drawn >> np.uint64(11)).astype(np.float64) / 2.0**53 < rate
 
 
-def merge_side_by_side(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def merge_side_by_side(
+    vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None, pairs: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Merged symbols of padded rows, and how many each has.
 
-    ``met`` gets row, place and piece of every candidate merge.
+    ``met`` gets row, place and piece of every merge that is made; ``pairs`` has the pieces that
+    neighbours of the rows as given make, if they are known.
     """
-    symbols, sizes = symbols.copy(), sizes.copy()
+    symbols, sizes = symbols.astype(np.int32), sizes.copy()
     rows, width = symbols.shape
-    places = np.tile(np.arange(width), (rows, 1))
-    best = np.full((rows, max(width - 1, 1)), _NEVER)
+    places = np.tile(np.arange(width, dtype=np.int32), (rows, 1))
+    best = np.full((rows, max(width - 1, 1)), _NEVER, np.int32)
 
-    def offer(r: np.ndarray, c: np.ndarray) -> None:
-        piece = vocab.merged(symbols[r, c], symbols[r, c + 1])
+    def offer(r: np.ndarray, c: np.ndarray, piece: np.ndarray | None = None) -> None:
+        if piece is None:
+            piece = vocab.merged(symbols[r, c].astype(np.int64), symbols[r, c + 1].astype(np.int64))
         piece[c + 1 >= sizes[r]] = -1
         good = piece >= 0
-        if met is not None:
-            met.append((r[good], places[r[good], c[good]], piece[good]))
         good[good] = ~skipped(keys[r[good]], places[r[good], c[good]], piece[good], rate)
         best[r, c] = np.where(good, vocab.priority[piece], _NEVER)
 
     r, c = np.nonzero(np.arange(max(width - 1, 0)) + 1 < sizes[:, None])
-    offer(r, c)
+    offer(r, c, None if pairs is None else pairs[r, c])
     live = np.arange(rows)
     columns = np.arange(width)
     while len(live):
@@ -73,6 +75,8 @@ def merge_side_by_side(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray
         if not len(live):
             break
         symbols[live, at] = vocab.by_priority[score]
+        if met is not None:
+            met.append((live, places[live, at], vocab.by_priority[score]))
         shift = np.minimum(columns + (columns > at[:, None]), width - 1)
         symbols[live] = np.take_along_axis(symbols[live], shift, 1)
         places[live] = np.take_along_axis(places[live], shift, 1)
@@ -120,8 +124,14 @@ def merge_by_queue(vocab: Vocabulary, symbols: list[int], key: np.uint64, rate:
     return [s for s in symbols if s is not None]
 
 
-def _merge_all(vocab: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None):
-    """Merged symbols of chunks in order, where each chunk's begin, and how many each has."""
+def _merge_all(
+    vocab: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray, rate: float, pairs: np.ndarray, met: list | None = None
+):
+    """Merged symbols of chunks in order, where each chunk's begin, and how many each has.
+
+    ``begin`` may be that of an equal chunk; ``pairs`` has the piece that each symbol makes
+    with the next one.
+    """
     parts, counts, owners = [np.empty(0, np.int64)], np.zeros(len(size), np.int64), [np.empty(0, np.int64)]
     edges = [1, 2, 4, 6, 8, 10, 12, 16, 24, 40, LONG]
     for low, high in zip([0, *edges[:-1]], edges):
@@ -130,7 +140,7 @@ def _merge_all(vocab: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size:
             mine = group[at : at + SIDE_ROWS]
             grid = begin[mine][:, None] + np.minimum(np.arange(high), size[mine][:, None] - 1)
             seen: list | None = None if met is None else []
-            merged, left = merge_side_by_side(vocab, symbols[grid], size[mine], keys[mine], rate, seen)
+            merged, left = merge_side_by_side(vocab, symbols[grid], size[mine], keys[mine], rate, seen, pairs[grid[:, :-1]])
             if met is not None:
                 met += [(mine[r], place, piece) for r, place, piece in seen]
             parts.append(merged[np.arange(high) < left[:, None]])
@@ -148,7 +158,7 @@ def _merge_all(vocab: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size:
 
 
 def _with_skips(met: list, which: np.ndarray, n: int, keys: np.ndarray, rate: float) -> np.ndarray:
-    """Whether a chunk skips one of the candidate merges of its distinct chunk."""
+    """Whether a chunk skips one of the merges that its distinct chunk makes."""
     owner, place, piece = (np.concatenate([np.empty(0, np.int64), *[m[i] for m in met]]) for i in range(3))
     order = np.argsort(owner, kind="stable")
     place, piece = place[order], piece[order]
@@ -166,8 +176,9 @@ def _with_skips(met: list, which: np.ndarray, n: int, keys: np.ndarray, rate: fl
 def encode(vocab: Vocabulary, text: np.ndarray, starts: np.ndarray, salt: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all chunks in order, and where each chunk's begin.
 
-    Distinct chunks are merged once without dropout; chunks that skip a candidate of that are
-    merged again one by one, with their own draws.
+    Distinct chunks are merged once without dropout; chunks that skip a merge of that are
+    merged again one by one, with their own draws. Skips of candidates that others overtake
+    change nothing: the best of all candidates is also the best of those not skipped.
     """
     names, place, which = distinct(text, starts)
     begin, size = starts[:-1], np.diff(starts)
@@ -175,7 +186,11 @@ def encode(vocab: Vocabulary, text: np.ndarray, starts: np.ndarray, salt: np.nda
     symbols = np.where(ids >= 0, ids, -1 - text)
     met: list | None = [] if rate > 0 else None
     short = np.flatnonzero(size[place] <= LONG) if rate > 0 else np.arange(len(place))
-    flat, first_short, counts_short = _merge_all(vocab, symbols, begin[place[short]], size[place[short]], names[short], 0.0, met)
+    one = begin[place]  # every occurrence of a chunk is worked on where its first one stands
+    inside = ragged(one, np.maximum(size[place] - 1, 0))
+    pairs = np.full(len(symbols), -1, np.int64)
+    pairs[inside] = vocab.merged(symbols[inside], symbols[inside + 1])
+    flat, first_short, counts_short = _merge_all(vocab, symbols, one[short], size[place[short]], names[short], 0.0, pairs, met)
     first, counts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     first[short], counts[short] = first_short, counts_short
     first, counts = first[which], counts[which]
@@ -184,7 +199,7 @@ def encode(vocab: Vocabulary, text: np.ndarray, starts: np.ndarray, salt: np.nda
         own = size > LONG
         own |= _with_skips([(short[r], p, m) for r, p, m in met], which, len(place), keys, rate)
         again = np.flatnonzero(own)
-        other, first_own, counts_own = _merge_all(vocab, symbols, begin[again], size[again], keys[again], rate)
+        other, first_own, counts_own = _merge_all(vocab, symbols, one[which[again]], size[again], keys[again], rate, pairs)
         first[again], counts[again] = first_own + len(flat), counts_own
         flat = np.concatenate((flat, other))
     return _with_bytes(vocab, flat[ragged(first, counts)], np.concatenate(([0], np.cumsum(counts))))

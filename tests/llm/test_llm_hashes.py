@@ -57,7 +57,7 @@ def test_different_chunks_decode_to_themselves(pair):
 
 
 def test_names_that_collide_do_not_merge_chunks(monkeypatch):
-    monkeypatch.setattr(blocks, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(blocks, "quick_names", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
     text = np.array([ord(c) for c in "abababcdab"])
     _, place, which = pieces.distinct(text, np.array([0, 2, 4, 6, 8, 10]))
     assert place.tolist() == [0, 3] and which.tolist() == [0, 0, 0, 1, 0]
