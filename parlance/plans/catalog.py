@@ -405,8 +405,8 @@ def assemble_vector(spark, d):
     values = vc.assemble_vector(filled).select(KEY, "has_vector", vector_to_array("features").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return values.select(
-        KEY, "has_vector", F.size("v").cast("long").alias("n_dims"), F.round(total, 4).alias("total"),
-        F.round(_by_place(F.col("v")), 3).alias("by_place"),
+        KEY, "has_vector", F.size("v").cast("long").alias("n_dims"), F.round(total + q.OFF_TIES, 4).alias("total"),
+        F.round(_by_place(F.col("v")) + q.OFF_TIES, 3).alias("by_place"),
     )
 
 

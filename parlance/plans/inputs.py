@@ -52,6 +52,8 @@ TREES = (
     ("filter_ratio", 0.25, 0.15, -0.6),
 )
 VECTOR_SIZE = 64
+# Added before sums of short decimals are rounded, so that none of them lies on a tie.
+OFF_TIES = 2.71e-6
 STAT_FEATURES = (
     "n_digits", "numeric_ratio", "n_vague_words", "vague_ratio", "n_modal_verbs",
     "modal_ratio", "filter_ratio",

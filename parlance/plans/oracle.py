@@ -496,8 +496,8 @@ ORACLE: dict[str, str] = {
     "assemble_vector": f"""{_FULL}, v AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
       a AS (SELECT "PRIMARY_KEY", e IS NOT NULL AS has_vector, [{_ALL_FEATURES}] || coalesce(e, list_transform(range(64), lambda x: 0.0)) AS f
         FROM full_feats LEFT JOIN v USING (doc_id))
-      SELECT "PRIMARY_KEY", has_vector, len(f) AS n_dims, round(list_sum(f), 4) AS total,
-        round(list_sum(list_transform(f, lambda x, i: x * i)), 3) AS by_place FROM a""",
+      SELECT "PRIMARY_KEY", has_vector, len(f) AS n_dims, round(list_sum(f) + {q.OFF_TIES}, 4) AS total,
+        round(list_sum(list_transform(f, lambda x, i: x * i)) + {q.OFF_TIES}, 3) AS by_place FROM a""",
     "merge_features": f"""{_STORED}, {_DOCS} SELECT doc_id AS "PRIMARY_KEY", doc_id, date, classe,
       len(embedding) AS n_dims, {_TOTAL} AS total FROM docs LEFT JOIN v ON doc_id = "PRIMARY_KEY" """,
     "key_gaps": """SELECT (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS only_left,
