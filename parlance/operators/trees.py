@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that a fit takes at most, those with the smallest hashes of their keys.
 MAX_TRAINING_ROWS = 20_000
 #: Bins of a feature; edges are quantiles where it has more values.
-BINS = 64
+BINS = 32
 #: Least sum of second derivatives in a leaf.
 LEAST_HESSIAN = 1.0
 DEFAULTS = {
@@ -70,16 +70,18 @@ def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, s
     """
     alpha, penalty = setting["reg_alpha"], setting["reg_lambda"]
     picked = codes[:, columns] + np.arange(len(columns), dtype=np.int32) * BINS
-    width = len(columns) * BINS
+    shape = len(columns), BINS
+
+    def histograms(rows: np.ndarray, place: np.ndarray, n: int) -> list[np.ndarray]:
+        """Sums of both derivatives by node, column and bin; ``place`` is the node of each row."""
+        cell = (picked[rows] + (place * picked.shape[1] * BINS)[:, None].astype(np.int32)).ravel()
+        return [np.bincount(cell, np.repeat(x[rows], len(columns)), n * len(columns) * BINS).reshape(n, *shape) for x in (g, h)]
+
     feature, bins, left, right, totals = [-1], [0], [0], [0], [(g.sum(), h.sum())]
     node = np.zeros(len(codes), np.int64)
     open_ = [0]
-    for _ in range(setting["max_depth"]):
-        place = np.full(len(feature), -1)
-        place[open_] = np.arange(len(open_))
-        rows = np.flatnonzero(place[node] >= 0)
-        cell = (picked[rows] + (place[node[rows]] * width)[:, None]).ravel()
-        sums = [np.bincount(cell, np.repeat(x[rows], len(columns)), len(open_) * width).reshape(len(open_), len(columns), BINS) for x in (g, h)]
+    sums = histograms(np.arange(len(codes)), np.zeros(len(codes), np.int64), 1)
+    for depth in range(setting["max_depth"]):
         gl, hl = (s.cumsum(axis=2)[:, :, :-1] for s in sums)
         gt, ht = (s[:, :1].sum(axis=2, keepdims=True) for s in sums)
         gain = _quality(gl, hl, alpha, penalty) + _quality(gt - gl, ht - hl, alpha, penalty) - _quality(gt, ht, alpha, penalty)
@@ -107,6 +109,19 @@ def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, s
         goes = codes[moved, parents[moved]] <= np.array(bins)[at]
         node[moved] = np.where(goes, np.array(left)[at], np.array(right)[at])
         open_ = fresh
+        if depth + 1 < setting["max_depth"]:  # of two children the smaller one is summed, the other is what is left
+            rows_of = np.bincount(node, minlength=len(feature))[fresh].reshape(-1, 2)
+            second = (rows_of[:, 1] < rows_of[:, 0]).astype(np.int64)
+            place = np.full(len(feature), -1)
+            place[np.array(fresh).reshape(-1, 2)[np.arange(len(split)), second]] = np.arange(len(split))
+            rows = np.flatnonzero(place[node] >= 0)
+            both = []
+            for whole, part in zip(sums, histograms(rows, place[node[rows]], len(split))):
+                pair = np.empty((len(split), 2, *shape))
+                pair[np.arange(len(split)), second] = part
+                pair[np.arange(len(split)), 1 - second] = whole[split] - part
+                both.append(pair.reshape(-1, *shape))
+            sums = both
     sums_g, sums_h = np.array(totals).T
     value = np.where(np.array(feature) < 0, -_shrunk(sums_g, alpha) / (sums_h + penalty) * setting["learning_rate"], 0.0)
     return Tree(np.array(feature), np.array(bins), np.array(left), np.array(right), value), node
