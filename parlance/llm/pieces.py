@@ -14,6 +14,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # the mark that stands for a blank
 LITERAL = 0x110000  # a mark that was in the text itself; no vocabulary has it
 NEWLINE = 10
+_FREE = -1 << 62
 #: Code points of text that are worked on together.
 GROUP_BYTES = 1 << 19
 
@@ -44,8 +45,7 @@ class Vocabulary:
                 left, right = known.get(piece[:cut]), known.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * len(self.pieces) + right] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+        self._hash_pairs(pairs)
         table = [b""] * len(self.pieces)
         for i in ids:
             table[i] = self.pieces[i].replace(chr(SPACE), " ").encode()
@@ -59,12 +59,36 @@ class Vocabulary:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece that two neighbouring symbols merge to, or -1; negative symbols never merge."""
-        at = blocks.found(left * len(self.pieces) + right, self.pair_keys)
-        return np.where((at >= 0) & (left >= 0) & (right >= 0), self.pair_ids[at], -1)
+        keys = left * len(self.pieces) + right
+        slots = self._slots(keys)
+        held = self.pair_keys[slots]
+        out = np.where(held == keys, self.pair_ids[slots], -1)
+        more = np.flatnonzero((held != keys) & (held != _FREE))
+        while len(more):  # another pair is there: look in the next slot
+            slots[more] = (slots[more] + 1) & (len(self.pair_keys) - 1)
+            held = self.pair_keys[slots[more]]
+            out[more] = np.where(held == keys[more], self.pair_ids[slots[more]], -1)
+            more = more[(held != keys[more]) & (held != _FREE)]
+        out[(left < 0) | (right < 0)] = -1
+        return out
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self.pair_keys).bit_length() - 1
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _hash_pairs(self, pairs: dict[int, int]) -> None:
+        """Pairs in an open table, a quarter full at most."""
+        self.pair_keys = np.full(1 << max(4, (4 * len(pairs)).bit_length()), _FREE, np.int64)
+        self.pair_ids = np.full(len(self.pair_keys), -1, np.int32)
+        keys = np.array(list(pairs), np.int64)
+        for key, slot in zip(keys.tolist(), self._slots(keys).tolist()):
+            while self.pair_keys[slot] != _FREE:
+                slot = (slot + 1) % len(self.pair_keys)
+            self.pair_keys[slot], self.pair_ids[slot] = key, pairs[key]
 
 
 def load_vocabulary(path: str = PIECE_MODEL) -> Vocabulary:
-    """Read on the driver; executors get it as a broadcast of about a megabyte."""
+    """Read on the driver; executors get it as a broadcast of a few megabytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
