@@ -348,7 +348,7 @@ def _r(*names: str, digits: int = 6) -> str:
 
 
 _ABSTRACT = """abstract AS (SELECT p_name AS word, p_size / 10.0 AS conc_m, p_partkey FROM part
-  WHERE p_size / 10.0 <= 2.0 ORDER BY p_partkey LIMIT 50)"""
+  WHERE p_size / 10.0 <= 2.0)"""
 
 _PLACED = f"""sizes AS (SELECT doc_id, count(*) AS n, CASE WHEN min(y) = max(y) THEN min(y) ELSE 2 END AS kind FROM lab GROUP BY doc_id),
 placed AS (SELECT doc_id, sum(n) OVER (PARTITION BY kind ORDER BY {_seeded(key='doc_id')}) - n / 2.0 AS mid,
