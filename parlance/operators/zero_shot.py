@@ -2,19 +2,24 @@
 
 Sentences and descriptions are vectors of word counts times inverse document frequencies that
 the corpus itself gives; a label's score is the cosine of the two. Only words of a description
-meet a label, so everything is a sparse join and a sum per sentence.
+meet a label. Frequent words, a bounded number, are summed where the sentence is, rare ones
+through a sparse join and a sum per sentence.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import tokens
-from parlance.operators.lexicon import text_key
-from parlance.session import cut_lineage
+from parlance.session import stored
+
+# Words that every worker holds with their frequencies; the others are joined.
+MAX_HELD_WORDS = 100_000
 
 
 def inverse_frequencies(sentences: DataFrame) -> DataFrame:
@@ -41,21 +46,65 @@ def label_weights(like: DataFrame, labels: Mapping[str, str], idf: DataFrame) ->
     return unit.groupBy("w").agg(F.array(*each).alias("weights"))
 
 
-def zero_shot_scores(sentences: DataFrame, labels: Mapping[str, str], output: str = "scores") -> DataFrame:
+def _sums(held, n_labels: int):
+    """Column function: what the held words of a sentence add up to, and the words not held.
+
+    Per sentence: the squares, a product per label, and every other word with its count.
+    """
+    kind = "struct<squares:double,dots:array<double>,others:array<struct<w:string,tf:long>>>"
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        known = held.value
+        squares, dots, words, counts, ends = [], [], [], [], [0]
+        for text in texts:
+            text = text.as_py()
+            square, dot = 0.0, [0.0] * n_labels
+            for word, tf in Counter(text.split(" ")).items() if text else ():
+                found = known.get(word)
+                if found is None:
+                    words.append(word)
+                    counts.append(tf)
+                    continue
+                idf, weights = found
+                x = tf * idf
+                square += x * x
+                if weights is not None:
+                    dot = [d + x * weight for d, weight in zip(dot, weights)]
+            squares.append(square)
+            dots.append(dot)
+            ends.append(len(words))
+        pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["w", "tf"])
+        others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        columns = [pa.array(squares, pa.float64()), pa.array(dots, pa.list_(pa.float64())), others]
+        return pa.StructArray.from_arrays(columns, names=["squares", "dots", "others"])
+
+    return run
+
+
+def zero_shot_scores(
+    sentences: DataFrame, labels: Mapping[str, str], output: str = "scores", max_held: int = MAX_HELD_WORDS
+) -> DataFrame:
     """Add the cosine with every label's description, in the order of ``labels``.
 
-    A sentence that shares no word with a description, or has none, scores zero. Scores
-    depend on the sentence alone, so rows meet them by a key of the sentence.
+    A sentence that shares no word with a description, or has none, scores zero. The rows are
+    stored with a number. The ``max_held`` most frequent words and those of the descriptions
+    are held by the workers and counted where the sentence is; only the other words, rare
+    ones, are shuffled to their frequencies, and come back as one sum per sentence.
     """
-    idf = cut_lineage(inverse_frequencies(sentences))
-    weights = label_weights(sentences, labels, idf)
-    keyed = sentences.withColumn("_text_key", text_key("sentence"))
-    once = keyed.select("_text_key", "sentence").dropDuplicates(["_text_key"])
-    counts = once.select("_text_key", F.explode(tokens(F.lower("sentence"))).alias("w"))
-    counts = counts.groupBy("_text_key", "w").agg(F.count("*").alias("tf")).join(idf, "w").join(weights, "w", "left")
+    rows = stored(sentences.withColumn("_row", F.monotonically_increasing_id()), "sentences")
+    idf = stored(inverse_frequencies(rows), "idf")
+    described = {r.w: r.weights for r in label_weights(sentences, labels, idf).collect()}
+    frequent = idf.orderBy("idf", "w").limit(max_held).collect()
+    meant = idf.where(F.col("w").isin(sorted(described))).collect() if described else []
+    held = sentences.sparkSession.sparkContext.broadcast({r.w: (r.idf, described.get(r.w)) for r in (*frequent, *meant)})
+    words = F.array_join(tokens(F.lower("sentence")), " ")
+    summed = rows.withColumn("_sums", _sums(held, len(labels))(words))
+    rest = summed.select("_row", F.explode("_sums.others").alias("o")).select("_row", "o.w", "o.tf")
     x = F.col("tf") * F.col("idf")
-    dots = [F.sum(x * F.coalesce(F.get("weights", F.lit(i)), F.lit(0.0))).alias(f"_d{i}") for i in range(len(labels))]
-    sums = counts.groupBy("_text_key").agg(F.sqrt(F.sum(x * x)).alias("_norm"), *dots)
-    scored = sums.select("_text_key", F.array(*[F.col(f"_d{i}") / F.col("_norm") for i in range(len(labels))]).alias(output))
-    zeros = F.array(*[F.lit(0.0)] * len(labels))
-    return keyed.join(scored, "_text_key", "left").withColumn(output, F.coalesce(output, zeros)).drop("_text_key")
+    rest = rest.join(idf, "w").groupBy("_row").agg(F.sum(x * x).alias("_rest"))
+    norm = F.sqrt(F.col("_squares") + F.coalesce("_rest", F.lit(0.0)))
+    scores = F.transform("_dots", lambda d: F.when(F.col("_norm") > 0, d / F.col("_norm")).otherwise(0.0))
+    kept = summed.withColumns({"_squares": F.col("_sums.squares"), "_dots": F.col("_sums.dots")}).drop("_sums")
+    joined = kept.join(rest, "_row", "left").withColumn("_norm", norm)
+    return joined.withColumn(output, scores).select(*[c for c in sentences.columns if c != output], output)
