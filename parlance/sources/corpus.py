@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Files that are listed together, bytes of files that go on together, bytes that a task reads
+# and bytes that opening a file counts as.
+_LISTED_FILES, _READ_BYTES, _TASK_BYTES, _OPEN_BYTES = 8192, 4 << 20, 64 << 20, 4096
 # Pages per intermediate piece of a document.
 _PAGES_PER_PIECE = 256
 
@@ -15,8 +21,9 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Raw files ``root/<date>/<classe>/<doc>.txt`` as ``(path, content)``.
 
     Raises ``FileNotFoundError`` when the root itself is missing; a root without text
-    files gives an empty table. The driver lists the two folder levels only; Spark lists
-    the files, and leaves out those of no length, which have no sentences either.
+    files gives an empty table. The driver lists the two folder levels only; tasks list the
+    files below a shared mount, other file systems are listed by Spark. Files of no length are
+    left out; they have no sentences either.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
@@ -27,6 +34,8 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     folders = [f.getPath().toString() for f in found if f.isDirectory()]
     if not folders:
         return spark.createDataFrame([], "path string, content binary")
+    if fs.getUri().getScheme() == "file":
+        return _mounted_files(spark, [f.getPath().toUri().getPath() for f in found if f.isDirectory()])
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.txt")
@@ -35,6 +44,54 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: the text files right below folders, as Spark lists them: no hidden ones."""
+
+    def batch(found: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["file", "size"])
+
+    for folders in batches:
+        for folder in folders.column(0).to_pylist():
+            found = []
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.name.endswith(".txt") and e.name[0] not in "._" and e.is_file() and e.stat().st_size:
+                        found.append((e.path, e.stat().st_size))
+                    if len(found) >= _LISTED_FILES:
+                        yield batch(found)
+                        found = []
+            yield batch(found)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: files with their content, in batches of bounded size."""
+    for files in batches:
+        paths, contents, size = [], [], 0
+        for path in files.column(0).to_pylist():
+            with open(path, "rb") as f:
+                contents.append(f.read())
+            paths.append(f"file:{path}")
+            size += len(contents[-1])
+            if size >= _READ_BYTES:
+                yield pa.record_batch([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                paths, contents, size = [], [], 0
+        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+
+def _mounted_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Files right below folders of a shared mount, listed and read by tasks.
+
+    The driver holds no file names, so it does not grow with the corpus; files are dealt over
+    tasks of about ``_TASK_BYTES``, and at least one a core.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    names = spark.createDataFrame([(f,) for f in folders], "folder string")
+    files = names.repartition(min(len(folders), 4 * cores), "folder").mapInArrow(_listed, "file string, size long")
+    total = files.agg(F.sum(F.col("size") + _OPEN_BYTES)).first()[0] or 0
+    tasks = max(cores, total // _TASK_BYTES)
+    return files.select("file").repartition(tasks, "file").mapInArrow(_read, "path string, content binary")
+
+
 def named_files(files: DataFrame) -> DataFrame:
     """Every file with what its path says, whether it is valid UTF-8, and its text if it is."""
     parts = F.split("path", "/")
@@ -63,11 +120,15 @@ def write_corpus(files: DataFrame, root: str) -> int:
 
     def run(batches):
         system, base = pa_fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for batch in batches:
             paths = batch.column("path").to_pylist()
             for path, content in zip(paths, batch.column("content").to_pylist()):
                 target = f"{base}/{path}"
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(target) as out:
                     out.write(content or b"")
             yield pa.record_batch([pa.array([len(paths)], pa.int64())], names=["n"])
