@@ -61,7 +61,7 @@ def test_contexts_go_on_in_bounded_batches():
 
 def test_hashed_means_are_not_worked_out_place_by_place(spark):
     encoded = HashingEncoder(8).encode(sentences(spark))
-    assert "lambdafunction((" not in plan(encoded.select("embedding"))
+    assert "transform(" not in plan(encoded.select("embedding"))
     totals = {r.sentence: round(sum(r.embedding), 6) for r in encoded.collect()}
     assert all(total == (1.0 if text else 0.0) for text, total in totals.items())
 
