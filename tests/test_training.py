@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import models, trees
+from parlance.operators import models, stats, trees
 from parlance.plans import catalog
 from parlance.plans.pipeline import Paths, load_models, rescore, save_models, sentences_stage, train_job
 from parlance.schema import KEY
@@ -165,3 +165,72 @@ def test_the_sample_is_bounded_and_the_same_whatever_the_partitions(spark, monke
     data = spark.createDataFrame(rows, "k string, vector array<double>, y int, weight double, fold int")
     first, second = trees.gathered(data, "k"), trees.gathered(data.repartition(7), "k")
     assert len(first.x) == 50 and (first.x == second.x).all() and (first.y == second.y).all()
+
+
+def test_the_split_as_an_expression_is_the_ranked_one(spark):
+    rows = [(f"k{i}", i % 3 % 2, i) for i in range(3000)] + [(None, 1, 3000 + i) for i in range(5)]
+    data = spark.createDataFrame(rows, f"{KEY} string, y int, row long").repartition(5)
+    split = stats.split_column(data, "row")
+    got = {r.row: r.s for r in data.select("row", split.alias("s")).collect()}
+    ranked = {r.row: r.split for r in stats.stratified_split(data).collect()}
+    assert got == ranked and set(got.values()) == {"train", "val", "test"}
+
+    copies = data.withColumn(KEY, F.lit("one"))
+    for sizes in ({}, {"test_size": 0.9, "val_size": 0.1}, {"test_size": 0.0}):
+        split = stats.split_column(copies, "row", **sizes)
+        shares = copies.groupBy("y", split.alias("split")).count().collect()
+        assert sorted(map(tuple, shares)) == sorted(map(tuple, stats.stratified_split(copies, **sizes).groupBy("y", "split").count().collect()))
+
+
+def test_only_rows_near_the_sample_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(trees, "MAX_TRAINING_ROWS", 50)
+    data = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), F.array(F.col("id").cast("double")).alias("vector"), (F.col("id") % 2).cast("int").alias("y"), F.lit(1.0).alias("weight"))
+    near = [r.k for r in data.where(trees.early(data, "k")).collect()]
+    first = [r.k for r in data.orderBy(F.xxhash64("k"), "k").limit(50).collect()]
+    assert set(first) <= set(near) and len(near) < 60
+    folds = data.select("k", "y", (F.col("vector")[0] % 3).cast("int").alias("fold"))
+    sample = trees.gathered(data, "k", folds.repartition(3))
+    assert [f"k{int(v)}" for v in sample.x[:, 0]] == first
+    assert (sample.fold == sample.x[:, 0] % 3).all() and (sample.y == sample.x[:, 0] % 2).all()
+
+
+def test_training_scores_every_row_once_and_reads_the_labelled_rows_once(spark, labelled, monkeypatch):
+    read, scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(total, value):
+        def count(x):
+            total.add(1)
+            return x
+
+        return F.udf(count, "double")(value)
+
+    monkeypatch.setattr(trees.BoostedTrees, "proba", lambda self, spark, vector: counted(scored, vector[0]) * 0 + 0.5)
+    rows = labelled.withColumn("a", counted(read, F.col("a")))
+    found = {r.split: r for r in train_job(rows, FEATURES, SPACE, 1).metrics.where("model = 'trees'").collect()}
+    assert set(found) == {"train", "val", "test"} and {r.auc_roc for r in found.values()} == {0.5}
+    assert read.value == scored.value == 160
+
+
+def test_margins_are_the_sums_of_a_plain_walk(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 70))
+    x[::5, 0], x[::7, 1], x[::11, 2] = np.nan, np.inf, x[3, 2]
+    model = catalog.q.fixed_trees()
+    grown = [catalog.q.fixed_trees() for _ in range(2)]
+    many = trees.BoostedTrees(  # the same trees twice, behind a tree that is a leaf
+        *[np.concatenate([[v], *(getattr(m, c) + (1 + i * len(m.left) if c in ("left", "right") else 0) for i, m in enumerate(grown))]) for c, v in (("feature", -1), ("threshold", 0.0), ("left", 0), ("right", 0), ("value", 0.5))],
+        np.concatenate([[0], *(m.roots + 1 + i * len(m.left) for i, m in enumerate(grown))]), model.n_features,
+    )
+
+    def walk(model, row):
+        total = 0.0
+        for node in model.roots.tolist():
+            while model.feature[node] >= 0:
+                node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+            total += model.value[node]
+        return total
+
+    wide = np.concatenate([x, rng.normal(size=(700, model.n_features - 70))], axis=1)
+    monkeypatch.setattr(trees, "CUT_CELLS", 1)
+    for m in (model, many):
+        assert m.margins(wide).tolist() == [walk(m, r) for r in wide]
