@@ -36,9 +36,10 @@ from parlance.sources.tables import (
     save_metrics,
     save_model,
     save_settings,
+    slices_of,
     write_stage,
 )
-from parlance.session import stored
+from parlance.session import stored, tidied
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,8 @@ def embeddings_stage(
 def merge_stage(
     spark: SparkSession, features: DataFrame, embeddings: DataFrame, out: Paths, force: bool = False
 ) -> DataFrame:
-    return materialize(spark, lambda: lb.merge_features(features, embeddings), out.final, force)
+    slices = slices_of(spark, out.features)
+    return materialize(spark, lambda: lb.merge_features(features, embeddings), out.final, force, slices=slices)
 
 
 def label_stage(
@@ -110,8 +112,9 @@ def label_stage(
     """The labelled table and its two-class view; unknown labels stop the job."""
     validate_schema(final, [KEY], "final")
     cleaned = lb.clean_labels(read_labels(spark, labels_csv), "line")
-    lb.check_labels(cleaned)
-    write_stage(lb.apply_labels(final, cleaned), out.final_labeled)
+    with tidied(spark):
+        lb.check_labels(cleaned)
+    write_stage(lb.apply_labels(final, cleaned), out.final_labeled, slices=slices_of(spark, out.final))
     labelled = spark.read.parquet(out.final_labeled)
     write_stage(lb.two_class_view(labelled), out.final_labeled_2class)
     return labelled, spark.read.parquet(out.final_labeled_2class)

@@ -10,6 +10,8 @@ import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.session import tidied
+
 # Files that are listed together, bytes of files that go on together, bytes that a task reads
 # and bytes that opening a file counts as.
 _LISTED_FILES, _READ_BYTES, _TASK_BYTES, _OPEN_BYTES = 8192, 4 << 20, 64 << 20, 4096
@@ -112,10 +114,11 @@ def decode_corpus(files: DataFrame) -> DataFrame:
     return named_files(files).where("readable").drop("readable")
 
 
-def write_corpus(files: DataFrame, root: str) -> int:
+def write_corpus(files: DataFrame, root: str, slices: int = 1) -> int:
     """Write ``(path, content)`` below ``root``, ``path`` being relative; the number of files.
 
     Each task writes its own files, whole, and a task that runs again writes the same ones.
+    In ``slices`` by the hash of the path, what a join moves is a slice of the texts at a time.
     """
 
     def run(batches):
@@ -133,7 +136,12 @@ def write_corpus(files: DataFrame, root: str) -> int:
                     out.write(content or b"")
             yield pa.record_batch([pa.array([len(paths)], pa.int64())], names=["n"])
 
-    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    rows, written = files.select("path", "content"), 0
+    with tidied(files.sparkSession):
+        for i in range(slices):
+            part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("path"), F.lit(slices)) == i)
+            written += part.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return written
 
 
 def corpus_rejects(files: DataFrame) -> DataFrame:

@@ -1,6 +1,12 @@
 """Steps that were changed to scale: whole results, bounded batches, rows that stay where they are."""
 
+import os
+import time
+from pathlib import Path
+
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from parlance.operators import patterns
 from parlance.operators.corpus_vectors import CorpusVectorEncoder
@@ -8,7 +14,10 @@ from parlance.operators.entities import entity_counts
 from parlance.operators.features import add_lexicon_hits
 from parlance.operators.vectors import HashingEncoder
 from parlance.operators.zero_shot import zero_shot_scores
+from parlance.plans import catalog
 from parlance.schema import ENTITY_FEATURES, KEY
+from parlance.session import scratch_path
+from parlance.sources import tables
 from parlance.sources.corpus import scan_corpus
 
 TEXTS = ["a b a c", "b c d", "a a b", "d e f a", "a b a c", "", "c b a d e"]
@@ -78,3 +87,59 @@ def test_overlapping_entities_inlined_and_walked(spark):
     one, two = (sorted(tuple(r) for r in entity_counts(sentences(spark), phrases, m).select(KEY, "sentence", *ENTITY_FEATURES).collect()) for m in (100, 0))
     assert one == two
     assert [r[2:] for r in one if r[1] == "a b a c"] == [(0, 1, 0, 2)] * 2
+
+
+def _shuffled(spark):
+    """Shuffle files that are still on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_stage_in_slices_is_whole_and_leaves_no_shuffle_files(spark, monkeypatch):
+    left = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("k"), F.col("id") % 1000)).alias(KEY), F.repeat(F.lit("x"), 90).alias("text"))
+    right = spark.range(500).select(F.concat(F.lit("k"), F.col("id") * 2).alias(KEY), F.array(F.col("id").cast("float")).alias("embedding"))
+    joined = left.hint("merge").join(right, KEY, "left")
+    before, marked = _shuffled(spark), []
+    path = scratch_path(spark, "slices")
+    tables.write_stage(joined, path, slices=3)
+    deadline = time.monotonic() + 20  # executors delete them a moment later
+    while not _shuffled(spark) <= before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert _shuffled(spark) <= before
+    got = spark.read.parquet(path)
+    assert got.exceptAll(joined).count() == 0 and got.count() == joined.count() == 3000
+    assert os.path.exists(f"{path.removeprefix('file:')}/_SUCCESS")
+
+    class Stopped(Exception):
+        pass
+
+    def stop_after_one(*_):
+        if marked:
+            raise Stopped
+        marked.append(1)
+        return xxhash64(KEY)
+
+    xxhash64 = F.xxhash64
+    monkeypatch.setattr(tables.F, "xxhash64", stop_after_one)
+    path = scratch_path(spark, "slices")
+    with pytest.raises(Stopped):
+        tables.write_stage(joined, path, slices=3)
+    assert not os.path.exists(f"{path.removeprefix('file:')}/_SUCCESS")
+
+
+def test_the_chain_keeps_only_what_is_read_again(spark, tmp_path, monkeypatch):
+    text = "Nous voulons une politique nouvelle pour le pays. Il faut une grande paix pour la France."
+    docs = [(i, text, ("fr", "en")[i % 2], "web", len(text)) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 3 % 2, int(i == 5)) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(tables, "_SLICE_BYTES", 1000)
+    root = scratch_path(spark, "one-chain")
+    monkeypatch.setattr(catalog, "scratch_path", lambda *_: root)
+    done = catalog.QUERIES["chain_labelled"](spark, str(tmp_path))
+    kept = {str(p.relative_to(root.removeprefix("file:"))) for p in Path(root.removeprefix("file:")).glob("*/*") if p.is_dir()}
+    assert kept == {"stages/final", "stages/final_labeled", "stages/final_labeled_2class"}
+    label = lambda i: ("non_langue_de_bois", "langue_de_bois")[i % 3 % 2] if i < 30 else None
+    want = sorted((f"{i}_{k}", label(i)) for i in range(40) if i != 5 for k in range(2))
+    assert sorted((r[KEY], r.label) for r in done.collect()) == want
+    assert {(r.n_dims, r.total) for r in done.collect()} == {(16, 1.0)}
